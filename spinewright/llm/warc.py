@@ -27,10 +27,11 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     described.write.parquet(f"{path}/described")
     described = spark.read.parquet(f"{path}/described")
     first = described.groupBy("sha256").agg(F.max("page_id").alias("first_id"), F.max("sha1").alias("sha1"), F.max("bytes").alias("bytes"))
-    # each payload's bytes once: only the first record's row is moved
-    keys = first.select(F.col("sha256").alias("k"), "first_id")
-    stored = rows.join(keys, (F.col("sha256") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    stored.select("sha256", "body").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    # each payload's bytes once: only the first record's row is kept. Rows are dealt by id, so copies spread out,
+    # and rows that repeat an id and a payload meet in the same task
+    keyed = lambda df, c: df.withColumn("key", F.coalesce(F.col(c), F.lit(-(1 << 63))))
+    stored = keyed(rows, "page_id").join(keyed(first.select("sha256", "first_id"), "first_id"), ["key", "sha256"], "left_semi")
+    stored.select("key", "sha256", "body").dropDuplicates(["key", "sha256"]).select("sha256", "body").write.parquet(f"{path}/payloads")
     first_of = first.where(F.col("bytes") >= revisit_bytes).select("sha256", "first_id")
     # a group of copies is one key of the join; adaptive execution splits it
     headed = described.join(first_of, "sha256", "left")
