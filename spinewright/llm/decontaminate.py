@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Every text becomes an array of word hashes and of hashes of its k-grams; of each ``window - k + 1`` consecutive
-k-grams the smallest hash is kept (all positions that attain it). Two texts that share ``window`` words keep at
+k-grams the smallest hash is kept (the first position that attains it). Two texts that share ``window`` words keep at
 least one k-gram of them in common, so joining the kept fingerprints finds every such span. Each kept k-gram
 carries the words around it, so a hit is extended to both sides in the joined row; where the run reaches the
 item's window, its words are hit. Items shorter than the window are one window of their own length and get a
@@ -25,9 +25,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_FINGERPRINTS = 200_000
 
 
-def words(text: str | Column) -> Column:
-    lower = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
+def words(text: str) -> Column:
+    """The words of a text with A-Z in lower case; ``lower`` knows more letters, so it serves ASCII texts alone."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    lower = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -36,20 +38,25 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame, k: int, length: int, around: int) -> DataFrame:
-    """Adds ``kept``: structs (fp, pos, before, after) of the winnowed k-grams, with ``around`` word hashes to each side."""
+    """Adds ``kept``: structs (fp, pos, before, after) of the winnowed k-grams, with ``around`` word hashes to each side.
+
+    A k-gram is ordered by the upper half of its hash, then by its position, both in one long, so the minimum of a
+    window also tells where it is. Equal windows have their minimum at the same offset, whatever comes before them.
+    """
     n, w = F.size("hw"), length - k + 1
-    grams = df.withColumn("kh", F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at("hw", i + j) for j in range(k)]))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    m = F.size("kh")
-    least = grams.withColumn("least", F.when(m >= w, F.transform(F.sequence(F.lit(1), F.greatest(m - w + 1, F.lit(1))), lambda i: F.array_min(F.slice("kh", i, w)))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    r = F.size("least")
-    # a k-gram is kept if it is the smallest of some window that holds it, so if the largest of those minima is itself
-    chosen = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda p: F.array_max(F.slice("least", F.greatest(p - w + 1, F.lit(1)), F.least(p, r) - F.greatest(p - w + 1, F.lit(1)) + 1)) == F.try_element_at("kh", p))
+    gram = lambda i: F.xxhash64(*[F.try_element_at("hw", i + j) for j in range(k)])
+    count = n - k + 1
+    placed = df.withColumn("placed", F.when(n >= length, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: gram(i).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))))
+    m = F.size("placed")
+    least = placed.withColumn("least", F.when(m >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(m - w + 1, F.lit(1))), lambda i: F.array_min(F.slice("placed", i, w))))))
     near = lambda start, size: F.slice("hw", start, size)
-    context = lambda p: F.struct(
-        F.try_element_at("kh", p).alias("fp"), p.alias("pos"),
-        F.reverse(near(F.greatest(p - around, F.lit(1)), F.least(p - 1, F.lit(around)))).alias("before"), near(p + k, F.lit(around)).alias("after"),
-    )
-    return least.withColumn("kept", F.when(r >= 1, F.transform(chosen, context)).otherwise(F.expr("cast(array() as array<struct<fp:bigint,pos:int,before:array<bigint>,after:array<bigint>>>)")))
+
+    def context(v: Column) -> Column:
+        p = v.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        before = F.reverse(near(F.greatest(p - around, F.lit(1)), F.least(p - 1, F.lit(around))))
+        return F.struct(gram(p).alias("fp"), p.alias("pos"), before.alias("before"), near(p + k, F.lit(around)).alias("after"))
+
+    return least.withColumn("kept", F.coalesce(F.transform("least", context), F.expr("cast(array() as array<struct<fp:bigint,pos:int,before:array<bigint>,after:array<bigint>>>)")))
 
 
 def _same(a: Column, b: Column) -> Column:
