@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.core import read, shared_root
-from spinewright.llm import decontaminate, mixing, sharding, simhash, warc
+from spinewright.llm import decontaminate, mixing, sharding, simhash, toxicity, warc
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.with_score(docs.select("doc_id", "text"), toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(read(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,7 +44,7 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_kd_sharding, op7_simhash_variants, op9_winnowing, op10_warc_store)
+    f.__name__: f for f in (op1_mixing, op3_string_kernel, op4_kd_sharding, op7_simhash_variants, op9_winnowing, op10_warc_store)
 }
 _MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
