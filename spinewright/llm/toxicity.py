@@ -35,6 +35,8 @@ SAMPLE_DOCS = 10_000
 DECAY, MAX_SPAN, LETTERS = 0.7, 6, 64
 POSITIVE, NEGATIVE, LANDMARKS = 1500, 5000, 240
 WINDOW, STEP = 24, 12
+#: Values of a piece above which it counts in the link, and the number of the link's features.
+WEAK, STRONG, FEATURES = 0.2, 0.6, 8
 _CACHE_PIECES = 400_000
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")
@@ -136,12 +138,13 @@ class Model:
         self.learn(unknown)
         get, rows = self._cache, []
         for c, u in zip(cut, uniq, strict=True):
-            over = [(get[p], p) for p in u if get[p] > 0]
+            over = [(get[p], p) for p in u if get[p] > WEAK]
             n = sum(c.count(p) for _, p in over)
-            strong = sum(c.count(p) for v, p in over if v > 0.5)
+            strong = [p for v, p in over if v > STRONG]
+            often = sum(c.count(p) for p in strong)
             top = max((get[p] for p in u), default=-2.0)
-            rows.append((np.log1p(n), np.log1p(strong), np.sqrt(n / (len(c) + 20)), np.sqrt(strong / (len(c) + 20)), np.clip(top, -2, 2), float(n >= 3)))
-        return np.array(rows, np.float64).reshape(-1, 6)
+            rows.append((np.log1p(n), np.log1p(often), np.sqrt(n / (len(c) + 20)), np.sqrt(often / (len(c) + 20)), np.clip(top, -2, 2), np.log1p(len(strong)), float(len(strong) >= 2), float(often >= 3)))
+        return np.array(rows, np.float64).reshape(-1, FEATURES)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = self.describe(texts)
@@ -236,35 +239,46 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model
         strong = rated.where((F.col("ratio") >= 4) & (F.col("gain") >= 16) & (F.col("d") >= 3))
         fragments = {r["fragment"]: r["ratio"] for r in strong.where("not word").orderBy(F.desc("gain"), "fragment").limit(2000).collect()}
         fragments |= {r["fragment"]: r["ratio"] for r in strong.where("word").orderBy(F.desc("gain"), "fragment").limit(2000).collect()}
-        candidates = rated.where("word and t > 0 and ratio > 1.5").orderBy(F.desc("t"), "fragment").limit(20 * POSITIVE).select("fragment", "t").collect()
+        candidates = rated.where("word and t > 0 and ratio > 1.5").orderBy(F.desc("t"), "fragment").limit(20 * POSITIVE).select("fragment", "t", "c").collect()
         tied_to = lambda w: w in fragments or any(w[:k] in fragments for k in range(3, 8))
         positive = [(r["fragment"], r["t"]) for r in candidates if tied_to(r["fragment"])][:POSITIVE]
+        also_clean = [(r["fragment"], r["c"]) for r in candidates if r["c"] and tied_to(r["fragment"])][:POSITIVE]
         plain = rated.where("word and c > 0 and ratio < 2")
         negative = [(r["fragment"], r["c"]) for r in [*plain.orderBy(F.desc("c"), "fragment").limit(NEGATIVE // 4).collect(), *plain.orderBy(F.xxhash64("fragment")).limit(NEGATIVE).collect()] if not tied_to(r["fragment"])]
-        negative = list(dict(negative).items())
+        # clean words that begin like positive ones, which the machine must tell from them
+        starts = sorted({w[:2] for w, _ in positive})
+        alike = plain.where(F.substring("fragment", 1, 2).isin(starts)).orderBy(F.desc("c"), "fragment").limit(NEGATIVE // 2).collect()
+        negative = list(dict(negative + [(r["fragment"], r["c"]) for r in alike if not tied_to(r["fragment"])]).items())
         if positive and negative:
-            weights, bias = _fit(positive, negative)
-    model = Model(weights, bias, np.zeros(7))
+            weights, bias = _fit(positive, negative, also_clean)
+    model = Model(weights, bias, np.zeros(FEATURES + 1))
     rest = labelled.where("half = 1")
     described = rest.select("toxic", _described(model)(F.col("text")).alias("x")).collect()  # ``limit`` rows of a few numbers
     y = np.array([r["toxic"] for r in described], float)
     if len(set(y)) == 2:
         model.link = _logistic(np.array([r["x"] for r in described]), y)
     else:  # nothing to learn from
-        model.link = np.array([0, 0, 0, 0, 0, 0, 2.0 * y.mean() - 2.0 if len(y) else -2.0])
+        model.link = np.array([0.0] * FEATURES + [2.0 * y.mean() - 2.0 if len(y) else -2.0])
     return model
 
 
-def _fit(positive: list[tuple[str, int]], negative: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
+def _fit(positive: list[tuple[str, int]], negative: list[tuple[str, int]], also_clean: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     half = LANDMARKS // 2
     marks = [w for w, _ in positive[:half]] + [w for w, _ in negative[:half]]
     phi = _features(marks)
-    words = [w for w, _ in positive] + [w for w, _ in negative]
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    size = np.array([min(n, 20) for _, n in positive + negative], float)
-    size[: len(positive)] /= size[: len(positive)].mean()
-    size[len(positive) :] /= size[len(positive) :].mean()
-    size[: len(positive)] *= max(1.0, len(negative) / len(positive) / 4)
+    # the strongest words also with a foreign letter inside, so that such spellings are learnt
+    random, variants = np.random.default_rng(7), []
+    for w, n in positive[:200]:
+        if len(w) >= 4:
+            for _ in range(2):
+                at = int(random.integers(1, len(w)))
+                variants.append((w[:at] + chr(97 + int(random.integers(26))) + w[at:], max(1, n // 4)))
+    plus, minus = positive + variants, negative + also_clean
+    words = [w for w, _ in plus] + [w for w, _ in minus]
+    y = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
+    size = np.array([min(n, 20) for _, n in plus] + [min(n, 40) for _, n in minus], float)
+    size[: len(plus)] *= len(minus) / 3 / size[: len(plus)].sum()
+    size[len(plus) :] *= len(minus) / size[len(plus) :].sum()
     blocks = [_dot(words[i : i + 256], phi) for i in range(0, len(words), 256)]
     k, kmm = np.concatenate(blocks), phi.T.astype(np.float64) @ phi
     value, vector = np.linalg.eigh(kmm)
