@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.core import read, shared_root
-from spinewright.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, toxicity, warc
+from spinewright.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, token_counts, toxicity, warc
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.apply_edits(token_counts.sample_edits(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_divergence, op3_string_kernel, op4_kd_sharding, op6_weak_supervision, op7_simhash_variants, op8_consensus_paths, op9_winnowing, op10_warc_store)
+    f.__name__: f for f in (op1_mixing, op2_divergence, op3_string_kernel, op4_kd_sharding, op5_edit_counts, op6_weak_supervision, op7_simhash_variants, op8_consensus_paths, op9_winnowing, op10_warc_store)
 }
 _MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
