@@ -78,8 +78,11 @@ def _length_factor(n: int) -> float:
     return float(np.sqrt(sum(t[3] ** 2 for t in _triples(n)))) or 1.0
 
 
-def _dot(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """For each word the product of its features and ``weights`` (one row, or a column for each landmark)."""
+def _dot(words: list[str], weights: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """For each word the product of its features and ``weights`` (one row, or a column for each landmark).
+
+    With ``place``, a feature's weight stands in that row.
+    """
     out = np.zeros((len(words), *weights.shape[1:]), np.float64)
     by: dict[int, list[int]] = {}
     for at, w in enumerate(words):
@@ -87,19 +90,26 @@ def _dot(words: list[str], weights: np.ndarray) -> np.ndarray:
     for n, where in by.items():
         c, total = _codes([words[i] for i in where]), 0.0
         for i, j, k, v in _triples(n + 1):
-            total = total + v * weights[(c[:, i] * LETTERS + c[:, j]) * LETTERS + c[:, k]]
+            feature = (c[:, i] * LETTERS + c[:, j]) * LETTERS + c[:, k]
+            total = total + v * weights[feature if place is None else place[feature]]
         out[where] = total / _length_factor(n + 1) if not isinstance(total, float) else 0.0
     return out
 
 
-def _features(words: list[str]) -> np.ndarray:
-    """A column of the feature space for each word (few words: landmarks only)."""
-    out = np.zeros((LETTERS**3, len(words)), np.float32)
-    for at, w in enumerate(words):
-        c = _codes([w])[0]
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, values): a column for each word over the features that occur in any, and a last row of zeros."""
+    found: list[dict[int, float]] = []
+    for w in words:
+        c, own = _codes([w])[0], Counter()
         for i, j, k, v in _triples(len(c)):
-            out[(c[i] * LETTERS + c[j]) * LETTERS + c[k], at] += v / _length_factor(len(c))
-    return out
+            own[int((c[i] * LETTERS + c[j]) * LETTERS + c[k])] += v / _length_factor(len(c))
+        found.append(own)
+    used = np.array(sorted(set().union(*found)), np.int64)
+    row, out = {f: i for i, f in enumerate(used.tolist())}, np.zeros((len(used) + 1, len(words)))
+    for at, own in enumerate(found):
+        for f, v in own.items():
+            out[row[f], at] = v
+    return used, out
 
 
 @dataclass
@@ -265,7 +275,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model
 def _fit(positive: list[tuple[str, int]], negative: list[tuple[str, int]], also_clean: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     half = LANDMARKS // 2
     marks = [w for w, _ in positive[:half]] + [w for w, _ in negative[:half]]
-    phi = _features(marks)
+    used, phi = _features(marks)
+    place = np.full(LETTERS**3, len(used), np.int32)
+    place[used] = np.arange(len(used))
     # the strongest words also with a foreign letter inside, so that such spellings are learnt
     random, variants = np.random.default_rng(7), []
     for w, n in positive[:200]:
@@ -279,13 +291,15 @@ def _fit(positive: list[tuple[str, int]], negative: list[tuple[str, int]], also_
     size = np.array([min(n, 20) for _, n in plus] + [min(n, 40) for _, n in minus], float)
     size[: len(plus)] *= len(minus) / 3 / size[: len(plus)].sum()
     size[len(plus) :] *= len(minus) / size[len(plus) :].sum()
-    blocks = [_dot(words[i : i + 256], phi) for i in range(0, len(words), 256)]
-    k, kmm = np.concatenate(blocks), phi.T.astype(np.float64) @ phi
+    blocks = [_dot(words[i : i + 256], phi, place) for i in range(0, len(words), 256)]
+    k, kmm = np.concatenate(blocks), phi.T @ phi
     value, vector = np.linalg.eigh(kmm)
     keep = value > 1e-6 * value.max()
     to = vector[:, keep] / np.sqrt(value[keep])
     w = _machine(np.concatenate([k @ to, np.ones((len(k), 1))], axis=1), y, size, 1.0)
-    return (phi @ (to @ w[:-1])).astype(np.float32), float(w[-1])
+    weights = np.zeros(LETTERS**3, np.float32)
+    weights[used] = (phi @ (to @ w[:-1]))[:-1]
+    return weights, float(w[-1])
 
 
 def _described(model: Model) -> object:
