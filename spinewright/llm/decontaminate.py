@@ -13,6 +13,8 @@ ignored. Items without words never occur.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,31 +34,36 @@ def words(text: str) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    """Adds ``hw``, the 64-bit hash of each word, to a frame with ``text``."""
-    return df.withColumn("hw", F.transform(words("text"), lambda w: F.xxhash64(w)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once: a lambda's variable is never replaced by its expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _hashes(text: str) -> Column:
+    """The 64-bit hash of each word."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _kept(df: DataFrame, k: int, length: int, around: int) -> DataFrame:
-    """Adds ``kept``: structs (fp, pos, before, after) of the winnowed k-grams, with ``around`` word hashes to each side.
+def _kept(hw: Column, k: int, length: int, around: int) -> Column:
+    """Structs (fp, pos, before, after) of the winnowed k-grams, with ``around`` word hashes to each side.
 
     A k-gram is ordered by the upper half of its hash, then by its position, both in one long, so the minimum of a
     window also tells where it is. Equal windows have their minimum at the same offset, whatever comes before them.
     """
-    n, w = F.size("hw"), length - k + 1
-    gram = lambda i: F.xxhash64(*[F.try_element_at("hw", i + j) for j in range(k)])
-    count = n - k + 1
-    placed = df.withColumn("placed", F.when(n >= length, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: gram(i).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))))
-    m = F.size("placed")
-    least = placed.withColumn("least", F.when(m >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(m - w + 1, F.lit(1))), lambda i: F.array_min(F.slice("placed", i, w))))))
-    near = lambda start, size: F.slice("hw", start, size)
+    w = length - k + 1
+    gram = lambda i: F.xxhash64(*[F.try_element_at(hw, i + j) for j in range(k)])
+    upto = lambda n: F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    near = lambda start, size: F.slice(hw, start, size)
+    placed = F.transform(upto(F.size(hw) - k + 1), lambda i: gram(i).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))
 
     def context(v: Column) -> Column:
         p = v.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
         before = F.reverse(near(F.greatest(p - around, F.lit(1)), F.least(p - 1, F.lit(around))))
         return F.struct(gram(p).alias("fp"), p.alias("pos"), before.alias("before"), near(p + k, F.lit(around)).alias("after"))
 
-    return least.withColumn("kept", F.coalesce(F.transform("least", context), F.expr("cast(array() as array<struct<fp:bigint,pos:int,before:array<bigint>,after:array<bigint>>>)")))
+    least = lambda g: F.array_distinct(F.transform(upto(F.size(g) - w + 1), lambda i: F.array_min(F.slice(g, i, w))))
+    kept = _let(placed, lambda g: F.transform(least(g), context))
+    return F.coalesce(F.when(F.size(hw) >= length, kept), F.expr("cast(array() as array<struct<fp:bigint,pos:int,before:array<bigint>,after:array<bigint>>>)"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -74,22 +81,22 @@ def profiles(lengths: list[int], window: int = WINDOW, k: int = K) -> list[tuple
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, one row for each row of ``docs``."""
-    bench = materialize(_hashed(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))).select("item", "hw").where(F.size("hw") > 0))
+    bench = materialize(items.select(F.col(item_col).cast("string").alias("item"), _hashes(item_text_col).alias("hw"))).where(F.size("hw") > 0)
     lengths = [r["n"] for r in bench.select(F.least(F.size("hw"), F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
-    rows = _hashed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", F.xxhash64("text").alias("version"), "hw")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     zero = F.expr("named_struct('fp', cast(null as bigint), 'pos', 0, 'before', cast(array() as array<bigint>), 'after', cast(array() as array<bigint>))")
     found = None
     for at, (shortest, longest, k, length) in enumerate(profiles(lengths, window)):
         around = window - k
         of = bench.where(F.size("hw").between(shortest, longest))
         prints = materialize(
-            _kept(of, k, length, around).select("item", F.least(F.size("hw"), F.lit(window)).alias("need"), F.explode("kept").alias("x"))
+            of.select("item", F.least(F.size("hw"), F.lit(window)).alias("need"), F.explode(_kept(F.col("hw"), k, length, around)).alias("x"))
             .groupBy(F.col("x.fp").alias("fp"), F.col("x.before").alias("item_before"), F.col("x.after").alias("item_after"), "need").agg(F.collect_set("item").alias("items"))
         )
-        kept = _kept(rows, k, length, around)
         # one row for each document besides its fingerprints, so that documents without a hit stay
-        first = F.concat(F.array(zero), F.col("kept")) if at == 0 else F.col("kept")
-        spread = kept.select("doc_id", "version", F.size("hw").alias("n_words"), F.explode(first).alias("x")).select("doc_id", "version", "n_words", F.col("x.fp").alias("fp"), F.col("x.pos").alias("pos"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
+        listed = lambda hw: F.concat(F.array(zero), _kept(hw, k, length, around)) if at == 0 else _kept(hw, k, length, around)  # noqa: B023, E731
+        described = rows.select("doc_id", "version", _let(_hashes("text"), lambda hw: F.struct(F.size(hw).alias("n_words"), listed(hw).alias("kept"))).alias("d"))  # noqa: B023
+        spread = described.select("doc_id", "version", "d.n_words", F.explode("d.kept").alias("x")).select("doc_id", "version", "n_words", "x.fp", "x.pos", "x.before", "x.after")
         left, right = _same(F.col("before"), F.col("item_before")), _same(F.col("after"), F.col("item_after"))
         hits = (
             sized_join(spread, prints, "fp", "left", limit=BROADCAST_FINGERPRINTS)
@@ -99,7 +106,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         )
         found = hits if found is None else found.unionByName(hits)
     if found is None:  # no item has a word
-        found = rows.select("doc_id", "version", F.size("hw").alias("n_words"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("array<string>").alias("items"))
+        found = rows.select("doc_id", "version", F.size(words("text")).alias("n_words"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("array<string>").alias("items"))
     per_doc = found.groupBy("doc_id", "version").agg(
         F.max("n_words").cast("long").alias("n_words"), F.sum(F.when(F.col("first").isNull(), 1).otherwise(0)).alias("copies"),
         F.sort_array(F.collect_set(F.when(F.col("first").isNotNull(), F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))))).alias("spans"),
