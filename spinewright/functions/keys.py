@@ -152,8 +152,9 @@ def trigrams(c: Column) -> Column:
 
 
 def gram_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two trigram arrays."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    """Jaccard similarity of two arrays of distinct trigrams."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either > 0, both / either).otherwise(0.0)
 
 

@@ -32,11 +32,12 @@ def block_pairs(rows: DataFrame, key: Column, cap: int = PAIR_CAP) -> DataFrame:
     """Pairs within blocks of at most ``cap`` pairs. Oversized blocks are dropped before the self join, so no key
     of the join can be hot."""
     accepted = block_sizes(rows, key).where(F.col("pairs") <= cap).select("block_key", "size")
-    inside = rows.withColumn("block_key", key).join(accepted, "block_key")
+    # trigrams once a row, not once a pair; unused ones are pruned
+    inside = rows.withColumns({"block_key": key, "grams": keys.trigrams(F.col("name_norm"))}).join(accepted, "block_key")
     a, b = inside.alias("a"), inside.alias("b")
     return a.join(b, (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.id") < F.col("b.id"))).select(
         F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.block_key").alias("block_key"), F.col("a.size").alias("size"),
-        F.col("a.name_norm").alias("left_name"), F.col("b.name_norm").alias("right_name"),
+        F.col("a.grams").alias("left_grams"), F.col("b.grams").alias("right_grams"),
     )
 
 
@@ -47,7 +48,7 @@ def phone_pairs(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
 
 def address_pairs(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     key = F.concat(F.lit("address:"), F.col("postal"), F.lit("|"), F.col("street_num"))
-    similar = keys.gram_similarity(keys.trigrams(F.col("left_name")), keys.trigrams(F.col("right_name")))
+    similar = keys.gram_similarity(F.col("left_grams"), F.col("right_grams"))
     return block_pairs(rows, key, cap).withColumn("similarity", F.round(similar, 6)).where(F.col("similarity") >= ADDRESS_SIMILARITY).select("left_id", "right_id", "block_key", "size", "similarity")
 
 
@@ -93,8 +94,8 @@ def candidates(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
 
 
 def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each pair with both businesses, as ``l_*`` and ``r_*``."""
-    side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in BUSINESS])
+    """Each pair with both businesses, as ``l_*`` and ``r_*``, and their names' trigrams."""
+    side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in BUSINESS], keys.trigrams(F.col("name_norm")).alias(f"{p}_grams"))
     return pairs.join(side("l"), F.col("left_id") == F.col("l_id")).join(side("r"), F.col("right_id") == F.col("r_id"))
 
 
@@ -111,7 +112,7 @@ def gated(pairs: DataFrame, rows: DataFrame, metres: int = GATE_M) -> DataFrame:
 def score(joined: DataFrame) -> DataFrame:
     """Adds ``name_similarity``, ``signals``, ``score`` and ``band`` to pairs with both sides: whole numbers only."""
     c, same = F.col, lambda x: F.coalesce(F.col(f"l_{x}") == F.col(f"r_{x}"), F.lit(False))
-    sim = F.round(keys.gram_similarity(keys.trigrams(c("l_name_norm")), keys.trigrams(c("r_name_norm"))), 6)
+    sim = F.round(F.coalesce(keys.gram_similarity(c("l_grams"), c("r_grams")), F.lit(0.0)), 6)
     df = joined.withColumns({"name_similarity": sim, "metres": distance()})
     number = same("street_num") & same("postal") & (c("l_street_num") != "")
     located = c("metres").isNotNull()
