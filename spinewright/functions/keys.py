@@ -16,6 +16,8 @@ TRADE_WORDS = "taqueria carniceria panaderia".split()
 # Postal abbreviations of street types and directions.
 STREET_TYPES = {"STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "ROAD": "RD", "HIGHWAY": "HWY", "EXPRESSWAY": "EXPY", "FREEWAY": "FWY", "PARKWAY": "PKWY", "LANE": "LN", "COURT": "CT", "CIRCLE": "CIR", "PLACE": "PL", "TRAIL": "TRL", "TERRACE": "TER", "PLAZA": "PLZ", "CENTER": "CTR", "SQUARE": "SQ"}
 DIRECTIONS = {"NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW"}
+# Designators that say nothing about which unit is meant.
+UNIT_WORDS = "STE SUITE UNIT APT APARTMENT NO NUM NUMBER RM ROOM SPC SPACE".split()
 # Host classes and their domains.
 HOST_CLASSES = {
     "business_site_dead": ["business.site", "g.page"],
@@ -104,11 +106,17 @@ def address_parts(raw: Column) -> Column:
 
 
 def unit_identity(unit: Column) -> Column:
-    """A unit without its designator and punctuation; null if nothing is left."""
-    bare = F.regexp_replace(F.upper(unit), r"\b(?:STE|SUITE|UNIT|APT|BLDG|RM|SPC|LOT|FL)\b|[^A-Z0-9]", "")
+    """A unit for comparison, without designator words and punctuation; null if nothing is left. Buildings, lots and
+    floors keep their word, as it tells units apart."""
+    bare = F.array_join(F.filter(_tokens(F.regexp_replace(F.upper(unit), "[^A-Z0-9]+", " ")), lambda t: ~t.isin(UNIT_WORDS)), "")
     return F.when(bare != "", bare)
 
 
+def units_conflict(a: Column, b: Column) -> Column:
+    """Both sides name a unit, and not the same one."""
+    return F.coalesce(unit_identity(a) != unit_identity(b), F.lit(False))
+
+
 def phone(raw: Column) -> Column:
     """``struct(e164, blockable)`` of a North American number; an approximation of the full numbering plan."""
     extension = raw.rlike(r"(?i)(?:ext\.?|x)\s*\d+\s*$")
@@ -139,10 +147,10 @@ def fnv1a32(c: Column) -> Column:
 
 
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle metres on a sphere."""
+    """Great-circle metres on a sphere; null if any coordinate is."""
     half = lambda d: F.pow(F.sin(F.radians(d) / 2), 2)
     h = half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng2 - lng1)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.when(h.isNotNull(), 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h))))  # least() skips nulls
 
 
 def trigrams(c: Column) -> Column:

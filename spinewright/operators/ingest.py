@@ -52,3 +52,45 @@ def stratified_sample(rows: DataFrame, group: Column, id_col: str, each: int) ->
     """``each`` rows of every group in the order of the id's MD5: the same rows at every run."""
     order = Window.partitionBy("group").orderBy("digest", id_col)
     return rows.withColumns({"group": group, "digest": F.md5(F.col(id_col).cast("string").cast("binary"))}).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+
+
+def skip_reason(name: Column, country: Column, region: Column, well_formed: Column) -> Column:
+    """Why a place isn't admitted, first reason first: malformed, not_texas, no_name; null if it is. A null region isn't Texas."""
+    texas = F.coalesce((country == "US") & (region == "TX"), F.lit(False))
+    return F.when(~F.coalesce(well_formed, F.lit(False)), "malformed").when(~texas, "not_texas").when(F.coalesce(F.trim(name), F.lit("")) == "", "no_name")
+
+
+def anonymised(places: DataFrame, kind: str, city: str, south: float, west: float, north: float, east: float, page: str = "page", place: str = "place") -> DataFrame:
+    """Listings with synthetic values for all that was present: ``id, name, address, lat, lng, phone, website`` in and out.
+
+    The number follows from page and place, coordinates from a hash of the id (inside the box by a twentieth),
+    foreign addresses stay foreign and a website keeps its host class; null stays null."""
+    from spinewright.functions.keys import fnv1a32, half_up, host_class
+    from spinewright.operators.sweep import out_of_area
+
+    number = F.lpad(((F.col(page) - 1) * 20 + F.col(place) + 1).cast("string"), 3, "0")
+    kept = lambda c, v: F.when(F.col(c).isNotNull(), v).alias(c)
+    tail = F.lower(F.trim(F.element_at(F.split(F.trim(F.col("address")), ","), -1)))
+    home = F.concat(number, F.lit(f" Synthetic St, {city}, TX 78500"), F.when(tail.isin("usa", "united states"), ", USA").otherwise(""))
+    inside = lambda lo, hi, axis: half_up((lo + (0.05 + 0.9 * fnv1a32(F.concat("id", F.lit(axis))) / 2**32) * (hi - lo)) * 10_000) / 10_000
+    hosts = {"business_site_dead": ("synthetic-", ".business.site"), "social": ("www.facebook.com/synthetic-", ""), "directory": ("www.yelp.com/biz/synthetic-", ""), "platform_subdomain": ("synthetic-", ".wixsite.com/site")}
+    site = F.coalesce(*[F.when(host_class(F.col("website")) == k, F.concat(F.lit(f"https://{a}"), number, F.lit(b))) for k, (a, b) in hosts.items()], F.concat(F.lit("https://synthetic-"), number, F.lit(".example")))
+    return places.select(
+        "id", kept("name", F.concat(F.lit(f"Synthetic {kind} "), number)), kept("address", F.when(out_of_area(F.col("address")), F.concat(number, F.lit(" Calle Sintetica, Synthetic, Mexico"))).otherwise(home)),
+        kept("lat", inside(south, north, ":lat")), kept("lng", inside(west, east, ":lng")), kept("phone", F.concat(F.lit("(956) 555-01"), F.substring(number, 2, 2))), kept("website", site),
+    )
+
+
+def statewide_names(rows: DataFrame, raw: str, n: str) -> DataFrame:
+    """Counts of raw names added up by their key: ``name_norm, n``."""
+    from spinewright.functions.keys import name_norm
+
+    return rows.select(name_norm(F.col(raw)).alias("name_norm"), n).where("name_norm is not null").groupBy("name_norm").agg(F.sum(n).alias("n"))
+
+
+def outlet_counts(permits: DataFrame, ranges: list[tuple[str, int, int]]) -> DataFrame:
+    """Permits (``county, naics``) per county and cluster, of which the first half-open code range counts: ``county, cluster, outlets``."""
+    from spinewright.operators.report import first_range
+
+    found = permits.withColumn("cluster", first_range(F.col("naics").cast("int"), ranges)).where("cluster is not null")
+    return found.groupBy("county", "cluster").agg(F.count("*").alias("outlets"))

@@ -41,3 +41,56 @@ def reserved(requests: DataFrame, period: str, order: list[str], amount: str, ca
     """Reservations in event order: accepted while the sum of all asked so far is within ``cap``."""
     w = Window.partitionBy(period).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return requests.withColumn("asked", F.sum(amount).over(w)).withColumn("accepted", F.col("asked") <= cap)
+
+
+MAX_MICROS = 1_000_000_000_000
+# Price per request in micro-dollars and free requests a month (null: unlimited) of each billing unit.
+PRICES = {
+    "ts_essentials": (0, None), "ts_pro": (32_000, 5_000), "ts_enterprise": (35_000, 1_000), "ts_enterprise_atmosphere": (40_000, 1_000),
+    "pd_essentials": (5_000, 10_000), "pd_pro": (17_000, 5_000), "pd_enterprise": (20_000, 1_000),
+}
+TIERS = ("ts_essentials", "ts_pro", "ts_enterprise", "ts_enterprise_atmosphere")
+
+
+def parsed_dollars(text: Column) -> Column:
+    """Micro-dollars of ``50``, ``$50.00`` or ``1,250.5``; null for anything else and above a million dollars. Digits only, no float."""
+    pattern = r"^\$?\s*(\d{1,3}(?:,\d{3})*|\d+)(?:\.(\d{1,2}))?$"
+    t = F.trim(text)
+    dollars, cents = F.replace(F.regexp_extract(t, pattern, 1), F.lit(",")), F.rpad(F.regexp_extract(t, pattern, 2), 2, "0")
+    value = (dollars.try_cast("decimal(30,0)") * 1_000_000 + cents.try_cast("decimal(30,0)") * 10_000).try_cast("long")
+    return F.when(t.rlike(pattern) & (value <= MAX_MICROS), value)
+
+
+def dollars(micros_: Column) -> Column:
+    """``50.00``: sub-cent amounts are cut off, so what is shown never exceeds what is held."""
+    size = F.abs(micros_)
+    cents = F.expr("0L") + F.floor(size / F.lit(10_000))
+    return F.concat(F.when(micros_ < 0, "-").otherwise(""), F.floor(cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("long").cast("string"), 2, "0"))
+
+
+def tier(fields: Column, of_field: dict[str, str]) -> Column:
+    """The highest billing tier of an array of fields; null for an empty array or an unknown field."""
+    rank = lambda f: F.coalesce(*[F.when(f.isin([k for k, v in of_field.items() if v == t]), F.lit(i)) for i, t in enumerate(TIERS)])
+    ranks = F.transform(fields, rank)
+    known = (F.size(fields) > 0) & ~F.exists(ranks, lambda r: r.isNull())
+    return F.when(known, F.element_at(F.array(*map(F.lit, TIERS)), F.array_max(ranks) + 1))
+
+
+def quota_error(status: Column, limits: Column) -> Column:
+    """What a failed request means, from its status and the quota names in its body: daily_quota, rate_limited, rejected or unavailable."""
+    named = lambda p: F.coalesce(F.exists(limits, lambda x: F.coalesce(x.rlike(p), F.lit(False))), F.lit(False))
+    busy = F.when(named("(?i)PerDay"), "daily_quota").when(named("(?i)PerMinute"), "rate_limited").otherwise("daily_quota")
+    return F.when(status == 429, busy).when(status.isin(400, 401, 403, 404), "rejected").otherwise("unavailable")
+
+
+def purge_overdue(now: Column, oldest_expired: Column, last_purge: Column, expired: Column, held: Column, oldest_held: Column, hours: int = 36) -> Column:
+    """Whether the purge is behind: a row expired for over ``hours``, a last purge as old, or none ever with something due."""
+    over = lambda t: F.coalesce(F.unix_micros(now) - F.unix_micros(t) > hours * 3_600_000_000, F.lit(False))
+    return F.when(over(oldest_expired), True).when(last_purge.isNotNull(), over(last_purge)).when(expired > 0, True).otherwise((held > 0) & over(oldest_held))
+
+
+def purged(rows: DataFrame, orgs: DataFrame, org: str, expires: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and how many went of each org, zeros included."""
+    gone = F.col(expires) <= now
+    counts = orgs.select(org).join(rows.where(gone).groupBy(org).agg(F.count("*").alias("purged")), org, "left").na.fill(0, ["purged"])
+    return rows.where(~F.coalesce(gone, F.lit(False))), counts

@@ -10,7 +10,7 @@ from spinewright.core import materialize
 from spinewright.functions import keys
 from spinewright.operators.graph import connected_components
 
-BUSINESS = ("id", "name_norm", "phone", "blockable", "street_num", "street_norm", "postal", "lat", "lng", "location_match_type", "cluster_key", "chain")
+BUSINESS = ("id", "name_norm", "phone", "blockable", "street_num", "street_norm", "unit", "postal", "lat", "lng", "location_match_type", "cluster_key", "chain")
 PAIR_CAP = 500
 ADDRESS_SIMILARITY, NAME_SIMILARITY, TOP = 0.3, 0.45, 5
 GATE_M = 25_000
@@ -118,7 +118,7 @@ def score(joined: DataFrame) -> DataFrame:
     located = c("metres").isNotNull()
     promotable = located & (c("l_location_match_type") != "census_non_exact") & (c("r_location_match_type") != "census_non_exact")
     df = df.withColumns({
-        "same_phone": same("phone") & c("l_blockable") & c("r_blockable"), "same_address": number & same("street_norm") & (c("l_street_norm") != ""),
+        "same_phone": same("phone") & c("l_blockable") & c("r_blockable"), "same_address": number & same("street_norm") & (c("l_street_norm") != "") & ~keys.units_conflict(c("l_unit"), c("r_unit")),
         "close": F.when(promotable, c("metres")),
     })
     name = keys.half_up(45 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c("name_similarity") - 0.4) / 0.6)))

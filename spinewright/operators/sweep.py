@@ -59,13 +59,76 @@ def shallowest(tiles: DataFrame) -> DataFrame:
 
 
 def decided(probes: DataFrame, probe: str, score: str, tie: str, attach: int, tentative: int) -> DataFrame:
-    """Each probe's best match: attached at ``attach`` or more unless the runner-up ties, tentative between, else unmatched."""
-    w = Window.partitionBy(probe).orderBy(F.desc(score), tie)
-    two = probes.withColumns({"r": F.row_number().over(w), "second": F.lead(score).over(w)}).where("r = 1")
-    tied = F.coalesce(F.col("second") == F.col(score), F.lit(False))
-    outcome = F.when((F.col(score) >= attach) & ~tied, "attached").when(F.col(score) >= tentative, "tentative").otherwise("unmatched")
-    return two.select(probe, F.col(tie).alias("best"), score, outcome.alias("outcome"))
+    """Each probe's best match: attached at ``attach`` or more, tentative at ``tentative``, else unmatched. If a second one
+    reaches ``attach`` too, neither is attached: the best is tentative and ``tied`` names the second.
+
+    The two best come from one aggregation: a probe's best, then the best of the others."""
+    rank = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))
+    best = probes.groupBy(probe).agg(F.min(rank).alias("b"))
+    second = probes.join(best, probe).where(rank > F.col("b")).groupBy(probe).agg(F.min(rank).alias("n"))
+    two = best.join(second, probe, "left").select(probe, F.col("b.t").alias("best"), (-F.col("b.s")).alias(score), F.when(-F.col("n.s") >= attach, F.col("n.t")).alias("tied"))
+    outcome = F.when((F.col(score) >= attach) & F.col("tied").isNull(), "attached").when(F.col(score) >= tentative, "tentative").otherwise("unmatched")
+    return two.select(probe, "best", score, "tied", outcome.alias("outcome"))
 
 
 def versioned(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+# Country names that end an address outside the area.
+FOREIGN = "mexico,méxico,canada,guatemala,belize,honduras,el salvador,nicaragua,costa rica,panama,panamá,cuba".split(",")
+REFERENCE_MILES = 25
+
+
+def out_of_area(address: Column) -> Column:
+    """Whether an address ends in a foreign country's name; no address says nothing."""
+    tail = F.trim(F.element_at(F.split(F.trim(address), ","), -1))
+    return F.coalesce(F.lower(tail).isin(FOREIGN), F.lit(False))
+
+
+def service_area_score(fallback: Column, same_phone: Column, same_city: Column, similarity: Column) -> Column:
+    """The score of a listing without a storefront: 95 by phone, city and name, else ``fallback`` up to 94."""
+    sure = F.coalesce(same_phone & same_city & (similarity >= 0.6), F.lit(False))
+    return F.when(sure, 95).otherwise(F.least(fallback, F.lit(94)))
+
+
+def expected_outlets(cells: DataFrame, counts: DataFrame, statewide: DataFrame, counties: int) -> DataFrame:
+    """Cells ``cluster, unit, county, share, miles`` with ``exact`` and ``expected`` outlets.
+
+    A county has its measured count (``counts``: county, cluster, outlets) or an equal part of what the measured ones
+    leave of the state's (``statewide``: cluster, outlets). A city has its ``share`` of its county; a radius its square
+    against 25 miles, a whole county at most. An unknown cluster gives null, never zero."""
+    measured = counts.groupBy("cluster").agg(F.sum("outlets").alias("known"), F.count("*").alias("n"))
+    part = statewide.join(measured, "cluster", "left").select("cluster", F.try_divide(F.col("outlets") - F.coalesce("known", F.lit(0)), F.lit(counties) - F.coalesce("n", F.lit(0))).alias("part"))
+    j = cells.join(counts.select("county", "cluster", "outlets"), ["county", "cluster"], "left").join(part, "cluster", "left")
+    ratio = F.when(F.col("miles").isNotNull(), F.least(F.lit(1.0), F.pow(F.col("miles") / REFERENCE_MILES, 2))).otherwise(F.coalesce("share", F.lit(1.0)))
+    exact = F.coalesce(F.col("outlets").cast("double"), F.col("part")) * ratio
+    return j.select(*cells.columns, exact.alias("exact"), F.floor(exact + 0.5).cast("long").alias("expected"))
+
+
+def cost_range(searches: Column, used: Column, remaining: Column, price: int = 35_000, free: int = 1_000) -> dict[str, Column]:
+    """Requests and micro-dollars of so many type searches, low and high, and the high cost's percentage of what remains."""
+    left = F.greatest(F.lit(0), F.lit(free) - used)
+    low, high = request_range(searches)
+    cost = lambda n: (F.greatest(F.lit(0), n - left) * price).cast("long")
+    percent = F.when(remaining > 0, F.try_divide(100 * cost(high), remaining)).when(cost(high) > 0, 100.0).otherwise(0.0)
+    return {"requests_low": low, "requests_high": high, "micros_low": cost(low), "micros_high": cost(high), "percent_high": percent}
+
+
+def admitted(runs: DataFrame, now: Column) -> DataFrame:
+    """Adds ``state`` to runs (``run_id, org, status, queued_at, started_at, heartbeat``): a queued run of over 15 minutes has
+    never_started, a running one silent for 30 is abandoned, and of an org's other live runs only the oldest is admitted."""
+    age = lambda c: F.unix_micros(now) - F.unix_micros(c.cast("timestamp"))
+    lost = (F.when((F.col("status") == "queued") & (age(F.col("queued_at")) > 15 * 60_000_000), "never_started")
+            .when((F.col("status") == "running") & (age(F.coalesce("heartbeat", "started_at")) > 30 * 60_000_000), "abandoned"))
+    live = F.col("status").isin("queued", "running") & F.col("lost").isNull()
+    r = runs.withColumn("lost", lost)
+    first = r.where(live).groupBy("org").agg(F.min(F.struct("queued_at", "run_id"))["run_id"].alias("first"))
+    state = F.coalesce("lost", F.when(live, F.when(F.col("run_id") == F.col("first"), "admitted").otherwise("refused")), "status")
+    return r.join(first, "org", "left").withColumn("state", state).drop("lost", "first")
+
+
+def root_tiles(cells: DataFrame, types: DataFrame) -> DataFrame:
+    """A root tile for each cell (``cluster, unit_kind, unit``) and search type of its cluster (``cluster, type``), each key once."""
+    key = F.concat(F.col("unit_kind"), F.lit(":"), F.replace("unit", F.lit("\0"), F.lit("/")), F.lit("|"), F.col("type"), F.lit("|r"))
+    return cells.join(types, "cluster").withColumn("tile_key", key).dropDuplicates(["tile_key", "cluster"])

@@ -15,7 +15,7 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     bn = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
     rows = p.select(
         k.alias("id"), F.lower("p_name").alias("name_norm"), F.concat(F.lit("+1956"), F.lpad((k % 400).cast("string"), 7, "0")).alias("phone"), (k % 7 != 0).alias("blockable"),
-        F.col("p_size").cast("string").alias("street_num"), F.lower("p_type").alias("street_norm"), F.col("p_brand").alias("postal"),
+        F.col("p_size").cast("string").alias("street_num"), F.lower("p_type").alias("street_norm"), F.when(k % 3 == 0, F.concat(F.lit("Ste. #"), (k % 5).cast("string"))).when(k % 3 == 1, F.concat(F.lit("Suite "), (k % 5).cast("string"))).alias("unit"), F.col("p_brand").alias("postal"),
         (25.8 + bn * F.lit(0.03) + F.col("p_size") * F.lit(0.0002) + (k % 10) * F.lit(0.0001)).alias("lat"), (-99.3 + bn * F.lit(0.05) + (k % 7) * F.lit(0.0001)).alias("lng"),
         F.when(k % 11 == 0, "census_non_exact").otherwise("overture").alias("location_match_type"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("cluster_key"),
     )
@@ -27,7 +27,7 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BIZ = """
 biz AS (SELECT *, count(*) OVER (PARTITION BY name_norm, postal, street_norm) >= 3 AS chain FROM (
   SELECT p_partkey AS id, lower(p_name) AS name_norm, '+1956' || lpad((p_partkey % 400)::VARCHAR, 7, '0') AS phone, p_partkey % 7 <> 0 AS blockable,
-    p_size::VARCHAR AS street_num, lower(p_type) AS street_norm, p_brand AS postal,
+    p_size::VARCHAR AS street_num, lower(p_type) AS street_norm, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 5 END AS unit, p_brand AS postal,
     25.8::DOUBLE + regexp_extract(p_brand, '[0-9]+')::INT * 0.03::DOUBLE + p_size * 0.0002::DOUBLE + (p_partkey % 10) * 0.0001::DOUBLE AS lat,
     -99.3::DOUBLE + regexp_extract(p_brand, '[0-9]+')::INT * 0.05::DOUBLE + (p_partkey % 7) * 0.0001::DOUBLE AS lng,
     CASE WHEN p_partkey % 11 = 0 THEN 'census_non_exact' ELSE 'overture' END AS kind, split_part(p_name, ' ', 2) AS cluster_key FROM part)),
@@ -45,7 +45,7 @@ near AS (SELECT * FROM (SELECT a.id, b.id AS other_id, sim AS similarity, row_nu
 cand AS (SELECT left_id, right_id, min(r) AS r FROM (SELECT left_id, right_id, 1 AS r FROM phone_pairs UNION ALL SELECT left_id, right_id, 2 FROM address_pairs UNION ALL SELECT least(id, other_id), greatest(id, other_id), 3 FROM near) GROUP BY 1, 2)"""
 _SCORES = """,
 j AS (SELECT c.*, a.name_norm AS an, b.name_norm AS bn, sim, a.phone = b.phone AND a.blockable AND b.blockable AS sp, a.postal = b.postal AS po, a.postal = b.postal AND a.street_num = b.street_num AS num,
-    a.postal = b.postal AND a.street_num = b.street_num AND a.street_norm = b.street_norm AS full_address, a.kind <> 'census_non_exact' AND b.kind <> 'census_non_exact' AS promotable, a.cluster_key = b.cluster_key AS sc, a.chain OR b.chain AS chained,
+    a.postal = b.postal AND a.street_num = b.street_num AND a.street_norm = b.street_norm AND coalesce(a.unit = b.unit, true) AS full_address, a.kind <> 'census_non_exact' AND b.kind <> 'census_non_exact' AS promotable, a.cluster_key = b.cluster_key AS sc, a.chain OR b.chain AS chained,
     2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) AS m
   FROM cand c JOIN biz a ON a.id = left_id JOIN biz b ON b.id = right_id JOIN sims s ON s.a = a.name_norm AND s.b = b.name_norm),
 s1 AS (SELECT *, CASE WHEN promotable THEN m END AS near_m FROM j),
@@ -134,7 +134,7 @@ def match_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = pair_score(spark, sf_dir)
     both = s.select(F.col("left_id").alias("probe"), F.col("right_id").alias("other"), "score").unionByName(s.select(F.col("right_id").alias("probe"), F.col("left_id").alias("other"), "score"))
-    return decided(both, "probe", "score", "other", 95, 80)
+    return decided(both, "probe", "score", "other", 90, 80)
 
 
 _W, _R = f"WITH {_BIZ}{_BLOCKS}", f"WITH RECURSIVE {_BIZ}{_BLOCKS}{_SCORES}{_ROOTS}"
@@ -159,6 +159,6 @@ ORACLES = {
         arg_min(l_linestatus, (-l_discount, l_orderkey, l_linenumber)) AS l_linestatus FROM lineitem GROUP BY 1""",
     "similarity_golden": f"""WITH {_BIZ} , f AS (SELECT n, g, list_distinct(list_transform(generate_series(1, len(split_part(n, ' ', 1)) + 1), lambda i: substr('  ' || split_part(n, ' ', 1) || ' ', i, 3))) AS h FROM grams)
         SELECT n AS name_norm, len(g) AS grams, round(len(list_intersect(g, h))::DOUBLE / len(list_distinct(list_concat(g, h))), 6) AS first_word FROM f""",
-    "match_decide": f"""{_S}, b AS (SELECT left_id AS probe, right_id AS other, score FROM scored UNION ALL SELECT right_id, left_id, score FROM scored), w AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS second FROM b WINDOW o AS (PARTITION BY probe ORDER BY score DESC, other))
-        SELECT probe, other AS best, score, CASE WHEN score >= 95 AND second IS DISTINCT FROM score THEN 'attached' WHEN score >= 80 THEN 'tentative' ELSE 'unmatched' END AS outcome FROM w WHERE r = 1""",
+    "match_decide": f"""{_S}, b AS (SELECT left_id AS probe, right_id AS other, score FROM scored UNION ALL SELECT right_id, left_id, score FROM scored), w AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS second, lead(other) OVER o AS next FROM b WINDOW o AS (PARTITION BY probe ORDER BY score DESC, other))
+        SELECT probe, other AS best, score, CASE WHEN second >= 90 THEN next END AS tied, CASE WHEN score >= 90 AND coalesce(second < 90, true) THEN 'attached' WHEN score >= 80 THEN 'tentative' ELSE 'unmatched' END AS outcome FROM w WHERE r = 1""",
 }
