@@ -62,9 +62,9 @@ def test_hash_distance_similarity(spark):
 
 
 def test_score_rules(spark):
-    base = dict(name_norm="rio grande roofing", phone="+19562631462", blockable=True, street_num="1", street_norm="MAIN ST", postal="78501", lat=26.2, lng=-98.2, location_match_type="overture", cluster_key="roof", chain=False)
-    schema = "id long, name_norm string, phone string, blockable boolean, street_num string, street_norm string, postal string, lat double, lng double, location_match_type string, cluster_key string, chain boolean"
-    cases = [({}, 100, "merge"), ({"lat": 27.2}, 0, "distinct"), ({"chain": True}, 94, "review"), ({"name_norm": "zzz"}, 80, "review"), ({"location_match_type": "census_non_exact"}, 94, "review"), ({"phone": None, "street_num": "2", "street_norm": "OAK", "lat": 26.21}, 59, "ignore"), ({"lat": None}, 94, "review")]
+    base = dict(name_norm="rio grande roofing", phone="+19562631462", blockable=True, street_num="1", street_norm="MAIN ST", unit="2", postal="78501", lat=26.2, lng=-98.2, location_match_type="overture", cluster_key="roof", chain=False)
+    schema = "id long, name_norm string, phone string, blockable boolean, street_num string, street_norm string, unit string, postal string, lat double, lng double, location_match_type string, cluster_key string, chain boolean"
+    cases = [({}, 100, "merge"), ({"lat": 27.2}, 0, "distinct"), ({"chain": True}, 94, "review"), ({"name_norm": "zzz"}, 80, "review"), ({"location_match_type": "census_non_exact"}, 94, "review"), ({"phone": None, "street_num": "2", "street_norm": "OAK", "lat": 26.21}, 59, "ignore"), ({"lat": None}, 94, "review"), ({"unit": "Ste. #2"}, 100, "merge"), ({"unit": "3", "phone": None, "lat": None}, 65, "ignore")]
     rows, pairs = [tuple({"id": 0, **base}[k] for k in resolve.BUSINESS)], []
     for i, (change, _, _) in enumerate(cases, 1):
         rows.append(tuple({"id": i, **base, **change}[k] for k in resolve.BUSINESS))
