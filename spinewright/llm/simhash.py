@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
+from spinewright.llm import near_copies
 from spinewright.operators.graph import connected_components
 
 SEED = 42
@@ -55,6 +56,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
 
 
+def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.fromiter((simhash(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "version", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` of every row, ``fp`` as the signed 64-bit long with the fingerprint's bits."""
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -98,10 +105,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest ``doc_id`` stays, whole.
+    """The documents without near copies: of each component one row stays, whole, the one with the smallest ``doc_id``.
 
-    Equal rows count once. Rows without an id stay, once a text, unless all of them have copies with an id.
+    Links are fingerprints within two bits, and five-word shingle sets with a Jaccard similarity of 0.8 or more
+    (:mod:`near_copies`). Rows are told apart by id and text, so a near copy goes also where its id is kept for another
+    text. Equal rows count once. Rows without an id come after those with one, in the order of their texts' hashes.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    version = F.xxhash64("text")
+    prints = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), version.alias("version"))
+    rows = materialize(prints.mapInArrow(_versions, "doc_id long, version long, fp long"))
+    found = materialize(near_copies.classes(docs))
+    fps = materialize(rows.select("fp").distinct())
+    of_class = materialize(found.select("version", "class").distinct().join(rows.select("version", "fp").distinct(), "version").groupBy("class").agg(F.min("fp").alias("fp")))
+    pairs = materialize(near_copies.links(docs, found))
+    n = of_class.count()
+    src, dst = (of_class.select(F.col("class").alias(end), F.col("fp").alias(f"{end}_fp")) for end in ("src", "dst"))
+    similar = sized_join(sized_join(pairs, src, "src", rows=n), dst, "dst", rows=n).select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst")).where("src <> dst")
+    roots = materialize(connected_components(links(fps).unionByName(similar)))
+    rooted = sized_join(rows, roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "version", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("x"))
+    kept = materialize(first.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.version").alias("_kept_version")))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_version") == F.col("_kept_version"))
+    return docs.withColumn("_version", version).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_version"]).drop("_version")

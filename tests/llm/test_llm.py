@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spinewright.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, token_counts, toxicity, warc
+from spinewright.llm import decontaminate, html_text, mixing, near_copies, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from tests.llm.helpers import docs, empty
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -133,6 +133,53 @@ def test_simhash_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def _jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_near_copies_equal_all_pairs(spark, bucket):
+    r, rows = random.Random(7), []
+    for group, size in enumerate([40, 8, 5, *[3] * 20, *[1] * 60]):
+        base = [f"g{group}w{r.randint(0, 400)}" for _ in range(r.choice([4, 30, 120, 400]))]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 2, 4, 8]) if size > 1 else 0):
+                w[r.randrange(len(w))] = f"x{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_copies.classes(d).cache()
+    ids = {x["class"]: x["version"] for x in found.collect()}
+    text = {x["v"]: x["text"] for x in d.selectExpr("xxhash64(text) v", "text").collect()}
+    got = {frozenset((ids[x["src"]], ids[x["dst"]])) for x in near_copies.links(d, found, bucket_pairs=bucket).collect()}
+    want = {frozenset((a, b)) for a in text for b in text if a < b and text[a] != text[b] and _jaccard(text[a], text[b]) >= 0.8}
+    assert len(want) > 100 and got <= want
+    root = {v: v for v in text}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in map(sorted, got):
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert sum(top(a) != top(b) for a, b in map(sorted, want)) <= 0.01 * len(want)
+    assert bucket == 2 or len(got) >= 0.9 * len(want)
+
+
+def test_keep_one_drops_near_copies(spark):
+    r = random.Random(9)
+    base = [[f"v{r.randint(0, 5000)}" for _ in range(200)] for _ in range(20)]
+    edited = lambda w, n: [f"e{i}" if i in set(range(7, 7 + 40 * n, 40)) else x for i, x in enumerate(w)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, " ".join(edited(w, 1 + i % 4))) for i, w in enumerate(base)]
+    assert all(_jaccard(rows[i][1], rows[20 + i][1]) >= 0.8 for i in range(20))
+    assert sorted(x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(20))
+
+
 # decontamination
 
 
