@@ -81,6 +81,11 @@ def profiles(lengths: list[int], window: int = WINDOW, k: int = K) -> list[tuple
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, one row for each row of ``docs``."""
+    return _judged(docs, items, id_col, text_col, item_col, item_text_col, window).drop("version")
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """:func:`contamination` with ``version``, the hash of the row's text."""
     bench = materialize(items.select(F.col(item_col).cast("string").alias("item"), _hashes(item_text_col).alias("hw"))).where(F.size("hw") > 0)
     lengths = [r["n"] for r in bench.select(F.least(F.size("hw"), F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
@@ -117,12 +122,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["last"] - F.greatest(a["to"], s["first"] - 1))).alias("n"), F.greatest(a["to"], s["last"]).alias("to")),
         lambda a: a["n"],
     )
-    out = per_doc.select("doc_id", "n_words", fold.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = per_doc.select("doc_id", "version", "n_words", fold.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return out.select("doc_id", "version", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones, whole rows. A row without an id is judged with all others without one."""
-    bad = materialize(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
-    n, same = bad.count(), F.col("doc_id").eqNullSafe(F.col("_bad"))
-    return docs.join(F.broadcast(bad) if n <= 500_000 else bad, same, "left_anti")
+    """``docs`` without the contaminated ones, whole rows. Rows are told apart by id and text, with or without an id."""
+    bad = materialize(_judged(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("version").alias("_bad_version")).distinct())
+    n, same = bad.count(), F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.col("_version") == F.col("_bad_version"))
+    return docs.withColumn("_version", F.xxhash64("text")).join(F.broadcast(bad) if n <= 500_000 else bad, same, "left_anti").drop("_version")

@@ -180,6 +180,14 @@ def test_keep_one_drops_near_copies(spark):
     assert sorted(x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(20))
 
 
+def test_keep_one_tells_rows_apart_by_text(spark):
+    words = [" ".join(f"t{k}w{i}" for i in range(50)) for k in range(4)]
+    # id 2 is kept for text 1, its copy of text 0 goes; texts 2 and 3 have rows without an id
+    rows = [(1, words[0]), (2, words[0]), (2, words[1]), (None, words[2]), (None, words[2]), (None, words[3]), (5, words[3])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, words[0]), (2, words[1]), (None, words[2]), (5, words[3])])
+
+
 # decontamination
 
 
@@ -232,6 +240,13 @@ def test_winnowing_edge_cases(spark):
     assert decontaminate.drop_contaminated(docs(spark), item).columns == docs(spark).columns
 
 
+def test_drop_contaminated_keeps_clean_rows_of_an_id(spark):
+    item = spark.createDataFrame([(1, "the cat sat on the mat today")], "item_id long, text string")
+    rows = [(None, "the cat sat on the mat today"), (None, "clean one"), (None, None), (3, "The cat sat on the mat today"), (3, "clean two"), (3, "clean two"), (4, None)]
+    got = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), item).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, "clean one"), (None, None), (3, "clean two"), (3, "clean two"), (4, None)])
+
+
 # archive
 
 
