@@ -2,8 +2,9 @@
 
 Every page's containers are scored by the text of their own blocks, links counting against them; a page votes
 for the generalised paths (tags with their classes, numbers and identifiers generalised) of its best containers. Spark adds up the
-votes for each host, and the pages are extracted again from the host's winning paths. A page on which no winning
-path holds text, or without a host, is extracted from its own best container.
+votes for each host, and the pages are extracted again around the host's winning paths: all blocks under any of them, and what
+stands beside and around them unless it is mostly links. A page on which no winning path holds text, or without a host, is
+extracted around its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments are
 left out wherever they stand. White space in a block becomes one space, blocks are joined by a line end, and
@@ -27,6 +28,8 @@ from spinewright.core import materialize, sized_join
 
 #: Containers a page votes for, paths a host may win with, and the share of the best path's votes a winner needs.
 VOTES, WINNERS, WINNING_SHARE = 3, 5, 0.25
+#: Share of links above which what stands apart from the winning containers is a menu.
+MENU_SHARE = 2 / 3
 BROADCAST_HOSTS = 100_000
 
 _TOKEN = re.compile(r"<(?:!--(?:.*?--!?>|.*)|!\[CDATA\[|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?)", re.DOTALL)
@@ -42,6 +45,7 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {
 # Parts of class and id names that mark a page's furniture.
 _FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply related recommended recommendations widget pagination pager search skip".split())
 _CONTENT = frozenset("article content entry post story main body text".split())
+_KEPT = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NUMBER = re.compile(r"[0-9]+")
 
@@ -181,16 +185,31 @@ class Page:
         return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:VOTES] if s > 0] if total else []
 
     def text(self, winners: list[str]) -> str:
-        """The blocks under the first winning path that holds any, else under the page's best path."""
+        """All blocks of the page in their order, but those of menus: subtrees apart from the winning containers that are mostly links.
+
+        Whatever stands under a winning path stays, and so do headings and what is in an article; so does everything
+        beside or around them that is no list of links. ``body`` counts as winning only if it is the first winner.
+        """
+        tags = [p.rpartition(">")[2].partition(".")[0] for p in self.paths]
+        size, linked = [0] * len(tags), [0] * len(tags)
+        for text, links, node in self.blocks:
+            size[node] += len(text)
+            linked[node] += links
+        for node in range(len(tags) - 1, 0, -1):  # children come after their parents
+            size[self.parents[node]] += size[node]
+            linked[self.parents[node]] += linked[node]
+        held = {p for p, n in zip(self.paths, size, strict=True) if n}
         own = [p for p, _ in self.votes()[:1]]
-        for path in [*winners, *own, ""]:
-            inside = [p == path for p in self.paths]
-            for node in range(1, len(self.paths)):
-                inside[node] = inside[node] or inside[self.parents[node]]
-            found = [t for t, _, node in self.blocks if inside[node]]
-            if found:
-                return "\n".join(found)
-        return ""
+        won = {next((p for p in [*winners, *own] if p in held), "")} | {p for p in winners if not p.endswith(("html", "body")) and p}
+        sure, holds = [p in won or t in _KEPT for p, t in zip(self.paths, tags, strict=True)], [False] * len(tags)
+        for node in range(1, len(tags)):
+            sure[node] = sure[node] or sure[self.parents[node]]
+        for node in range(len(tags) - 1, 0, -1):
+            holds[self.parents[node]] |= holds[node] or sure[node] and size[node] > 0
+        menu = [False] * len(tags)
+        for node in range(1, len(tags)):
+            menu[node] = not sure[node] and (menu[self.parents[node]] or not holds[node] and linked[node] > MENU_SHARE * size[node])
+        return "\n".join(t for t, links, node in self.blocks if sure[node] or not menu[node] and links <= MENU_SHARE * len(t))
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

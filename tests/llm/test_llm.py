@@ -399,6 +399,29 @@ def test_html_consensus(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_what_stands_beside_the_winners(spark):
+    r = random.Random(11)
+    say = lambda n: " ".join(r.choice("river stone quiet walk green house morning".split()) for _ in range(n))
+    shapes = {
+        "nested": lambda h, i, x, y: f"<article>{h}{i}<section>{x}</section><section>{y}</section></article>",
+        "one": lambda h, i, x, y: f"<div>{h}{i}<div class=long>{x}{y}</div></div>",
+        "list": lambda h, i, x, y: f"<article>{h}{i}<ul><li>{x}</li><li>{y}</li></ul></article>",
+        "table": lambda h, i, x, y: f"<div>{h}{i}<table><tr><td>{x}</td></tr><tr><td>{y}</td></tr></table></div>",
+        "paras": lambda h, i, x, y: f"{h}{i}<div class=content><div class=para>{x}</div><div class=para>{y}</div></div>",
+        "classes": lambda h, i, x, y: f"{h}{i}<div><section class=one>{x}</section><section class=two>{y}</section></div>",
+    }
+    rows, want = [], {}
+    for host, shape in shapes.items():
+        for k in range(6):
+            title, intro, x, y = say(3), say(8), say(r.randint(60, 200)), say(r.randint(60, 200))
+            menu = "<nav><a href=/>home</a></nav><ul><li><a href=/a>first page</a><li><a href=/b>second page</a></ul>"
+            page = f"<html><body>{menu}{shape(f'<h1>{title}</h1>', f'<p>{intro}</p>', f'<p>{x}</p>', f'<p>{y}</p>')}<div class=footer><p>imprint</div></body></html>"
+            rows.append((len(rows), f"http://{host}.example/{k}", page))
+            want[len(rows) - 1] = "\n".join([title, intro, x, y])
+    out = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["text"] for x in out} == want
+
+
 # token counts
 
 
