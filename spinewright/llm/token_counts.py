@@ -2,7 +2,7 @@
 
 A text is cut into pre-tokens, which byte-pair merges never cross; up to ``LEAF`` of them form a leaf with its
 length and token count, and a tree of sums stands on the leaves. An edit descends to its leaf, pre-tokenises again
-from the start of the leaf before it (the boundary context) until a new boundary meets an old leaf's end behind
+from the start of the last leaf before it that holds text (the boundary context) until a new boundary meets an old leaf's end behind
 the edit, and updates the sums above the leaves it touched. From a common boundary on both texts are cut alike,
 as the pattern only looks ahead, so the count equals that of the edited text encoded anew.
 
@@ -102,7 +102,8 @@ class Tree:
         stop = min(max(stop, start), len(text))
         edited, shift = text[:start] + new + text[stop:], len(new) - (stop - start)
         first, at = self._leaf_at(start)
-        if first:  # boundary context
+        context = at
+        while first and at == context:  # boundary context, which an emptied leaf doesn't hold
             first -= 1
             at -= self.chars[self.size + first]
         last, end = first, at

@@ -436,6 +436,20 @@ def test_edit_counts_equal_full_encoding():
             assert tree.total == token_counts.Tree.of(text, count).total
 
 
+def test_edit_counts_behind_emptied_leaves():
+    count, r = token_counts.counter(token_counts.VOCABULARY), random.Random(5)
+    for _ in range(100):
+        text = " foo" * 640
+        tree = token_counts.Tree.of(text, count)
+        for _ in range(4):
+            a = 4 * r.randint(0, len(text) // 4)
+            text = tree.edit(text, a, a + 4 * r.randint(100, 250), "")
+            ends = [sum(tree.leaf_lists()[0][:k]) for k in range(tree.leaves + 1)]
+            for at in sorted(set(ends), reverse=True):
+                text = tree.edit(text, at, at, "x")
+                assert tree.total == token_counts.Tree.of(text, count).total
+
+
 def test_edit_counts_rows(spark):
     d = docs(spark).select("doc_id", "text")
     out = token_counts.apply_edits(token_counts.sample_edits(d)).collect()
