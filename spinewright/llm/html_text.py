@@ -1,15 +1,27 @@
 """Main text of web pages by consensus paths of each host.
 
-Every page's containers are scored by the text of their own blocks, links counting against them; a page votes
-for the generalised paths (tags with their classes, numbers and identifiers generalised) of its best containers. Spark adds up the
-votes for each host, and the pages are extracted again around the host's winning paths: all blocks under any of them, and what
-stands beside and around them unless it is mostly links. A page on which no winning path holds text, or without a host, is
-extracted around its own best container.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments are
-left out wherever they stand. White space in a block becomes one space, blocks are joined by a line end, and
+Every page's containers (sections of the layout: div, section, article, main, body and the like; paragraphs, lists and
+tables belong to the container around them) are scored by the text they hold themselves, links counting against them,
+names that suggest furniture weighing less and articles more. A page casts one vote, shared among the generalised
+paths of its containers (tags, classes and ids, with numbers and identifiers generalised) by score. Spark adds up the
+votes of each host's distinct pages and keeps, for every path on ``SEEN`` pages or more, whether it won (``WINS`` or
+more of the best path's votes) or lost, and whether its text repeats from page to page while the winner's doesn't.
+
+Then every page is extracted again by its host's paths. Kept are the text under a winning container, and what stands
+loose around it in the containers that enclose it (titles, intros), but lists of links. A losing container beside the
+winners goes, and so does one inside them that repeats, or whose name suggests furniture: the host decides, as a name
+alone excludes nothing that won. An ``article`` around a winner is kept whole in this sense. On paths that the host
+has seen on fewer than ``SEEN`` pages the page itself decides in the same way, by its own scores; that holds also for
+a page that holds none of the winning paths, and for pages without a host.
+
+Elements whose role is furniture (nav, aside, footer, form, a header outside articles, ARIA roles, hidden parts),
+scripts and styles never count as text. White space in a block becomes one space, blocks are joined by a line end, and
 nothing else is dropped or cut. Unclosed tags, stray ends, unclosed quotes and cut-off pages are read leniently.
-Null html and pages without text give an empty text. Repeated rows get a row each; extra columns are ignored.
+
+Null html and pages without text give an empty text; an empty table gives no rows. Pages with equal html vote once a
+host. Repeated rows get a row each; extra columns are ignored, whatever their names. Paths with equal votes win or
+lose together. Very long pages are read in one pass and kept whole; no number of paths or blocks is capped, the
+lists of a host are bounded as each of their paths stands for a share of its pages.
 """
 
 from __future__ import annotations
@@ -17,20 +29,26 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
 
-#: Containers a page votes for, paths a host may win with, and the share of the best path's votes a winner needs.
-VOTES, WINNERS, WINNING_SHARE = 3, 5, 0.25
-#: Share of links above which what stands apart from the winning containers is a menu.
+#: Share of the best path's votes a winner needs.
+WINS = 0.25
+#: Distinct pages of a host, and share of them, a path must be on for the host to judge it.
+SEEN, SEEN_SHARE = 3, 0.02
+#: Share of links above which what stands loose around the winning containers is a menu.
 MENU_SHARE = 2 / 3
-BROADCAST_HOSTS = 100_000
+#: Weight of text in containers whose names suggest furniture, and of text in articles.
+NAMED, ARTICLE = 0.1, 3.0
+#: Bytes of all hosts' lists up to which they are broadcast.
+BROADCAST_BYTES = 32_000_000
 
 _TOKEN = re.compile(r"<(?:!--(?:.*?--!?>|.*)|!\[CDATA\[|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
@@ -45,32 +63,40 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {
 # Parts of class and id names that mark a page's furniture.
 _FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply related recommended recommendations widget pagination pager search skip".split())
 _CONTENT = frozenset("article content entry post story main body text".split())
-_KEPT = frozenset("article main h1 h2 h3 h4 h5 h6".split())
+_STRONG = frozenset("ad ads comment comments sidebar related nav menu footer cookie".split())
+# Blocks that belong to the container around them.
+_TEXTUAL = frozenset("p li pre blockquote h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot table caption dd dt dl ul ol dir address figure figcaption hgroup header hr legend summary details option".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_NUMBER = re.compile(r"[0-9]+")
+_IDENTIFIER = re.compile(r"(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{6,}(?![0-9a-z])|[0-9]+")
 
 
 def _generalised(name: str) -> str:
-    """A class name without what differs from page to page."""
-    return "" if len(name) > 24 or sum(c.isdigit() for c in name) > 4 else _NUMBER.sub("#", name.lower())
+    """A class or id without what differs from page to page: numbers and hexadecimal identifiers."""
+    return _IDENTIFIER.sub("#", name.lower())
+
+
+def _suggests_furniture(name: str) -> bool:
+    parts = {p.lower() for p in _PARTS.findall(name)}
+    return bool(parts & _FURNITURE) and not (parts & _CONTENT and not parts & _STRONG)
 
 
 @dataclass
 class _Open:
     tag: str
-    path: str
     out: bool  # left out
     node: int
 
 
 class Page:
-    """The blocks of a page: ``(text, link characters, container numbers from the innermost out)``; ``paths`` by container."""
+    """A page as blocks ``(text, link characters, node)`` over a tree of block elements, a parent's number below its children's."""
 
     def __init__(self, html: str):
-        self.paths: list[str] = [""]
-        self.parents: list[int] = [0]
+        self.tags, self.parents, self.paths, self.named = [""], [0], [""], [False]
+        #: The container a node's text belongs to.
+        self.holders = [0]
+        self.in_article = [False]
         self.blocks: list[tuple[str, int, int]] = []
-        self._stack = [_Open("", "", False, 0)]
+        self._stack = [_Open("", False, 0)]
         self._text: list[str] = []
         self._linked, self._in_link = 0, 0
         self._read(html)
@@ -114,30 +140,34 @@ class Page:
             self._text.append(" ")
         if tag in _VOID:
             return
-        top, classes, out = self._stack[-1], [], tag in _LEFT_OUT
-        if attributes and (block or "class" in attributes or "hidden" in attributes or "style" in attributes):
+        top, names, out, named = self._stack[-1], [], tag in _LEFT_OUT, False
+        if attributes and (block or "hidden" in attributes or "style" in attributes or "role" in attributes):
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    parts = {p.lower() for p in _PARTS.findall(value)}
-                    out = out or bool(parts & _FURNITURE) and not (parts & _CONTENT and not parts & {"ad", "ads", "comment", "comments", "sidebar", "related", "nav", "menu", "footer", "cookie"}) and tag not in ("body", "html", "article", "main")
-                    classes += [g for c in value.split() if (g := _generalised(c))] if name == "class" else []
+                    named = named or _suggests_furniture(value)
+                    names += [("." if name == "class" else "#") + _generalised(c) for c in value.split()]
                 elif name == "role":
                     out = out or value.lower() in _ROLES
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     out = True
-                else:
+                elif name == "style":
                     out = out or "display:none" in value.replace(" ", "").lower()
         if tag == "header":  # a site's header, not the head of an article
             out = out or not any(o.tag in ("article", "main") for o in self._stack)
-        node, path = top.node, top.path
+        node = top.node
         if block:
-            path = f"{top.path}>{tag}" + "".join(f".{c}" for c in sorted(set(classes)))
-            node = len(self.paths)
-            self.paths.append(path)
+            node = len(self.tags)
+            # a name on a list or a paragraph makes it a container of its own
+            holds = tag not in _TEXTUAL or named
+            self.tags.append(tag)
             self.parents.append(top.node)
+            self.named.append(named and tag not in ("html", "body", "article", "main"))
+            self.holders.append(node if holds else self.holders[top.node])
+            self.paths.append(f"{self.paths[top.node]}>{tag}{''.join(sorted(set(names)))}" if holds else self.paths[top.node])
+            self.in_article.append(tag == "article" or self.in_article[top.node])
         self._in_link += tag == "a"
-        self._stack.append(_Open(tag, path, out or top.out, node))
+        self._stack.append(_Open(tag, out or top.out, node))
 
     def _read(self, html: str) -> None:
         at, size = 0, len(html)
@@ -165,75 +195,123 @@ class Page:
                 self._start(tag, m[3])
         self._flush()
 
-    def scores(self) -> dict[int, float]:
-        """Container -> score: the unlinked text of its own blocks, and half of its children's."""
-        out: dict[int, float] = defaultdict(float)
+    def shares(self) -> dict[str, float]:
+        """Path -> its containers' share of the page's vote."""
+        total: Counter = Counter()
+        furniture = [False] * len(self.tags)
+        for node in range(1, len(self.tags)):
+            furniture[node] = self.named[node] or furniture[self.parents[node]]
         for text, linked, node in self.blocks:
-            value = max(0, len(text) - 2 * linked)
-            tag = self.paths[node].rpartition(">")[2].partition(".")[0]
-            holder = self.parents[node] if tag in ("p", "li", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt", "figcaption") else node
-            out[holder] += value
-            out[self.parents[holder]] += value / 2 if holder else 0
-        return out
-
-    def votes(self) -> list[tuple[str, float]]:
-        """(path, share) of the best containers' paths; the shares add up to 1 at most."""
-        by_path: Counter = Counter()
-        for node, score in self.scores().items():
-            by_path[self.paths[node]] += score
-        total = sum(by_path.values())
-        return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:VOTES] if s > 0] if total else []
-
-    def text(self, winners: list[str]) -> str:
-        """All blocks of the page in their order, but those of menus: subtrees apart from the winning containers that are mostly links.
-
-        Whatever stands under a winning path stays, and so do headings and what is in an article; so does everything
-        beside or around them that is no list of links. ``body`` counts as winning only if it is the first winner.
-        """
-        tags = [p.rpartition(">")[2].partition(".")[0] for p in self.paths]
-        size, linked = [0] * len(tags), [0] * len(tags)
+            weight = (NAMED if furniture[node] else ARTICLE if self.in_article[node] else 1.0) * max(0, len(text) - 2 * linked)
+            if weight:
+                total[self.paths[node]] += weight
+        everything = sum(total.values())
+        return {p: v / everything for p, v in total.items()}
+
+    def texts(self) -> dict[str, int]:
+        """Path -> a hash of the text its containers hold."""
+        out: dict[str, list[str]] = defaultdict(list)
+        for text, _, node in self.blocks:
+            out[self.paths[node]].append(text)
+        return {p: xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63) for p, t in out.items()}
+
+    def text(self, won: Set[str] = frozenset(), lost: Set[str] = frozenset(), repeated: Set[str] = frozenset()) -> str:
+        """The main text by a host's ``won``, ``lost`` and ``repeated`` paths; the page judges those in none of them."""
+        shares = self.shares()
+        held = {self.paths[node] for _, _, node in self.blocks}
+        best = max(shares.values(), default=0.0)
+        unknown = {p for p, v in shares.items() if v >= WINS * best and p not in won and p not in lost and p not in repeated}
+        winners = (won & held) | unknown or {p for p, v in shares.items() if v >= WINS * best}
+        n = len(self.tags)
+        sure, around, gone = [False] * n, [False] * n, [False] * n
+        for node in range(1, n):
+            parent, path, own = self.parents[node], self.paths[node], self.holders[node] == node
+            sure[node] = sure[parent] or own and path in winners
+            gone[node] = gone[parent] or own and sure[parent] and path not in winners and (self.named[node] or path in repeated)
+        size, linked, holds = [0] * n, [0] * n, [False] * n
         for text, links, node in self.blocks:
             size[node] += len(text)
             linked[node] += links
-        for node in range(len(tags) - 1, 0, -1):  # children come after their parents
-            size[self.parents[node]] += size[node]
-            linked[self.parents[node]] += linked[node]
-        held = {p for p, n in zip(self.paths, size, strict=True) if n}
-        own = [p for p, _ in self.votes()[:1]]
-        won = {next((p for p in [*winners, *own] if p in held), "")} | {p for p in winners if not p.endswith(("html", "body")) and p}
-        sure, holds = [p in won or t in _KEPT for p, t in zip(self.paths, tags, strict=True)], [False] * len(tags)
-        for node in range(1, len(tags)):
-            sure[node] = sure[node] or sure[self.parents[node]]
-        for node in range(len(tags) - 1, 0, -1):
-            holds[self.parents[node]] |= holds[node] or sure[node] and size[node] > 0
-        menu = [False] * len(tags)
-        for node in range(1, len(tags)):
-            menu[node] = not sure[node] and (menu[self.parents[node]] or not holds[node] and linked[node] > MENU_SHARE * size[node])
-        return "\n".join(t for t, links, node in self.blocks if sure[node] or not menu[node] and links <= MENU_SHARE * len(t))
+            holds[node] = holds[node] or sure[node] and not gone[node]
+        for node in range(n - 1, 0, -1):
+            parent = self.parents[node]
+            size[parent] += size[node]
+            linked[parent] += linked[node]
+            holds[parent] = holds[parent] or holds[node]
+        for node in range(1, n):
+            parent = self.parents[node]
+            around[node] = holds[node]
+            # an article around a winner is kept whole
+            if not sure[node] and (self.tags[node] == "article" and holds[node] or sure[parent]):
+                sure[node] = True
+            if sure[node] and not sure[parent]:
+                continue
+            own = self.holders[node] == node
+            gone[node] = gone[node] or gone[parent] or own and not holds[node] and self.paths[node] not in winners and (self.named[node] or self.paths[node] in repeated)
+        around[0] = True
+        kept = []
+        for text, links, node in self.blocks:
+            if sure[node]:
+                keep = not gone[node]
+            else:
+                at = node
+                while at and self.holders[at] != at:
+                    at = self.parents[at]
+                keep = around[at] and not gone[node] and not self._menu(node, at, size, linked) and links <= MENU_SHARE * len(text)
+            if keep:
+                kept.append(text)
+        return "\n".join(kept)
+
+    def _menu(self, node: int, to: int, size: list[int], linked: list[int]) -> bool:
+        """Whether the node or a list around it, below ``to``, is mostly links."""
+        while node != to:
+            if linked[node] > MENU_SHARE * size[node]:
+                return True
+            node = self.parents[node]
+        return False
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        total: Counter = Counter()
-        for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if host and (h := html.as_py()):
-                for path, share in Page(h).votes():
-                    total[host, path] += share
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], ["host", "path", "share"])
-
-
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """``host, winners``: the paths with the most votes of the host's pages, best first. ``pages``: host, html."""
-    votes = materialize(pages.select("host", "html").mapInArrow(_voted, "host string, path string, share double").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes")))
-    best = votes.groupBy("host").agg(F.max("votes").alias("best"))
-    good = votes.join(best, "host").where(F.col("votes") >= WINNING_SHARE * F.col("best"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), 1, WINNERS)
-    return good.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("winners"))
+        host, page, path, share, text = [], [], [], [], []
+        for h, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if h and (source := html.as_py()):
+                read, name = Page(source), xxhash.xxh64_intdigest(source) - (1 << 63)
+                texts = read.texts()
+                shares = read.shares()
+                for p, t in texts.items():
+                    host.append(h)
+                    page.append(name)
+                    path.append(p)
+                    share.append(shares.get(p, 0.0))
+                    text.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(path, pa.string()), pa.array(share, pa.float64()), pa.array(text, pa.int64())], ["host", "page", "path", "share", "text"])
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """``host, won, lost, repeated``: what each host's distinct pages say of the paths seen often enough. ``pages``: host, html.
+
+    Copies of a page are merged before they vote. A host's pages are never gathered: sums by path are partial before
+    their shuffle, and only paths on ``SEEN_SHARE`` of the pages are listed, at most a page's average number of paths
+    divided by that share.
+    """
+    votes = pages.select("host", "html").mapInArrow(_voted, "host string, page long, path string, share double, text long")
+    once = votes.groupBy("host", "page", "path").agg(F.max("share").alias("share"), F.min("text").alias("text"))
+    by_text = once.groupBy("host", "path", "text").agg(F.sum("share").alias("share"), F.count("*").alias("n"))
+    by_path = materialize(by_text.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"), F.sum("n").alias("n"), F.count("*").alias("texts")))
+    # the votes of a host add up to its pages
+    best = by_path.groupBy("host").agg(F.max("votes").alias("best"), F.sum("votes").alias("pages"), F.max(F.struct("votes", (F.col("texts") / F.col("n")).alias("fresh"))).alias("top"))
+    judged = by_path.where(F.col("n") >= SEEN).join(best.select("host", "best", "pages", F.col("top.fresh").alias("fresh")), "host").where(F.col("n") >= SEEN_SHARE * F.col("pages"))
+    win = F.col("votes") >= WINS * F.col("best")
+    again = ~win & (2 * F.col("texts") < F.col("n") * F.col("fresh"))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("path"))))
+    return judged.groupBy("host").agg(listed(win).alias("won"), listed(~win).alias("lost"), listed(again).alias("repeated"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [Page(h.as_py() or "").text(w or []) for h, w in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+        lists = zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+        texts = [Page(h.as_py() or "").text(*(frozenset(x or ()) for x in of)) for h, of in zip(b.column(2), lists, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -241,6 +319,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``, one row for each page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    winners = materialize(winning_paths(rows))
-    joined = sized_join(rows, winners, "host", "left", limit=BROADCAST_HOSTS)
-    return joined.select("page_id", "url", "html", "winners").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    paths = materialize(host_paths(rows))
+    # the lists' length depends on the pages' layouts, so bytes are counted, not hosts
+    width = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p) + 16)
+    size = paths.agg(F.sum(F.octet_length("host") + 64 + width("won") + width("lost") + width("repeated"))).first()[0] or 0
+    joined = sized_join(rows, paths, "host", "left", limit=BROADCAST_BYTES, rows=size)
+    return joined.select("page_id", "url", "html", "won", "lost", "repeated").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

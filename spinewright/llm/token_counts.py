@@ -4,24 +4,31 @@ A text is cut into pre-tokens, which byte-pair merges never cross; up to ``LEAF`
 length and token count, and a tree of sums stands on the leaves. An edit descends to its leaf, pre-tokenises again
 from the start of the last leaf before it that holds text (the boundary context) until a new boundary meets an old leaf's end behind
 the edit, and updates the sums above the leaves it touched. From a common boundary on both texts are cut alike,
-as the pattern only looks ahead, so the count equals that of the edited text encoded anew.
+as the pattern only looks ahead, so the count equals that of the edited text encoded anew. A region that has outgrown
+its leaves is split into more of them, one that has emptied gives leaves up; the other leaves keep their counts and
+only the sums above are laid out again. Nothing outside the region is ever encoded again, whatever an edit's size.
 
 Trees are ordinary rows (``leaf_chars``, ``leaf_tokens``), to be stored with the documents. Edits apply in their
-order, each to the text the last one left; offsets beyond the text are clipped, a null replacement is a deletion.
-Null texts and empty ones have no leaves and zero tokens. Repeated rows get a row each; extra columns are ignored.
+order, each to the text the last one left; offsets beyond the text are clipped, a null replacement is a deletion, edits
+at one place apply one after the other. Null texts and empty ones have no leaves and zero tokens; an empty table gives
+no rows. Very long texts have more leaves, none is cut short. Repeated rows get a row each; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Where executors find the vocabulary, unless the caller names another path or has shipped the file with ``addFile``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-token pattern the vocabulary was made with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,7 +61,8 @@ class Counter:
 
 @lru_cache(maxsize=4)
 def counter(vocabulary: str) -> Counter:
-    return Counter(vocabulary)
+    """The counter of a vocabulary: a path on the executor, or the name of a file shipped with ``SparkContext.addFile``."""
+    return Counter(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
 
 
 class Tree:
@@ -126,8 +134,11 @@ class Tree:
                 break
         self.reencoded += len(pre)
         slots = last - first + 1
-        if len(pre) > 4 * LEAF * slots or place != target and last < self.leaves - 1:
-            self._build(*leaves(edited, self.count))
+        if len(pre) > 2 * LEAF * slots or 4 * len(pre) < LEAF * (slots - 1):
+            # leaves are split or given up; the others' counts stay, only the sums are laid out anew
+            chars, tokens = self.leaf_lists()
+            parts = [pre[i : i + LEAF] for i in range(0, len(pre), LEAF)]
+            self._build(chars[:first] + [sum(map(len, p)) for p in parts] + chars[last + 1 :], tokens[:first] + [sum(map(self.count, p)) for p in parts] + tokens[last + 1 :])
             return edited
         step = max(1, -(-len(pre) // slots))
         for k in range(slots):
@@ -184,14 +195,18 @@ def apply_edits(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select(*cols).mapInArrow(applied, EDITED)
 
 
-def sample_edits(docs: DataFrame, edits: int = 4) -> DataFrame:
-    """``docs`` with an edit log: ``edits`` replacements of up to 11 characters at places that follow from the id."""
+def sample_edits(docs: DataFrame, edits: int = 6) -> DataFrame:
+    """``docs`` with an edit log at places that follow from the id: replacements of up to 11 characters, every third edit a
+    deletion of up to 2,047, and every fifth an insertion of 400 words."""
     h = lambda k: F.xxhash64(F.lit(f"edit-{k}"), F.col("doc_id"))
     n = F.length(F.coalesce(F.col("text"), F.lit(""))) + 1
 
     def edit(k: int):  # noqa: ANN202
         start = F.pmod(h(k), n).cast("int")
-        new = F.element_at(F.array(*map(F.lit, ("", " and", "ß", "<redacted>", " 42", "\n"))), (F.pmod(F.shiftright(h(k), 40), F.lit(6)) + 1).cast("int"))
-        return F.struct(start.alias("start"), (start + F.pmod(F.shiftright(h(k), 20), F.lit(12)).cast("int")).alias("stop"), new.alias("new"))
+        stop = F.pmod(F.shiftright(h(k), 20), F.lit(2048 if k % 3 == 2 else 12)).cast("int")
+        if k % 5 == 4:
+            return F.struct(start.alias("start"), start.alias("stop"), F.lit(" inserted words" * 200).alias("new"))
+        new = F.lit("") if k % 3 == 2 else F.element_at(F.array(*map(F.lit, ("", " and", "ß", "<redacted>", " 42", "\n"))), (F.pmod(F.shiftright(h(k), 40), F.lit(6)) + 1).cast("int"))
+        return F.struct(start.alias("start"), (start + stop).alias("stop"), new.alias("new"))
 
     return docs.withColumn("edits", F.array(*[edit(k) for k in range(edits)]))

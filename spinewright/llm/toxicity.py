@@ -1,20 +1,28 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
-
-A text is cut into pieces: its words in lower case, look-alike digits and signs read as letters, other signs left
-out, runs of spaced single letters joined, very long words in overlapping windows. Two pieces are compared by the
-gap-weighted subsequence kernel of three letters: each common subsequence counts ``DECAY`` to the power of its
-span, so gaps and inserted letters weaken a match but don't break it; a mark before the first letter is part of
-the piece. The kernel is divided by a factor of each piece's length.
-
-Training (bounded by ``SAMPLE_DOCS`` labelled documents, in the order of a hash of the id, held-out rows left out):
-Spark counts word beginnings and words in toxic and clean texts; words whose beginning is strongly tied to toxic
-texts are the positive pieces, words of clean texts the negative ones. Landmarks drawn from both give the Nyström
-map, a squared-hinge machine is fitted on it, and as the kernel's feature space is finite the machine folds into
-one weight for each letter triple. A logistic link over a document's count, density and strongest piece, fitted on
-the half of the sample that the counts did not see, gives the score.
-
-Only texts enter a score. Null and empty texts have no piece and get the link's lowest score. Labels of null
-are left out; an id with several labels is toxic if one says so. Repeated rows get a row each; extra columns stay.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine on labelled sentences.
+
+A text is cut into sentences and these into pieces: words in lower case, look-alike digits and signs read as letters,
+other signs left out, runs of spaced single letters joined, very long words in overlapping windows. Two pieces are
+compared by the gap-weighted subsequence kernel of three letters: each common subsequence counts ``DECAY`` to the
+power of its span, so gaps and inserted letters weaken a match but don't break it; a mark before the first letter is
+part of the piece. The kernel is divided by a factor of each piece's length. Sentences are compared by the sum of
+their pieces' kernels.
+
+Training takes at most ``SAMPLE_DOCS`` labelled documents, in the order of a hash of the id, held-out rows left out;
+nothing else is sampled. Landmarks of the Nyström map are pieces of the sample: half of them those most tied to one
+label, half drawn by hash. The machine (squared hinge) is fitted on the map of labelled sentences, cut into runs of
+``RUN`` pieces so that an insult isn't drowned by its neighbours. A document's label is that of its sentences: first of
+all of them summed, then in ``ROUNDS`` rounds of those the last machine calls toxic (the highest one if there are
+none; half of the machine's constant is enough in toxic documents), toxic documents giving their current ones, clean
+ones those of all past rounds too, as a toxic document has a toxic sentence somewhere and a clean one has none. As the kernel's feature space is finite, the machine folds into one
+weight for each letter triple. A logistic link over a document's strongest sentences and pieces gives the score. It is
+fitted on values from machines of two halves of the sample, each of which scores the half it has not seen.
+
+Only texts enter a score. Null and empty texts have no piece and get the link's score of no evidence; a model without
+labels of both kinds gives every text the same score below 0.5. Labels of null are left out; an id with several labels
+is toxic if one says so; of several texts with one id the one with the smallest hash is used for training, and every
+one is scored. Copies of a text are one training text, toxic if one is. Equal scores of runs go to the earlier one. Very long texts are scored whole, sentence by
+run by run. Repeated rows get a row each; an empty table gives none;
+extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,27 +39,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spinewright.core import materialize
+from spinewright.llm.rows import packed
+
 #: Labelled documents a model is fitted on, at most.
 SAMPLE_DOCS = 10_000
 DECAY, MAX_SPAN, LETTERS = 0.7, 6, 64
-POSITIVE, NEGATIVE, LANDMARKS = 1500, 5000, 240
-WINDOW, STEP = 24, 12
-#: Values of a piece above which it counts in the link, and the number of the link's features.
-WEAK, STRONG, FEATURES = 0.2, 0.6, 8
+#: Landmarks, rounds of picking sentences, and the machine's ridge for one document, which grows with the root of their number.
+LANDMARKS, ROUNDS, PENALTY = 256, 3, 0.06
+#: Letters of a window and between two of them; pieces of a sentence that are judged together.
+WINDOW, STEP, RUN = 24, 12, 4
+#: Documents of the sample a landmark must occur in.
+LEAST_DOCS = 3
+#: Tasks that work on the sample.
+SAMPLE_TASKS = 32
+#: The number of the link's features.
+FEATURES = 8
 _CACHE_PIECES = 400_000
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")
 _OTHER = re.compile(r"[\W\d_]+")
+_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def pieces(text: str | None) -> list[str]:
-    if not text:
-        return []
-    low = text.lower()
-    words = low.split()
-    if _SPACED.search(low):
-        words += [_OTHER.sub("", m) for m in _SPACED.findall(low)]
-    return words
+def sentences(text: str | None) -> list[list[str]]:
+    """The pieces of each sentence, in runs of at most ``RUN``."""
+    out = []
+    for sentence in _END.split(text.lower()) if text else ():
+        words = sentence.split()
+        if _SPACED.search(sentence):
+            words += [_OTHER.sub("", m) for m in _SPACED.findall(sentence)]
+        out += [words[i : i + RUN] for i in range(0, len(words), RUN)]
+    return out
 
 
 def letters(piece: str) -> list[str]:
@@ -112,6 +132,73 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return used, out
 
 
+@dataclass
+class Landmarks:
+    """The Nyström map: ``used`` features, and for each of them (and a last row of zeros) its part in the map's columns."""
+
+    used: np.ndarray
+    to: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Landmarks:
+        used, phi = _features(words)
+        value, vector = np.linalg.eigh(phi.T @ phi)
+        keep = value > 1e-6 * value.max()
+        return cls(used, phi @ (vector[:, keep] / np.sqrt(value[keep])))
+
+    def __post_init__(self) -> None:
+        self._place = np.full(LETTERS**3, len(self.used), np.int32)
+        self._place[self.used] = np.arange(len(self.used))
+
+    def embed(self, words: list[str]) -> np.ndarray:
+        """The map of a sentence, or of any list of pieces as the kernel sees them: the sum over the pieces."""
+        total = np.zeros(len(self.used) + 1)
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        for n, own in by.items():
+            c = _codes(own)
+            i, j, k, v = _triple_arrays(n + 1)
+            if len(v):
+                feature = self._place[(c[:, i] * LETTERS + c[:, j]) * LETTERS + c[:, k]]
+                total += np.bincount(feature.ravel(), np.tile(v / _length_factor(n + 1), len(own)), len(total))
+        some = np.flatnonzero(total[:-1])
+        return total[some] @ self.to[some]
+
+    def fold(self, w: np.ndarray) -> np.ndarray:
+        """A machine on the map as one weight for each letter triple."""
+        weights = np.zeros(LETTERS**3, np.float32)
+        weights[self.used] = (self.to @ w)[:-1]
+        return weights
+
+
+@lru_cache(maxsize=64)
+def _triple_arrays(n: int) -> tuple[np.ndarray, ...]:
+    t = np.array(_triples(n), np.float64).reshape(-1, 4)
+    return (*(t[:, i].astype(np.int64) for i in range(3)), t[:, 3])
+
+
+class Values:
+    """The machine's value of each piece, remembered."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self._cache = weights, {}
+
+    def of(self, cut: list[list[list[str]]]) -> list[list[np.ndarray]]:
+        """For each text's sentences the values of their pieces."""
+        unknown = {p for text in cut for s in text for p in s} - self._cache.keys()
+        if len(self._cache) + len(unknown) > _CACHE_PIECES:
+            self._cache.clear()
+            unknown = {p for text in cut for s in text for p in s}
+        parts = {p: letters(p) for p in unknown}
+        flat = sorted({w for ws in parts.values() for w in ws})
+        value = dict(zip(flat, _dot(flat, self.weights).tolist(), strict=True)) if flat else {}
+        for p, ws in parts.items():
+            self._cache[p] = max((value[w] for w in ws), default=0.0)
+        get = self._cache
+        return [[np.array([get[p] for p in s]) for s in text] for text in cut]
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -119,42 +206,18 @@ class Model:
     link: np.ndarray
 
     def __post_init__(self) -> None:
-        self._cache: dict[str, float] = {}
+        self._values = Values(self.weights)
 
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "bias": self.bias, "link": self.link}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._cache = {}
-
-    def learn(self, new: set[str]) -> None:
-        if len(self._cache) + len(new) > _CACHE_PIECES:
-            self._cache.clear()
-        parts = {p: letters(p) for p in new}
-        flat = sorted({w for ws in parts.values() for w in ws})
-        value = dict(zip(flat, _dot(flat, self.weights) + self.bias, strict=True)) if flat else {}
-        for p, ws in parts.items():
-            self._cache[p] = max((value[w] for w in ws), default=-2.0)
+        self.__post_init__()
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
         """A row of the link's features for each text."""
-        cut = [pieces(t) for t in texts]
-        uniq = [set(c) for c in cut]
-        unknown = set().union(*uniq) - self._cache.keys() if uniq else set()
-        if len(self._cache) + len(unknown) > _CACHE_PIECES:
-            self._cache.clear()
-            unknown = set().union(*uniq)
-        self.learn(unknown)
-        get, rows = self._cache, []
-        for c, u in zip(cut, uniq, strict=True):
-            over = [(get[p], p) for p in u if get[p] > WEAK]
-            n = sum(c.count(p) for _, p in over)
-            strong = [p for v, p in over if v > STRONG]
-            often = sum(c.count(p) for p in strong)
-            top = max((get[p] for p in u), default=-2.0)
-            rows.append((np.log1p(n), np.log1p(often), np.sqrt(n / (len(c) + 20)), np.sqrt(often / (len(c) + 20)), np.clip(top, -2, 2), np.log1p(len(strong)), float(len(strong) >= 2), float(often >= 3)))
-        return np.array(rows, np.float64).reshape(-1, FEATURES)
+        return described(self._values.of([sentences(t) for t in texts]), self.bias)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = self.describe(texts)
@@ -162,6 +225,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def described(values: list[list[np.ndarray]], bias: float) -> np.ndarray:
+    """The link's features of texts, from their pieces' values."""
+    rows = []
+    for text in values:
+        if not text:
+            rows.append((0.0,) * FEATURES)
+            continue
+        sums = np.sort(np.array([v.sum() for v in text]) + bias)[::-1]
+        every = np.concatenate(text)
+        n, most = len(every), np.sort(every)[::-1][:3]
+        high = int((sums > 0).sum())
+        rows.append((
+            np.clip(sums[0] - bias, -1, 4), np.clip(sums[1] - bias, -1, 4) if len(sums) > 1 else 0.0, np.log1p(high), np.sqrt(high / (len(sums) + 2)),
+            np.clip(most[0], -1, 4), np.clip(most[1], -1, 4) if n > 1 else 0.0, np.clip(most[2], -1, 4) if n > 2 else 0.0, np.log1p((every > 0.5).sum()),
+        ))
+    return np.array(rows, np.float64).reshape(-1, FEATURES)
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
     """Squared-hinge linear machine by Newton steps; the last column of ``x`` is the constant."""
     w = np.zeros(x.shape[1])
@@ -195,122 +276,120 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
-    """``text, toxic, half`` of at most ``limit`` labelled documents that are not held out."""
+    """``text, toxic, h, half`` of at most ``limit`` labelled documents that are not held out."""
     of = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
-    of = of.withColumn("h", F.xxhash64(F.lit("sample"), F.col("doc_id"))).orderBy("h").limit(limit)
-    texts = docs.where("text is not null").select("doc_id", "text")
-    return texts.join(F.broadcast(of), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half"))  # ``limit`` rows bound the broadcast
+    of = of.withColumn("h", F.xxhash64(F.lit("sample"), F.col("doc_id"))).orderBy("h", "doc_id").limit(limit)
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    mine = texts.join(F.broadcast(of), "doc_id")  # ``limit`` rows bound the broadcast
+    one = mine.groupBy("doc_id", "toxic", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    # copies count once, so that a text copied a thousand times teaches no more than another
+    once = one.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("h").alias("h"))
+    return once.select("text", "toxic", "h", F.pmod("h", F.lit(2)).cast("int").alias("half"))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fragment, word, toxic, times, docs) of a batch: words, and beginnings of 3 to 7 letters."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic, docs) of a batch: in how many documents of either label the kernel sees a word."""
     for b in batches:
-        times: Counter = Counter()
-        in_docs: Counter = Counter()
-        totals: Counter = Counter()
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = Counter(w for p in pieces(text) for w in letters(p))
-            here: Counter = Counter()
-            for w, n in words.items():
-                n = min(n, 3)
-                totals[toxic] += n
-                here[w, True] += n
-                for k in range(3, min(8, len(w) + 1)):
-                    here[w[:k], False] += n
-            for (f, is_word), n in here.items():
-                times[f, is_word, toxic] += n
-                in_docs[f, is_word, toxic] += 1
-        keys = list(times)
-        cols = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [times[k] for k in keys], [in_docs[k] for k in keys]]
-        for toxic, n in totals.items():
-            for c, v in zip(cols, ("", False, toxic, n, 0), strict=True):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["fragment", "word", "toxic", "times", "docs"])
+        docs: Counter = Counter()
+        for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            docs.update((w, toxic) for w in {w for p in {p for s in sentences(text.as_py()) for p in s} for w in letters(p)})
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in docs], pa.string()), pa.array([k[1] for k in docs], pa.int32()), pa.array(list(docs.values()), pa.int64())], ["word", "toxic", "docs"])
+
+
+def landmarks(labelled: DataFrame, toxic: int, clean: int, number: int = LANDMARKS) -> list[str]:
+    """Half of them the words whose share of toxic documents differs most from that of clean ones, in standard errors, half by hash."""
+    t, c = (F.sum(F.when(F.col("toxic") == label, F.col("docs")).otherwise(0)) for label in (1, 0))
+    counted = labelled.select("text", "toxic").mapInArrow(_words, "word string, toxic int, docs long").groupBy("word").agg(t.alias("t"), c.alias("c"))
+    share = (F.col("t") + F.col("c")) / (toxic + clean)
+    tie = F.abs(F.col("t") / toxic - F.col("c") / clean) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
+    words = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).select("word", tie.alias("tie"))
+    words = materialize(words)
+    tied = [r["word"] for r in words.orderBy(F.desc("tie"), "word").limit(number // 2).collect()]
+    other = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(number).collect()]
+    return (tied + [w for w in other if w not in tied])[:number]
+
+
+def _flat(runs: list[list[str]]) -> list[str]:
+    return [w for run in runs for p in run for w in letters(p)]
+
+
+def _instances(labelled: DataFrame, marks: Landmarks, machines: list[tuple[np.ndarray, float]] | None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(toxic, half, x for its half's machine, x for the machine of all) of each document: the map of all its runs, or of
+    those that the machine calls toxic. The driver receives two short vectors a document of the sample."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = [Values(w) for w, _ in machines or ()]
+        for b in batches:
+            halves, out = b.column(3).to_pylist(), ([], [])
+            for text, toxic, half in zip(b.column(0), b.column(1).to_pylist(), halves, strict=True):
+                cut = sentences(text.as_py())
+                if machines is None:
+                    pieces = {p for run in cut for p in run}
+                    x = (marks.embed(_flat(cut)) / max(1.0, float(np.sqrt(len(pieces))))).astype(np.float32).tobytes()
+                    out[0].append(x)
+                    out[1].append(x)
+                    continue
+                for at, own in ((half, out[0]), (2, out[1])):
+                    sums = np.array([v.sum() for v in values[at].of([cut])[0]]) + machines[at][1]
+                    least = machines[at][1] / 2 if toxic else 0.0
+                    pick = np.flatnonzero(sums > least) if (sums > least).any() else [int(sums.argmax())] if cut else []
+                    own.append((marks.embed(_flat([cut[i] for i in pick])) / max(1.0, float(np.sqrt(len(pick))))).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["toxic", "h", "half", "own", "all"])
+
+    rows = labelled.select("text", "toxic", "h", "half").mapInArrow(made, "toxic int, h long, half int, own binary, all binary").collect()
+    # sorted, so that sums are repeatable
+    return [(r["toxic"], r["half"], np.frombuffer(r["own"], np.float32), np.frombuffer(r["all"], np.float32)) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["all"])))]
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
-    """Fit a model; what reaches the driver is bounded by ``limit`` and the constants above."""
-    from spinewright.core import materialize
-
-    labelled = materialize(sample(docs, labels, limit))
-    t = F.when(F.col("toxic") == 1, F.col("times")).otherwise(0)
-    c = F.when(F.col("toxic") == 0, F.col("times")).otherwise(0)
-    counted = labelled.where("half = 0").select("text", "toxic").mapInArrow(_counts, "fragment string, word boolean, toxic int, times long, docs long")
-    tied = materialize(counted.groupBy("fragment", "word").agg(F.sum(t).alias("t"), F.sum(c).alias("c"), F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("d")).where("t + c > 1"))
-    total = tied.where("fragment = ''").first()
-    weights, bias = np.zeros(LETTERS**3, np.float32), -1.0
-    if total and total["t"] and total["c"]:
-        all_t, all_c = total["t"], total["c"]
-        share_t, share_c = (F.col("t") + 0.5) / all_t, (F.col("c") + 0.5) / all_c
-        ratio = share_t / share_c
-        mean = (F.col("t") + F.col("c")) / F.lit(all_t + all_c)
-        gain = 2 * (F.col("t") * F.log(share_t / mean) + F.col("c") * F.log(share_c / mean))
-        rated = tied.where("fragment <> ''").withColumns({"ratio": ratio, "gain": gain})
-        strong = rated.where((F.col("ratio") >= 4) & (F.col("gain") >= 16) & (F.col("d") >= 3))
-        fragments = {r["fragment"]: r["ratio"] for r in strong.where("not word").orderBy(F.desc("gain"), "fragment").limit(2000).collect()}
-        fragments |= {r["fragment"]: r["ratio"] for r in strong.where("word").orderBy(F.desc("gain"), "fragment").limit(2000).collect()}
-        candidates = rated.where("word and t > 0 and ratio > 1.5").orderBy(F.desc("t"), "fragment").limit(20 * POSITIVE).select("fragment", "t", "c").collect()
-        tied_to = lambda w: w in fragments or any(w[:k] in fragments for k in range(3, 8))
-        positive = [(r["fragment"], r["t"]) for r in candidates if tied_to(r["fragment"])][:POSITIVE]
-        also_clean = [(r["fragment"], r["c"]) for r in candidates if r["c"] and tied_to(r["fragment"])][:POSITIVE]
-        plain = rated.where("word and c > 0 and ratio < 2")
-        negative = [(r["fragment"], r["c"]) for r in [*plain.orderBy(F.desc("c"), "fragment").limit(NEGATIVE // 4).collect(), *plain.orderBy(F.xxhash64("fragment")).limit(NEGATIVE).collect()] if not tied_to(r["fragment"])]
-        # clean words that begin like positive ones, which the machine must tell from them
-        starts = sorted({w[:2] for w, _ in positive})
-        alike = plain.where(F.substring("fragment", 1, 2).isin(starts)).orderBy(F.desc("c"), "fragment").limit(NEGATIVE // 2).collect()
-        negative = list(dict(negative + [(r["fragment"], r["c"]) for r in alike if not tied_to(r["fragment"])]).items())
-        if positive and negative:
-            weights, bias = _fit(positive, negative, also_clean)
-    model = Model(weights, bias, np.zeros(FEATURES + 1))
-    rest = labelled.where("half = 1")
-    described = rest.select("toxic", _described(model)(F.col("text")).alias("x")).collect()  # ``limit`` rows of a few numbers
-    y = np.array([r["toxic"] for r in described], float)
-    if len(set(y)) == 2:
-        model.link = _logistic(np.array([r["x"] for r in described]), y)
-    else:  # nothing to learn from
-        model.link = np.array([0.0] * FEATURES + [2.0 * y.mean() - 2.0 if len(y) else -2.0])
-    return model
-
-
-def _fit(positive: list[tuple[str, int]], negative: list[tuple[str, int]], also_clean: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    half = LANDMARKS // 2
-    marks = [w for w, _ in positive[:half]] + [w for w, _ in negative[:half]]
-    used, phi = _features(marks)
-    place = np.full(LETTERS**3, len(used), np.int32)
-    place[used] = np.arange(len(used))
-    # the strongest words also with a foreign letter inside, so that such spellings are learnt
-    random, variants = np.random.default_rng(7), []
-    for w, n in positive[:200]:
-        if len(w) >= 4:
-            for _ in range(2):
-                at = int(random.integers(1, len(w)))
-                variants.append((w[:at] + chr(97 + int(random.integers(26))) + w[at:], max(1, n // 4)))
-    plus, minus = positive + variants, negative + also_clean
-    words = [w for w, _ in plus] + [w for w, _ in minus]
+    """Fit a model; what reaches the driver is bounded by ``limit`` and ``LANDMARKS``."""
+    labelled = materialize(sample(docs, labels, limit).repartition(SAMPLE_TASKS, "h"))
+    of = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = of.get(1, 0), of.get(0, 0)
+    words = landmarks(labelled, toxic, clean) if toxic and clean else []
+    if not words:  # nothing to learn from
+        return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.array([0.0] * FEATURES + [-2.0]))
+    marks = Landmarks.of(words)
+    machines: list[tuple[np.ndarray, float]] | None = None
+    clean_seen: list[list[np.ndarray]] = [[], [], []]
+    for _ in range(ROUNDS + 1):
+        rows = _instances(labelled, marks, machines)
+        fitted = []
+        for at in range(3):
+            own = [(r[0], r[3 if at == 2 else 2]) for r in rows if at == 2 or r[1] == at]
+            plus, minus = ([x for t, x in own if t == label] for label in (1, 0))
+            if machines is None:
+                fitted.append(_fitted(plus, minus, len(own), marks))
+            else:
+                clean_seen[at] += minus
+                fitted.append(_fitted(plus, clean_seen[at], len(own), marks))
+        machines = fitted
+    link = _link(labelled, machines)
+    return Model(*machines[2], link)
+
+
+def _fitted(plus: list[np.ndarray], minus: list[np.ndarray], docs: int, marks: Landmarks) -> tuple[np.ndarray, float]:
+    """A machine folded into weights of letter triples, and its constant; both labels weigh the same."""
+    if not plus or not minus:
+        return np.zeros(LETTERS**3, np.float32), -1.0
     y = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
-    size = np.array([min(n, 20) for _, n in plus] + [min(n, 40) for _, n in minus], float)
-    size[: len(plus)] *= len(minus) / 3 / size[: len(plus)].sum()
-    size[len(plus) :] *= len(minus) / size[len(plus) :].sum()
-    blocks = [_dot(words[i : i + 256], phi, place) for i in range(0, len(words), 256)]
-    k, kmm = np.concatenate(blocks), phi.T @ phi
-    value, vector = np.linalg.eigh(kmm)
-    keep = value > 1e-6 * value.max()
-    to = vector[:, keep] / np.sqrt(value[keep])
-    w = _machine(np.concatenate([k @ to, np.ones((len(k), 1))], axis=1), y, size, 1.0)
-    weights = np.zeros(LETTERS**3, np.float32)
-    weights[used] = (phi @ (to @ w[:-1]))[:-1]
-    return weights, float(w[-1])
-
-
-def _described(model: Model) -> object:
-    shared = [model]
-
-    @F.pandas_udf("array<double>")
-    def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([x.tolist() for i in range(0, len(s), 256) for x in shared[0].describe(list(s[i : i + 256]))])
+    weight = np.concatenate([np.full(len(plus), len(y) / 2 / len(plus)), np.full(len(minus), len(y) / 2 / len(minus))])
+    ridge = PENALTY * float(np.sqrt(docs))
+    w = _machine(np.concatenate([np.array(plus + minus, np.float64), np.ones((len(y), 1))], axis=1), y, weight, ridge)
+    return marks.fold(w[:-1]), float(w[-1])
+
+
+def _link(labelled: DataFrame, machines: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """The logistic link, fitted on what each half's machine says of the other half."""
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = [Values(machines[half][0]) for half in (0, 1)]
+        for b in batches:
+            rows = [described(values[1 - half].of([sentences(t.as_py())]), machines[1 - half][1])[0].tolist() for t, half in zip(b.column(0), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "x"])
 
-    return described
+    rows = sorted(labelled.select("text", "toxic", "h", "half").mapInArrow(said, "toxic int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))  # ``limit`` short rows
+    return _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
 
 
 def scorer(model: Model) -> object:
@@ -329,11 +408,11 @@ def scorer(model: Model) -> object:
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity``, between 0 and 1."""
+    """``docs`` with ``toxicity``, between 0 and 1; a column of that name is replaced."""
     return docs.withColumn("toxicity", scorer(model)(F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = with_score(docs.withColumnRenamed("toxicity", "_old") if "toxicity" in docs.columns else docs, train(docs, labels))
-    kept = scored.where("toxicity < 0.5").drop("toxicity")
-    return kept.withColumnRenamed("_old", "toxicity") if "toxicity" in docs.columns else kept
+    """``docs`` without those that score 0.5 or more, whole rows."""
+    scored = docs.select(packed(docs), scorer(train(docs, labels))(F.col("text")).alias("score"))
+    return scored.where("score < 0.5").select("row.*")
