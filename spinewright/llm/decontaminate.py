@@ -5,10 +5,12 @@ k-grams the smallest hash is kept (the first position that attains it). Two text
 least one k-gram of them in common, so joining the kept fingerprints finds every such span. Each kept k-gram
 carries the words around it, so a hit is extended to both sides in the joined row; where the run reaches the
 item's window, its words are hit. Items shorter than the window are one window of their own length and get a
-profile of k-grams that is guaranteed to find them.
+profile of k-grams that is guaranteed to find them; a document's words are hashed once for all profiles.
 
-Null texts have no words and hit nothing. Rows that repeat an id and a text get one row each. Extra columns are
-ignored. Items without words never occur.
+Null and empty texts have no words and hit nothing; very long texts are searched whole. Of k-grams that tie, the first
+is kept, in documents as in items. Rows that repeat an id and a text get one row each. Items without words never occur,
+equal items each count, an empty benchmark hits nothing, an empty table gives no rows. Extra columns are ignored, and
+kept by :func:`drop_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
+from spinewright.llm.rows import packed
 
 WINDOW = 13
 K = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Fingerprints up to which the benchmark's side is broadcast (about 250 bytes each); above it, a shuffle join.
-BROADCAST_FINGERPRINTS = 200_000
+#: Bytes of the benchmark's fingerprints up to which they are broadcast; above it, a shuffle join.
+BROADCAST_BYTES = 50_000_000
 
 
 def words(text: str) -> Column:
@@ -89,27 +92,30 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     bench = materialize(items.select(F.col(item_col).cast("string").alias("item"), _hashes(item_text_col).alias("hw"))).where(F.size("hw") > 0)
     lengths = [r["n"] for r in bench.select(F.least(F.size("hw"), F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    zero = F.expr("named_struct('fp', cast(null as bigint), 'pos', 0, 'before', cast(array() as array<bigint>), 'after', cast(array() as array<bigint>))")
-    found = None
-    for at, (shortest, longest, k, length) in enumerate(profiles(lengths, window)):
-        around = window - k
+    zero = F.expr("named_struct('profile', -1, 'fp', cast(null as bigint), 'pos', 0, 'before', cast(array() as array<bigint>), 'after', cast(array() as array<bigint>))")
+    found, sets = None, profiles(lengths, window)
+    prints = None
+    for at, (shortest, longest, k, length) in enumerate(sets):
         of = bench.where(F.size("hw").between(shortest, longest))
-        prints = materialize(
-            of.select("item", F.least(F.size("hw"), F.lit(window)).alias("need"), F.explode(_kept(F.col("hw"), k, length, around)).alias("x"))
-            .groupBy(F.col("x.fp").alias("fp"), F.col("x.before").alias("item_before"), F.col("x.after").alias("item_after"), "need").agg(F.collect_set("item").alias("items"))
-        )
-        # one row for each document besides its fingerprints, so that documents without a hit stay
-        listed = lambda hw: F.concat(F.array(zero), _kept(hw, k, length, around)) if at == 0 else _kept(hw, k, length, around)  # noqa: B023, E731
-        described = rows.select("doc_id", "version", _let(_hashes("text"), lambda hw: F.struct(F.size(hw).alias("n_words"), listed(hw).alias("kept"))).alias("d"))  # noqa: B023
-        spread = described.select("doc_id", "version", "d.n_words", F.explode("d.kept").alias("x")).select("doc_id", "version", "n_words", "x.fp", "x.pos", "x.before", "x.after")
-        left, right = _same(F.col("before"), F.col("item_before")), _same(F.col("after"), F.col("item_after"))
-        hits = (
-            sized_join(spread, prints, "fp", "left", limit=BROADCAST_FINGERPRINTS)
-            .withColumns({"left": F.when(F.col("need").isNotNull(), left), "right": F.when(F.col("need").isNotNull(), right)})
-            .where((F.col("pos") == 0) | (F.col("left") + F.col("right") + k >= F.col("need")))
-            .select("doc_id", "version", "n_words", F.when(F.col("pos") > 0, F.col("pos") - F.col("left")).alias("first"), F.when(F.col("pos") > 0, F.col("pos") + k - 1 + F.col("right")).alias("last"), "items")
+        listed = of.select("item", F.least(F.size("hw"), F.lit(window)).alias("need"), F.explode(_kept(F.col("hw"), k, length, window - k)).alias("x"))
+        listed = listed.select(F.lit(at).alias("profile"), F.lit(k).alias("k"), "item", "need", "x.fp", F.col("x.before").alias("item_before"), F.col("x.after").alias("item_after"))
+        prints = listed if prints is None else prints.unionByName(listed)
+    if prints is not None:
+        prints = materialize(prints.groupBy("profile", "k", "fp", "item_before", "item_after", "need").agg(F.collect_set("item").alias("items")))
+        width = 64 + 8 * (F.size("item_before") + F.size("item_after")) + F.aggregate("items", F.lit(0), lambda a, i: a + 16 + F.octet_length(i))
+        size = prints.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+        def described(hw: Column) -> Column:
+            # one struct besides the fingerprints, so that documents without a hit stay
+            own = [F.transform(_kept(hw, k, length, window - k), lambda x: F.struct(F.lit(at).alias("profile"), x["fp"].alias("fp"), x["pos"].alias("pos"), x["before"].alias("before"), x["after"].alias("after"))) for at, (_, _, k, length) in enumerate(sets)]  # noqa: B023
+            return F.struct(F.size(hw).alias("n_words"), F.concat(F.array(zero), *own).alias("kept"))
+
+        spread = rows.select("doc_id", "version", _let(_hashes("text"), described).alias("d")).select("doc_id", "version", "d.n_words", F.explode("d.kept").alias("x")).select("doc_id", "version", "n_words", "x.*")
+        met = sized_join(spread, prints, ["profile", "fp"], "left", limit=BROADCAST_BYTES, rows=size)
+        reached = met.withColumns({"left": F.when(F.col("need").isNotNull(), _same(F.col("before"), F.col("item_before"))), "right": F.when(F.col("need").isNotNull(), _same(F.col("after"), F.col("item_after")))})
+        found = reached.where((F.col("pos") == 0) | (F.col("left") + F.col("right") + F.col("k") >= F.col("need"))).select(
+            "doc_id", "version", "n_words", F.when(F.col("pos") > 0, F.col("pos") - F.col("left")).alias("first"), F.when(F.col("pos") > 0, F.col("pos") + F.col("k") - 1 + F.col("right")).alias("last"), "items"
         )
-        found = hits if found is None else found.unionByName(hits)
     if found is None:  # no item has a word
         found = rows.select("doc_id", "version", F.size(words("text")).alias("n_words"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("array<string>").alias("items"))
     per_doc = found.groupBy("doc_id", "version").agg(
@@ -128,6 +134,7 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones, whole rows. Rows are told apart by id and text, with or without an id."""
-    bad = materialize(_judged(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("version").alias("_bad_version")).distinct())
-    n, same = bad.count(), F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.col("_version") == F.col("_bad_version"))
-    return docs.withColumn("_version", F.xxhash64("text")).join(F.broadcast(bad) if n <= 500_000 else bad, same, "left_anti").drop("_version")
+    none, known = F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")
+    bad = materialize(_judged(docs, items).where("contaminated").select(none, known, "version").distinct())
+    whole = docs.select(packed(docs), none, known, F.xxhash64("text").alias("version"))
+    return sized_join(whole, bad, ["none", "id", "version"], "left_anti").select("row.*")

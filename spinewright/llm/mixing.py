@@ -6,12 +6,16 @@ pass of running sums: the clamped sources are a prefix. A source then takes whol
 documents, and for the rest the documents that come first in a seeded order, the last of them in part, so that a
 source takes its target to the word.
 
-The order within a source is the MD5 of seed and id. It is cut into 4096 cells by the first three digits; cell
-sums find the cell where the budget ends, and only that cell's rows are ordered. So no source, however large, is
-sorted in one task. The table of sources (a row each) is the only thing that is handled whole.
+The order within a source is the MD5 of seed and id. It is cut into cells by its first digits, as many as leave a cell
+some ``ROWS_A_CELL`` rows; cell sums find the cell where the budget ends, and only that cell's rows are ordered. So no
+source, however large, is sorted in one task. Sources are numbered and summed in order by :func:`_in_order`, which
+sorts ranges of them side by side, so their number isn't bound by a task either.
 
 A null text has size 0. A null source is a source of its own, last. Rows that repeat an id are ordered by size
-too; equal rows at the very end of a budget each take that row's part. Extra columns stay out of the result.
+too; equal rows at the very end of a budget each take that row's part. Very long texts count with all their words and
+are cut only in the number of words taken. An empty table gives no rows. Sources with equal size over weight are
+clamped in the order of their names. Extra columns stay out of :func:`mix` and whole in :func:`repeat`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,11 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
+from spinewright.llm.rows import packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SEED = "mix-1"
-CELL_DIGITS = 3
+#: Rows of a source's cell, about, and the digits that make cells at least and at most.
+ROWS_A_CELL, LEAST_DIGITS, MOST_DIGITS = 20_000, 2, 5
+#: Ranges of sources that are sorted side by side.
+RANGES = 64
 
 
 def n_words(text: str = "text") -> Column:
@@ -39,38 +47,59 @@ def _order(id_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
 
 
+def _in_order(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the running totals ``sums`` of all rows before each row in a total order.
+
+    Ranges of the order are sorted apart; the windows without a key run over one row a range.
+    """
+    ranged = materialize(df.repartitionByRange(RANGES, *order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    offsets = ranged.groupBy("range").agg(*[F.sum(c).alias(f"of_{n}") for n, c in sums.items()])
+    offsets = offsets.select("range", *[F.coalesce(F.sum(f"of_{n}").over(before), zero).alias(f"of_{n}") for n in sums])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumns({n: F.coalesce(F.sum(c).over(within), zero) for n, c in sums.items()})
+    return summed.join(F.broadcast(offsets), "range").withColumns({n: F.col(n) + F.col(f"of_{n}") for n in sums}).drop("range", *[f"of_{n}" for n in sums])  # a row a range
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2) -> DataFrame:
     """``source_key, source_size, target, words`` of a table of ``source_key, source_size``.
 
     The budget is ``budget_halves / 2`` of all sizes. Whole numbers until the last division, so sums have no rounding.
     """
-    by_name, everything = Window.orderBy("source_key"), Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("weight", weight).withColumns({"all_size": F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything)})
-    upto = Window.orderBy(F.col("source_size") / F.col("weight"), "source_key").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"size_before": F.coalesce(F.sum("source_size").over(upto), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(upto), F.lit(0))})
+    placed = _in_order(sizes, [F.col("source_key")], {"place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    weighed = placed.select("source_key", "source_size", weight.alias("weight"))
+    t = _in_order(weighed, [F.col("source_size") / F.col("weight"), F.col("source_key")], {"size_before": F.col("source_size"), "weight_before": F.col("weight")})
+    all_size, all_weight = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    if all_weight is None:
+        return t.select("source_key", "source_size", F.lit(None).cast("double").alias("target"), F.lit(None).cast("long").alias("words"))
     # twice what is left for this source and the later ones, and their weight
-    left2, weight_left = budget_halves * F.col("all_size") - 2 * max_epochs * F.col("size_before"), F.col("all_weight") - F.col("weight_before")
+    left2, weight_left = F.lit(budget_halves * all_size) - 2 * max_epochs * F.col("size_before"), F.lit(all_weight) - F.col("weight_before")
     full = F.col("weight") * left2 >= 2 * max_epochs * F.col("source_size") * weight_left
-    t = t.withColumn("full", full).withColumns({
-        "open2": F.max(F.when(~full, left2)).over(everything), "open_weight": F.max(F.when(~full, weight_left)).over(everything),
-    })
-    target = F.when(F.col("full"), (max_epochs * F.col("source_size")).cast("double")).otherwise((F.col("weight") * F.col("open2")).cast("double") / (2 * F.col("open_weight")).cast("double"))
+    t = materialize(t.withColumns({"left2": left2, "weight_left": weight_left, "full": full}))
+    open2, open_weight = (F.lit(x).cast("long") for x in t.where(~F.col("full")).agg(F.max("left2"), F.max("weight_left")).first())
+    target = F.when(F.col("full"), (max_epochs * F.col("source_size")).cast("double")).otherwise((F.col("weight") * open2).cast("double") / (2 * open_weight).cast("double"))
     return t.select("source_key", "source_size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("words"))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2, seed: str = SEED) -> DataFrame:
     """A row for each source: its target, whole repetitions, and the row of the seeded order where the rest ends."""
     rows = docs.select(_source_key(source_col).alias("source_key"), n_words(text_col).alias("size"), _order(id_col, seed).alias("o"))
-    cells = materialize(rows.groupBy("source_key", F.substring("o", 1, CELL_DIGITS).alias("cell")).agg(F.sum("size").alias("cell_size")))
-    wanted = targets(cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")), weights, budget_halves, max_epochs)
+    # words and rows by the longest cells; a source's own cells are as many as its rows ask for
+    fine = materialize(rows.groupBy("source_key", F.substring("o", 1, MOST_DIGITS).alias("cell")).agg(F.sum("size").alias("cell_size"), F.count("*").alias("n")))
+    sources = materialize(fine.groupBy("source_key").agg(F.sum("cell_size").alias("source_size"), F.sum("n").alias("n")))
+    digits = F.greatest(F.lit(LEAST_DIGITS), F.least(F.lit(MOST_DIGITS), F.ceil(F.log(16.0, F.greatest(F.col("n") / ROWS_A_CELL, F.lit(1.0)))))).cast("int")
+    sources = materialize(sources.withColumn("digits", digits))
+    cells = sized_join(fine, sources.select("source_key", "digits"), "source_key").groupBy("source_key", F.expr("substring(cell, 1, digits)").alias("cell")).agg(F.sum("cell_size").alias("cell_size"))
+    wanted = targets(sources.select("source_key", "source_size"), weights, budget_halves, max_epochs).join(sources.select("source_key", "digits"), "source_key")
     wanted = wanted.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long"))).withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size"))
-    # a source has at most 16 ** CELL_DIGITS cells, so its list is bounded
-    listed = cells.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("cell", "cell_size"))).alias("cells"))
-    state = "named_struct('before', 0L, 'cell', cast(null as string), 'at', 0L)"
-    ends = f"aggregate(cells, {state}, (a, c) -> named_struct('before', a.before + c.cell_size, 'cell', if(a.cell is null and a.before + c.cell_size >= rest, c.cell, a.cell), 'at', if(a.cell is null and a.before + c.cell_size >= rest, a.before, a.at)))"
-    table = materialize(wanted.join(listed, "source_key").withColumn("end", F.when(F.col("rest") > 0, F.expr(ends))).select("source_key", "source_size", "target", "whole", "rest", F.col("end.cell").alias("cell"), F.col("end.at").alias("at")))
-    last = sized_join(rows.withColumn("cell", F.substring("o", 1, CELL_DIGITS)), table.where("cell is not null").select("source_key", "cell", "at", "rest"), ["source_key", "cell"])
+    # the cell where the rest ends: a source has at most 16 ** MOST_DIGITS of them, and only one of 20 billion rows has so many
+    upto = Window.partitionBy("source_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0).cast("long")))
+    ends = wanted.where("rest > 0").select("source_key", "rest").join(sums, "source_key").where("before < rest and before + cell_size >= rest").select("source_key", "cell", F.col("before").alias("at"))
+    table = materialize(wanted.join(ends, "source_key", "left").select("source_key", "source_size", "target", "whole", "rest", "digits", "cell", "at"))
+    last = sized_join(rows, table.where("cell is not null").select("source_key", "digits", "cell", "at", "rest"), "source_key").where("substring(o, 1, digits) = cell")
     running = Window.partitionBy("source_key").orderBy("o", "size").rowsBetween(Window.unboundedPreceding, 0)
     over = last.withColumn("total", F.sum("size").over(running) + F.col("at")).where("total >= rest")
     edge = over.groupBy("source_key").agg(F.min_by(F.struct("o", "size", (F.col("rest") - F.col("total") + F.col("size")).alias("part")), F.struct("o", "size", "total")).alias("edge"))
@@ -78,22 +107,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def with_taken(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_taken``, the words the mix takes of the row."""
-    keyed = docs.withColumns({"mix_key": _source_key(source_col), "mix_size": n_words(text_col), "mix_o": _order(id_col, seed)})
-    s = sources.select(*[F.col(c).alias(f"mix_{c}") for c in sources.columns]).withColumnRenamed("mix_source_key", "mix_key")
-    here, edge = F.struct("mix_o", "mix_size"), F.struct(F.col("mix_edge_o").alias("mix_o"), F.col("mix_edge_size").alias("mix_size"))
-    extra = F.when(F.col("mix_edge_o").isNull(), 0).when(here < edge, F.col("mix_size")).when(here == edge, F.col("mix_edge_part")).otherwise(0)
-    return sized_join(keyed, s, "mix_key").withColumn("mix_taken", (F.col("mix_whole") * F.col("mix_size") + extra).cast("long"))
+    """``row`` (the whole row of ``docs``), ``size``, ``source_size``, ``target``, ``whole``, and ``taken``, the words the mix takes of the row."""
+    keyed = docs.select(packed(docs), _source_key(source_col).alias("source_key"), n_words(text_col).alias("size"), _order(id_col, seed).alias("o"))
+    here, edge = F.struct("o", "size"), F.struct(F.col("edge_o").alias("o"), F.col("edge_size").alias("size"))
+    extra = F.when(F.col("edge_o").isNull(), 0).when(here < edge, F.col("size")).when(here == edge, F.col("edge_part")).otherwise(0)
+    return sized_join(keyed, sources, "source_key").select("row", "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row."""
     d = docs.select("doc_id", "text", "source")
-    return with_taken(d, plan(d)).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    return with_taken(d, plan(d)).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, whole; a part of half a text or more counts as one."""
-    out = with_taken(docs, plan(docs))
-    times = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size") + 0.5)).otherwise(F.col("mix_whole")).cast("int")
-    return out.where(times > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.col("whole")).cast("int")
+    out = with_taken(docs, plan(docs)).withColumn("times", times).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -7,8 +7,12 @@ enough, one vote a text, so it covers all data. Guards: texts under ``MIN_CLASS_
 words aren't judged by that histogram, nor is a language with fewer than ``MIN_REFERENCE_TEXTS`` such texts, as
 short counts diverge by chance; the limits also rise with the chance divergence of a text's length.
 
-One pass over the texts counts; references and distances need only the counts. Null texts count as empty, a null
-language is one of its own. Repeated rows get a row each; extra columns are ignored.
+One pass over the texts counts; references and distances need only the counts. The lists of common words are short on
+purpose: they hold articles, prepositions and pronouns that any longer text of the language uses.
+
+Null texts count as empty, a null language is one of its own. Very long texts are counted whole, in chunks. Equal
+words and lines are told apart by their bytes; a distance that equals its limit passes. Repeated rows get a row each
+and each has a vote in the reference; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
@@ -38,13 +42,13 @@ CLASS_LIMIT, COMMON_LIMIT = 0.28, 0.25
 _WORDS = sorted({w for ws in COMMON.values() for w in ws.split()})
 _PLACE = {w: i for i, w in enumerate(_WORDS)}
 _SYMBOLS, _SPACES = "#*$%&|<>", " \t\n\v\f\r"
-_TRIM = ".,;:!?\"'()[]"
+_TRIM = b".,;:!?\"'()[]"
 _CLASS_OF = np.full(129, 5, np.int64)
 for _at, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", _SPACES, ".,;:!?'\"()-")):
     _CLASS_OF[[ord(_c) for _c in _chars]] = _at
 _CLASS_OF[128] = 6
 _CHUNK = 1 << 20
-SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
+SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<double>, common array<double>"
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -62,6 +66,10 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _shares(counts: np.ndarray) -> list[float]:
+    return (counts / max(1, counts.sum())).tolist()
+
+
 def measure(text: str | None) -> tuple:
     """The counts of one text, in the order of ``SCHEMA`` from ``n_words``."""
     text = text or ""
@@ -73,15 +81,12 @@ def measure(text: str | None) -> tuple:
         classes += np.bincount(_CLASS_OF[np.minimum(points, 128)], minlength=len(CLASSES))
     common = [0] * (len(_WORDS) + 1)
     for w, n in Counter(words).items():
-        if len(w) < 12:
-            common[_PLACE.get(w.decode("utf-8", "replace").strip(_TRIM).lower(), -1)] += n
-        else:
-            common[-1] += n
-    return len(words), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), _repeated(words), classes.tolist(), common
+        common[_PLACE.get(w.strip(_TRIM).decode("utf-8", "replace").lower(), -1)] += n
+    return len(words), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), _repeated(words), _shares(classes), _shares(np.array(common))
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.float64())] * 2
     names = [x.strip().split()[0] for x in SCHEMA.split(", ")]
     for b in batches:
         rows = [measure(t.as_py()) for t in b.column(2)]
@@ -89,16 +94,32 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
 
 
-def _shares(counts: str) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The Jensen-Shannon distances of rows of shares: the root of the divergence in bits."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = np.where(p > 0, p * np.log2(p / m), 0.0) + np.where(q > 0, q * np.log2(q / m), 0.0)
+    return np.sqrt(np.maximum(parts.sum(axis=1) / 2, 0.0))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two arrays of shares."""
-    half = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    parts = F.zip_with(p, q, lambda a, b: half(a, (a + b) / 2) + half(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+def _column(of: pa.Array, width: int) -> np.ndarray:
+    """Lists of one width as rows; null lists as zeros."""
+    out = np.zeros((len(of), width))
+    there = np.flatnonzero(of.is_valid().to_numpy(zero_copy_only=False))
+    if len(there):
+        out[there] = of.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distance of each row's shares from its language's reference, null where the row has none."""
+    for b in batches:
+        out = []
+        for share, reference, width in ((7, 9, len(CLASSES)), (8, 10, len(_WORDS) + 1)):
+            known = b.column(reference).is_valid().to_numpy(zero_copy_only=False)
+            distance = js_distance(_column(b.column(share), width), _column(b.column(reference), width))
+            out.append(pa.array(distance, pa.float64(), mask=~known))
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), *out], [*b.schema.names[:7], "class_distance", "common_distance"])
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -106,7 +127,7 @@ def quality(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = materialize(base.mapInArrow(_measured, SCHEMA))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = counted.withColumns({"base_failed": failed, "key": F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none")), "classes": _shares("classes"), "common": _shares("common")})
+    rows = counted.withColumns({"base_failed": failed, "key": F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("none"))})
     good = rows.where(~F.col("base_failed"))
     mean = lambda c, n, least: F.array(*[F.avg(F.when(F.col("n_words") >= least, F.col(c)[i])) for i in range(n)])
     seen = lambda least: F.count(F.when(F.col("n_words") >= least, 1))
@@ -114,12 +135,13 @@ def quality(docs: DataFrame) -> DataFrame:
         mean("classes", len(CLASSES), MIN_CLASS_WORDS).alias("class_reference"), mean("common", len(_WORDS) + 1, MIN_COMMON_WORDS).alias("common_reference"),
         seen(MIN_CLASS_WORDS).alias("class_texts"), seen(MIN_COMMON_WORDS).alias("common_texts"),
     ))
-    judged = sized_join(rows, references, "key", "left", limit=20_000)
-    judge = lambda share, reference, texts, least: F.when((F.col("n_words") >= least) & (F.col(texts) >= MIN_REFERENCE_TEXTS), js_distance(F.col(share), F.col(reference)))
-    judged = judged.withColumns({
-        "class_distance": judge("classes", "class_reference", "class_texts", MIN_CLASS_WORDS),
-        "common_distance": judge("common", "common_reference", "common_texts", MIN_COMMON_WORDS),
-    })
+    # a language's references are some 700 bytes, so the limit is 14 MB
+    joined = sized_join(rows, references, "key", "left", limit=20_000)
+    known = lambda reference, texts, least: F.when((F.col("n_words") >= least) & (F.col(texts) >= MIN_REFERENCE_TEXTS), F.col(reference)).alias(reference)
+    judged = joined.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common",
+        known("class_reference", "class_texts", MIN_CLASS_WORDS), known("common_reference", "common_texts", MIN_COMMON_WORDS),
+    ).mapInArrow(_judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, common_distance double")
     chance = 0.6 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     diverges = F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False)) | F.coalesce(F.col("common_distance") > COMMON_LIMIT + chance, F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~diverges).alias("kept"))

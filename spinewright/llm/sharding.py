@@ -2,16 +2,21 @@
 
 The root holds all documents. Each round splits every node at the distributed weighted median, by bytes, of its
 widest metadata dimension, until a leaf's bytes are the target; the leaves are the shards, near equal in bytes
-(law ``bytes``). Dimensions are the text's size, its bytes a character, and its words' mean length, so equal
-texts have equal coordinates; ties go by a hash of the text, so equal texts share a shard unless their group
-outweighs ``GROUP_SHARE`` of a shard: then a hash of the id splits the group.
+(law ``bytes``). A node that stands for an odd number of shards is split at that share of its bytes (3 of 7 for 7),
+so any number of shards is met. Dimensions are the text's size, its bytes a character, and its words' mean length, so
+equal texts have equal coordinates; ties go by a hash of the text. Law of groups: equal texts share a shard, unless
+their group outweighs ``GROUP_SHARE`` of a shard and lies on a border. Then a hash of the id splits the group, as near
+equal sizes and whole groups can't both hold when one group outweighs a shard.
 
 A median is found by histograms: the node's range is cut into ``BINS`` bins, their bytes are summed in Spark, and
 the bin that holds the median is cut again, first along the dimension, then along the hashes. The driver sees
 ``BINS`` sums for each node that is being split, never a row of the table. Slots number a shard's rows through
-hash buckets and their counts, so no shard is sorted in one task.
+hash buckets and their counts, so no shard is sorted in one task; rows that tie in a bucket's order (equal id, text
+and size) are numbered in either order.
 
-Null texts weigh one byte like empty ones. Equal rows share a shard. Extra columns are ignored.
+Null texts weigh one byte like empty ones; null ids hash like any other value. Very long texts count with all their
+bytes. Rows equal in id and text share a shard. An empty table gives no rows. Extra columns are ignored by
+:func:`kd_shards` and kept by :func:`with_shard`, whatever their names; a column ``shard`` is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize
+from spinewright.llm.rows import packed
 
 BINS = 256
 #: Share of a shard's bytes above which equal texts are split by their ids.
@@ -53,12 +59,12 @@ def _before(keys: tuple[str, ...], edge: tuple[int, ...]) -> Column:
 
 
 class _Split:
-    """The search for one node's median: which rows may still hold it, and the bytes before them."""
+    """The search for one node's weighted median: which rows may still hold it, and the bytes before them."""
 
-    def __init__(self, dimension: str, low: int, high: int, total: int, shard: float):
+    def __init__(self, dimension: str, low: int, high: int, total: int, share: float, shard: float):
         self.keys, self.at, self.low, self.high = (dimension, "t_text", "t_id"), 0, low, high
         self.fixed: list[int] = []
-        self.before, self.half, self.edge = 0, total / 2, None
+        self.before, self.half, self.edge = 0, total * share, None
         self.group, self.fine = GROUP_SHARE * shard, FINE_SHARE * shard
 
     def condition(self) -> Column:
@@ -92,43 +98,60 @@ class _Split:
         self.edge = (*self.fixed, b["largest"] + 1 if after else b["least"], *(0 for _ in self.keys[len(self.fixed) + 1 :]))
 
 
-def tree(rows: DataFrame, shards: int) -> list[dict[int, tuple[tuple[str, ...], tuple[int, ...]]]]:
-    """The splits of each round, by node. ``rows``: narrow and materialised. ``shards``: a power of two."""
-    levels: list[dict] = []
+#: What a node was split by: (keys, edge), and the numbers of shards on either side; ``None`` for a node without rows.
+Tree = dict[int, tuple[tuple[tuple[str, ...], tuple[int, ...]] | None, int, int]]
+
+
+def tree(rows: DataFrame, shards: int) -> Tree:
+    """The splits by node; node ``n`` has the children ``2 n`` and ``2 n + 1``, the root is 1. ``rows``: narrow and materialised."""
+    if shards < 1:
+        raise ValueError(f"{shards} shards")
+    splits: Tree = {}
+    level = {1: shards} if shards > 1 else {}
     overall: dict[str, int] = {}
-    for level in range(shards.bit_length() - 1):
-        placed = rows.withColumn("node", leaf_of(levels))
+    while level:
+        placed = rows.withColumn("node", _place(splits, shards, leaf=False))
         ranges = placed.groupBy("node").agg(F.sum("s_size").alias("bytes"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]).collect()  # a row a node
         overall = overall or {d: max(1, max((r[f"high_{d}"] - r[f"low_{d}"] for r in ranges), default=1)) for d in DIMENSIONS}
         open_: dict[int, _Split] = {}
         for r in sorted(ranges, key=lambda r: r["node"]):
-            d = max(DIMENSIONS, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / overall[d])
-            open_[r["node"]] = _Split(d, r[f"low_{d}"], r[f"high_{d}"], r["bytes"], r["bytes"] * (1 << level) / shards)
+            if (k := level.get(r["node"])) is not None:
+                d = max(DIMENSIONS, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / overall[d])
+                open_[r["node"]] = _Split(d, r[f"low_{d}"], r[f"high_{d}"], r["bytes"], (k // 2) / k, r["bytes"] / k)
         done: dict[int, _Split] = dict(open_)
         while open_:
             in_search = reduce(lambda a, b: a | b, [(F.col("node") == n) & s.condition() for n, s in open_.items()])
             key = reduce(lambda c, x: c.when(F.col("node") == x[0], F.col(x[1].keys[x[1].at])), open_.items(), F.when(F.lit(False), F.lit(0).cast("long")))
             place = reduce(lambda c, x: c.when(F.col("node") == x[0], x[1].bin()), open_.items(), F.when(F.lit(False), F.lit(0)))
-            sums = placed.where(in_search).select("node", place.alias("bin"), key.alias("key"), "s_size").groupBy("node", "bin").agg(F.sum("s_size").alias("bytes"), F.min("key").alias("least"), F.max("key").alias("largest")).collect()  # BINS a node
+            binned = placed.where(in_search).select("node", place.alias("bin"), key.alias("key"), "s_size")
+            sums = binned.groupBy("node", "bin").agg(F.sum("s_size").alias("bytes"), F.min("key").alias("least"), F.max("key").alias("largest")).collect()  # BINS a node
             for n, s in list(open_.items()):
                 s.narrow(sorted((x for x in sums if x["node"] == n), key=lambda x: x["bin"]))
                 if s.edge is not None:
                     del open_[n]
-        levels.append({n: (s.keys, s.edge) for n, s in done.items()})
-    return levels
+        for n, k in level.items():
+            splits[n] = ((done[n].keys, done[n].edge) if n in done else None, k // 2, k - k // 2)
+        level = {child: k for n, (_, left, right) in splits.items() if n in level for child, k in ((2 * n, left), (2 * n + 1, right)) if k > 1}
+    return splits
+
+
+def _place(splits: Tree, shards: int, leaf: bool) -> Column:
+    """The node a row falls to, or with ``leaf`` its shard, as one nested CASE: a row evaluates one comparison a round."""
 
+    def below(node: int, first: int) -> Column:
+        if node not in splits:
+            return F.lit(first if leaf else node)
+        split, left, _ = splits[node]
+        if split is None:
+            return below(2 * node, first)
+        return F.when(_before(*split), below(2 * node, first)).otherwise(below(2 * node + 1, first + left))
 
-def leaf_of(levels: list[dict]) -> Column:
-    """The node a row falls to, as one nested CASE over its coordinates: a row evaluates one comparison a round."""
+    return below(1, 0)
 
-    def below(node: int, level: int) -> Column:
-        if level == len(levels):
-            return F.lit(node)
-        if node not in levels[level]:  # an empty node
-            return below(2 * node, level + 1)
-        return F.when(_before(*levels[level][node]), below(2 * node, level + 1)).otherwise(below(2 * node + 1, level + 1))
 
-    return below(0, 0)
+def shard_of(splits: Tree, shards: int) -> Column:
+    """A row's shard, from 0, by its coordinates."""
+    return _place(splits, shards, leaf=True)
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,8 +162,7 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``, one row for each row of ``docs``; slots of a shard have no gaps."""
     rows = materialize(_narrow(docs, id_col, text_col))
-    levels = tree(rows, shards)
-    placed = rows.withColumn("node", leaf_of(levels))
+    placed = rows.withColumn("node", shard_of(tree(rows, shards), shards))
     total = rows.count()
     buckets = max(16, total // (shards * ROWS_A_BUCKET) + 1)
     placed = placed.select("doc_id", F.col("s_size").alias("size"), "text_crc32", F.col("node").cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket"))
@@ -152,5 +174,6 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
 
 def with_shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``docs`` with their ``shard``; whole rows stay where they are, as a shard follows from the row alone."""
-    levels = tree(materialize(_narrow(docs, "doc_id", "text")), shards)
-    return coordinates(docs).select(*[c for c in docs.columns if c != "shard"], leaf_of(levels).cast("int").alias("shard"))
+    splits = tree(materialize(_narrow(docs, "doc_id", "text")), shards)
+    placed = coordinates(docs.select(packed(docs), "doc_id", "text")).select("row", shard_of(splits, shards).cast("int").alias("shard"))
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"], "shard")

@@ -7,8 +7,10 @@ square; their members are re-indexed by the one-wildcard variants of the whole f
 bits are at most one bit from a common word of 64 bits, and all who name that word are within two bits of each
 other, so a star links them. That is exact, holds at most 65 members a word, and needs no pairs.
 
-Nulls and empty texts have fingerprint zero and are linked like any other. Repeated rows get one row each. Rows
-with a null id take part; a component whose ids are all null has a null ``component_id``. Extra columns are ignored.
+Nulls and empty texts have fingerprint zero and are linked like any other; very long texts are hashed whole, shingle by
+shingle. Repeated rows get one row each. Rows with a null id take part; a component whose ids are all null has a null
+``component_id``. A bit set in just half of the shingles is 0. An empty table gives no rows. Extra columns are ignored
+by :func:`near_duplicates` and kept by :func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
 from spinewright.llm import near_copies
+from spinewright.llm.rows import packed
 from spinewright.operators.graph import connected_components
 
 SEED = 42
@@ -30,6 +33,8 @@ SHINGLE = 3
 MAX_BITS = 2
 #: Distinct fingerprints in a bucket up to which pairs are formed and verified directly.
 BUCKET_PAIRS = 16
+#: Fingerprints a task spreads into their 64 variants.
+FINGERPRINTS_A_TASK = 20_000
 _CHUNK = 1 << 16
 
 
@@ -69,7 +74,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(fps: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """Edges ``(src, dst)`` whose components are those of all pairs within two bits. ``fps``: distinct ``fp``, materialised."""
-    variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x")).select(
+    # few small files would be read by few tasks, each of which makes 64 rows of one
+    spread = fps.repartition(fps.count() // FINGERPRINTS_A_TASK + 1, "fp")
+    variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x")).select(
         "fp",
         F.expr("(shiftrightunsigned(fp, 32 * shiftright(x, 5)) & 4294967295L & ~shiftleft(1L, x & 31)) | shiftleft(cast(x as bigint), 32)").alias("variant"),
     )
@@ -87,8 +94,9 @@ def links(fps: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
         .select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("x"))
         .select("fp", F.expr("case when x < 64 then fp ^ shiftleft(1L, x) else fp end").alias("word"))
     )
+    # at most 65 fingerprints name a word
     stars = words.groupBy("word").agg(F.min("fp").alias("src"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    star_links = stars.select("src", F.explode("all").alias("dst")).where("src <> dst")
+    star_links = stars.select("src", F.explode("all").alias("dst")).where("src <> dst").where(near("src", "dst"))
     return pairs.unionByName(verified.select(F.col("fp").alias("src"), F.col("other").alias("dst"))).unionByName(star_links).distinct()
 
 
@@ -122,8 +130,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     src, dst = (of_class.select(F.col("class").alias(end), F.col("fp").alias(f"{end}_fp")) for end in ("src", "dst"))
     similar = sized_join(sized_join(pairs, src, "src", rows=n), dst, "dst", rows=n).select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst")).where("src <> dst")
     roots = materialize(connected_components(links(fps).unionByName(similar)))
-    rooted = sized_join(rows, roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "version", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("x"))
-    kept = materialize(first.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.version").alias("_kept_version")))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_version") == F.col("_kept_version"))
-    return docs.withColumn("_version", version).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_version"]).drop("_version")
+    # keys settle which rows stay, so texts move in one join at most
+    texts = rows.groupBy(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "version", "fp").agg(F.count("*").alias("n"))
+    rooted = sized_join(texts, roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    first = rooted.groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct("none", "id", "version", "n")).alias("x"))
+    kept = materialize(first.select("x.*"))
+    whole = docs.select(packed(docs), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), version.alias("version"))
+    stays = sized_join(whole, kept, ["none", "id", "version"])
+    again = stays.where("n > 1").dropDuplicates(["none", "id", "version"])  # only rows that repeat an id and a text
+    return stays.where("n = 1").select("row").unionByName(again.select("row")).select("row.*")
