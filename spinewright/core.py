@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +17,17 @@ _local_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary folder only where none is configured (tests, one machine)."""
+    """The cluster's shared checkpoint folder. Where none is set, a temporary folder on a local master (tests, one machine);
+    on a cluster that would be each executor's own disk, so it is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: the master is {master}")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="spinewright-"))
+        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
     return f"file://{_local_root[0]}"
 
 
@@ -33,7 +41,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Join with ``small`` broadcast only when its counted rows are within ``limit``; otherwise a shuffle join,
-    whose skewed keys adaptive execution splits. ``small`` should be materialised, as it is counted first."""
+    whose skewed keys adaptive execution splits. ``small`` should be materialised, as it is counted first, unless
+    the caller has counted: its ``rows``, or where rows differ in width its bytes, against a ``limit`` in bytes."""
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= limit else small.hint("merge"), on, how)
 
