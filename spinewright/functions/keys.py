@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ EARTH_M = 6_371_000.0
 
 
 def _accents() -> tuple[str, str]:
-    """Every Latin letter with marks and its bare letter, from Unicode's own decompositions."""
+    """Every letter with marks up to the Greek extensions and its bare letter, from Unicode's own decompositions."""
     import unicodedata
 
-    marked = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    marked = [chr(c) for c in range(0xC0, 0x2000) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.category(chr(c))[0] == "L"]
     bare = [unicodedata.normalize("NFD", c)[0] for c in marked]
     return "".join([*marked, *STROKES]), "".join([*bare, *STROKES.values()])
 
@@ -45,6 +47,15 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_accents()), r"\p{M}+", "")
 
 
+def plain(text: str) -> str:
+    """What :func:`fold` makes of a constant."""
+    import unicodedata
+
+    for letter, bare in (LIGATURES | STROKES).items():
+        text = text.replace(letter, bare)
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
 def _legal_run(before: str) -> str:
     return f"(?:(?:^| )(?:{'|'.join([*SPACED_LEGAL_FORMS, *[x for x in LEGAL_FORMS if x != 'dba']])}))+(?={before})"
 
@@ -140,10 +151,60 @@ def host_class(url: Column) -> Column:
     return out.otherwise("other")
 
 
+def utf16_units(c: Column) -> Column:
+    """The UTF-16 code units of a text: two for characters beyond U+FFFF."""
+    points = F.transform(F.filter(F.split(c, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("long"))
+    pair = lambda p: F.array(F.lit(0xD800) + F.shiftright(p - 0x10000, 10), F.lit(0xDC00) + (p - 0x10000).bitwiseAND(F.lit(0x3FF)))
+    return F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(pair(p))))
+
+
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over the characters' code units, as a non-negative long."""
-    step = lambda a, ch: ((a.bitwiseXOR(F.ascii(ch).cast("long"))) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    return F.aggregate(F.filter(F.split(c, ""), lambda ch: ch != ""), F.lit(2166136261).cast("long"), step)
+    """FNV-1a over the text's UTF-16 code units, as a non-negative long."""
+    step = lambda a, unit: (a.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    return F.aggregate(utf16_units(c), F.lit(2166136261).cast("long"), step)
+
+
+def picked_phone(raw: Column) -> Column:
+    """Of an array of phones the first that can block, else the first that is a number at all, as :func:`phone` gives it."""
+    parsed = F.transform(raw, phone)
+    blockable = F.filter(parsed, lambda p: p["blockable"])
+    return F.coalesce(F.try_element_at(blockable, F.lit(1)), F.try_element_at(F.filter(parsed, lambda p: p["e164"].isNotNull()), F.lit(1)))
+
+
+def external_id(taxpayer: Column, outlet: Column) -> Column:
+    """A permit's natural key."""
+    return F.concat_ws("-", taxpayer, outlet)
+
+
+# Fixed value: digits of public keys, without letters that look like digits.
+KEY_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def public_key(identity: Column, prefix: str = "SL-", size: int = 6) -> Column:
+    """A short public key that follows from a row's identity, so that a replayed task makes the same one."""
+    h = F.conv(F.substring(F.sha2(identity, 256), 1, 12), 16, 10).cast("long")
+    return F.concat(F.lit(prefix), *[F.substring(F.lit(KEY_DIGITS), F.shiftright(h, 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(size)])
+
+
+def county_padded(code: Column) -> Column:
+    """A county code of one to three digits with leading zeros; null for anything else."""
+    return F.when(code.rlike("^[0-9]{1,3}$"), F.lpad(code, 3, "0"))
+
+
+def county_bare(code: Column) -> Column:
+    """A county code without leading zeros; null for anything but three digits."""
+    return F.when(code.rlike("^[0-9]{3}$"), code.cast("int").cast("string"))
+
+
+def in_code_ranges(code: Column, ranges: list[tuple[str, str]]) -> Column:
+    """Whether a digit code lies in one of the half-open ranges of prefixes, compared as text."""
+    return F.coalesce(reduce(lambda a, r: a | ((code >= r[0]) & (code < r[1])), ranges, F.lit(False)), F.lit(False))
+
+
+def folded(raw: Column) -> Column:
+    """A city or lookup key: trimmed, white space collapsed, upper case; null if nothing is left."""
+    out = F.upper(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    return F.when(out != "", out)
 
 
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -166,9 +227,14 @@ def gram_similarity(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
+def canonical_json(*columns: str) -> Column:
+    """JSON of the columns with keys sorted and nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
 def payload_hash(*columns: str) -> Column:
-    """SHA-256 of the canonical JSON of the columns, keys sorted and nulls kept."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of :func:`canonical_json`."""
+    return F.sha2(canonical_json(*columns), 256)
 
 
 def half_up(c: Column) -> Column:

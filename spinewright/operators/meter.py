@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def micros(amount: Column) -> Column:
@@ -38,9 +42,69 @@ def carried_caps(periods: DataFrame, caps: DataFrame, period: str, cap: str, def
 
 
 def reserved(requests: DataFrame, period: str, order: list[str], amount: str, cap: int) -> DataFrame:
-    """Reservations in event order: accepted while the sum of all asked so far is within ``cap``."""
-    w = Window.partitionBy(period).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("asked", F.sum(amount).over(w)).withColumn("accepted", F.col("asked") <= cap)
+    """Adds ``accepted`` and ``held`` (what is granted so far) to reservations in event order: one is granted if it fits
+    beside what has been granted before it in its ``period``; a refused one takes nothing.
+
+    Each grant depends on the last, so a period is walked in order by one task, which holds one number and a batch of
+    rows. A period with many rows is long for its task, but never large.
+    """
+    names = requests.columns
+    rows = requests.select(F.col(period).cast("string").alias("walk_period"), F.col(amount).cast("long").alias("walk_amount"), F.struct(*names).alias("row"), *[F.col(o).alias(f"walk_{i}") for i, o in enumerate(order)])
+    sorted_ = rows.repartition("walk_period").sortWithinPartitions("walk_period", *[f"walk_{i}" for i in range(len(order))]).select("walk_period", "walk_amount", "row")
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, started = None, 0, False
+        for b in batches:
+            accepted, sums = [], []
+            for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key != now or not started:
+                    now, held, started = key, 0, True
+                fits = n is not None and held + n <= cap
+                held += n if fits else 0
+                accepted.append(fits)
+                sums.append(held)
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(accepted, pa.bool_()), pa.array(sums, pa.int64())], ["row", "accepted", "held"])
+
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("accepted", BooleanType()), StructField("held", LongType())])
+    return sorted_.mapInArrow(walked, schema).select("row.*", "accepted", "held")
+
+
+def open_reservations(requests: DataFrame, settled_ids: DataFrame, released: DataFrame, now: Column) -> DataFrame:
+    """Adds ``state`` to reservations ``request_id, expires_at, ...``: settled if the ledger has the request (also when it was
+    released before), else released, else expired once ``expires_at`` has passed, else open. Only open ones hold money, so
+    a lease that ran out frees its hold by itself."""
+    s = settled_ids.select("request_id").distinct().withColumn("is_settled", F.lit(True))
+    r = released.select("request_id").distinct().withColumn("is_released", F.lit(True))
+    state = F.when(F.col("is_settled"), "settled").when(F.col("is_released"), "released").when(F.col("expires_at") < now, "expired").otherwise("open")
+    return requests.join(s, "request_id", "left").join(r, "request_id", "left").withColumn("state", state).drop("is_settled", "is_released")
+
+
+def period_balance(reservations: DataFrame, ledger: DataFrame, period: str) -> DataFrame:
+    """``period, reserved, spent, overruns`` of reservations with their ``state`` (:func:`open_reservations`) and ``micros``: open
+    ones are reserved, ledger entries spent; an entry above its reservation is an overrun."""
+    held = reservations.groupBy(period).agg(F.sum(F.when(F.col("state") == "open", F.col("micros")).otherwise(0)).alias("reserved"))
+    j = ledger.select("request_id", F.col("micros").alias("charged")).join(reservations.select("request_id", period, "micros"), "request_id")
+    spent = j.groupBy(period).agg(F.sum("charged").alias("spent"), F.count_if(F.col("charged") > F.col("micros")).alias("overruns"))
+    return held.join(spent, period, "left").na.fill(0, ["spent", "overruns"])
+
+
+def overrun_events(reservations: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``request_id, over``: an event for each ledger entry above its reservation."""
+    j = ledger.select("request_id", F.col("micros").alias("charged")).join(reservations.select("request_id", "micros"), "request_id")
+    return j.where("charged > micros").select("request_id", (F.col("charged") - F.col("micros")).alias("over"))
+
+
+def price_book(spark: SparkSession) -> DataFrame:
+    """``unit, price, free`` of each billing unit."""
+    return spark.createDataFrame([(k, p, f) for k, (p, f) in PRICES.items()], "unit string, price long, free long")
+
+
+def priced_by_unit(usage: DataFrame, used_before: DataFrame) -> DataFrame:
+    """``unit, requests, free_left, micros`` of ``usage`` (unit, requests) with what each unit has ``used`` of its month."""
+    book = F.broadcast(price_book(usage.sparkSession))  # seven rows
+    j = usage.join(used_before.select("unit", "used"), "unit", "left").join(book, "unit")
+    left = F.when(F.col("free").isNotNull(), F.greatest(F.lit(0), F.col("free") - F.coalesce("used", F.lit(0))))
+    return j.select("unit", "requests", left.cast("long").alias("free_left"), priced(F.col("requests"), left, F.col("price")).cast("long").alias("micros"))
 
 
 MAX_MICROS = 1_000_000_000_000

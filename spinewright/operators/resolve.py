@@ -17,9 +17,17 @@ GATE_M = 25_000
 MERGE, REVIEW = 95, 80
 
 
+def live(rows: DataFrame) -> DataFrame:
+    """The rows that may be paired, with their ``scope``: merged-away ones (``merged_into``) are left out, and only rows of one
+    ``org_id`` meet, where the table has these columns."""
+    alive = rows.where(F.col("merged_into").isNull()) if "merged_into" in rows.columns else rows
+    scope = F.coalesce(F.col("org_id").cast("string"), F.lit("")) if "org_id" in rows.columns else F.lit("")
+    return alive if "scope" in rows.columns else alive.withColumn("scope", scope)
+
+
 def block_sizes(rows: DataFrame, key: Column) -> DataFrame:
-    """``block_key, size, pairs`` of blocks of two or more, known before any pair is formed."""
-    counted = rows.where(key.isNotNull()).groupBy(key.alias("block_key")).agg(F.count("*").alias("size"))
+    """``scope, block_key, size, pairs`` of blocks of two or more, known before any pair is formed."""
+    counted = live(rows).where(key.isNotNull()).groupBy("scope", key.alias("block_key")).agg(F.count("*").alias("size"))
     return counted.where("size >= 2").withColumn("pairs", F.expr("size * (size - 1) div 2"))
 
 
@@ -31,11 +39,12 @@ def skipped_blocks(rows: DataFrame, key: Column, cap: int = PAIR_CAP) -> DataFra
 def block_pairs(rows: DataFrame, key: Column, cap: int = PAIR_CAP) -> DataFrame:
     """Pairs within blocks of at most ``cap`` pairs. Oversized blocks are dropped before the self join, so no key
     of the join can be hot."""
-    accepted = block_sizes(rows, key).where(F.col("pairs") <= cap).select("block_key", "size")
+    rows = live(rows)
+    accepted = block_sizes(rows, key).where(F.col("pairs") <= cap).select("scope", "block_key", "size")
     # trigrams once a row, not once a pair; unused ones are pruned
-    inside = rows.withColumns({"block_key": key, "grams": keys.trigrams(F.col("name_norm"))}).join(accepted, "block_key")
+    inside = rows.withColumns({"block_key": key, "grams": keys.trigrams(F.col("name_norm"))}).join(accepted, ["scope", "block_key"])
     a, b = inside.alias("a"), inside.alias("b")
-    return a.join(b, (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.id") < F.col("b.id"))).select(
+    return a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.id") < F.col("b.id"))).select(
         F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.block_key").alias("block_key"), F.col("a.size").alias("size"),
         F.col("a.grams").alias("left_grams"), F.col("b.grams").alias("right_grams"),
     )
@@ -75,6 +84,7 @@ def nearest_names(rows: DataFrame, top: int = TOP, threshold: float = NAME_SIMIL
     Businesses that share a name share their neighbours, so each name keeps its ``top + 1`` first ids and each
     name's list its ``top + 1`` best: linear in the businesses, however many bear one name.
     """
+    rows = live(rows).withColumn("postal", F.concat(F.col("scope"), F.lit("|"), F.col("postal")))
     named = rows.where("postal is not null and name_norm is not null").select("id", "postal", F.col("name_norm").alias("name"))
     first = named.withColumn("r", F.row_number().over(Window.partitionBy("postal", "name").orderBy("id"))).where(F.col("r") <= top + 1)
     order = Window.partitionBy("postal", "a").orderBy(F.desc("similarity"), "other_id")
@@ -86,7 +96,9 @@ def nearest_names(rows: DataFrame, top: int = TOP, threshold: float = NAME_SIMIL
 
 
 def candidates(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
-    """``left_id, right_id, block``: the union of the three blocks; the first that names a pair keeps it."""
+    """``left_id, right_id, block``: the union of the three blocks of live rows of one scope; the first that names a pair keeps it."""
+    # the arms share one narrow table, as what makes the rows may be costly
+    rows = materialize(live(rows).select("id", "scope", "name_norm", "phone", "blockable", "street_num", "postal"))
     near = nearest_names(rows).select(F.least("id", "other_id").alias("left_id"), F.greatest("id", "other_id").alias("right_id"), F.lit(3).alias("rank")).distinct()
     union = phone_pairs(rows, cap).select("left_id", "right_id", F.lit(1).alias("rank")).unionByName(address_pairs(rows, cap).select("left_id", "right_id", F.lit(2).alias("rank"))).unionByName(near)
     first = union.groupBy("left_id", "right_id").agg(F.min("rank").alias("rank"))
@@ -139,12 +151,13 @@ def score(joined: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
+    rows = materialize(live(rows).select(*BUSINESS, "scope"))
     return score(sides(candidates(rows, cap), rows)).select("left_id", "right_id", "block", "name_similarity", "signals", "score", "band")
 
 
 def chains(rows: DataFrame, least: int = 3) -> DataFrame:
     """Names that ``least`` or more businesses of one place and street share: ``name_norm, postal, street_norm, members``."""
-    return rows.groupBy("name_norm", "postal", "street_norm").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    return live(rows).groupBy("scope", "name_norm", "postal", "street_norm").agg(F.count("*").alias("members")).where(F.col("members") >= least).drop("scope")
 
 
 def merged(pairs: DataFrame, least: int) -> DataFrame:

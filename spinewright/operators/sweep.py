@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spinewright.functions import keys
+
 
 def apportioned(cells: DataFrame, parent: str, total: str, measured: str) -> DataFrame:
     """Adds ``expected``: a cell's measured count, or an equal share of what its parent's total leaves for the rest."""
@@ -31,24 +33,34 @@ def quadrants(tiles: DataFrame) -> DataFrame:
 
 def subdivided(points: DataFrame, root: tuple[float, float, float, float], saturated: int, depth: int) -> DataFrame:
     """All tiles with their point counts: a tile with ``saturated`` points or more is split, down to ``depth``; empty
-    children never come up. ``root``: south, west, north, east. A point's path follows from its tile, so a round is
-    one aggregation and one semi join on the path."""
+    children never come up. ``root``: south, west, north, east.
+
+    A point's deepest path is computed in its row, its tiles are that path's prefixes, and one aggregation counts them
+    all. A tile comes up if all tiles above it are full, which is its parent being full, as counts only fall downwards.
+    """
     south, west, north, east = root
-    placed = points.select("id", "lat", "lng", F.lit("r").alias("path"), *[F.lit(v).alias(k) for k, v in zip(("south", "west", "north", "east"), root, strict=True)])
-    placed = placed.where((F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lng") >= west) & (F.col("lng") < east))
-    out = None
-    for _ in range(depth + 1):
-        counted = placed.groupBy("path", "south", "west", "north", "east").agg(F.count("*").alias("points"))
-        out = counted if out is None else out.unionByName(counted)
-        full = counted.where(F.col("points") >= saturated).select("path")
-        mid_lat, mid_lng = (F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2
+    inside = points.where((F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lng") >= west) & (F.col("lng") < east))
+    start = F.struct(F.lit("r").alias("path"), *[F.lit(float(v)).alias(k) for k, v in zip(("south", "west", "north", "east"), root, strict=True)])
+
+    def step(t: Column, _: Column) -> Column:
+        mid_lat, mid_lng = (t["south"] + t["north"]) / 2, (t["west"] + t["east"]) / 2
         upper, right = F.col("lat") >= mid_lat, F.col("lng") >= mid_lng
-        placed = placed.join(full, "path", "left_semi").select(
-            "id", "lat", "lng", F.concat("path", F.when(upper, F.when(right, "3").otherwise("2")).otherwise(F.when(right, "1").otherwise("0"))).alias("path"),
-            F.when(upper, mid_lat).otherwise(F.col("south")).alias("south"), F.when(right, mid_lng).otherwise(F.col("west")).alias("west"),
-            F.when(upper, F.col("north")).otherwise(mid_lat).alias("north"), F.when(right, F.col("east")).otherwise(mid_lng).alias("east"),
+        digit = F.when(upper, F.when(right, "3").otherwise("2")).otherwise(F.when(right, "1").otherwise("0"))
+        return F.struct(
+            F.concat(t["path"], digit).alias("path"), F.when(upper, mid_lat).otherwise(t["south"]).alias("south"), F.when(right, mid_lng).otherwise(t["west"]).alias("west"),
+            F.when(upper, t["north"]).otherwise(mid_lat).alias("north"), F.when(right, t["east"]).otherwise(mid_lng).alias("east"),
         )
-    return out.select("path", "points")
+
+    deepest = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step)["path"] if depth else F.lit("r")
+    # counted by the deepest path first, so the prefixes are those of tiles, not of points
+    leaves = inside.groupBy(deepest.alias("leaf")).agg(F.count("*").alias("n"))
+    tiles = leaves.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda i: F.substring("leaf", F.lit(1), i))).alias("path"))
+    counted = tiles.groupBy("path").agg(F.sum("n").alias("points"))
+    # a tile's parent and its children meet in one task: five rows at most
+    family = counted.select("path", "points", F.explode(F.array(F.struct(F.col("path").alias("of"), F.lit(True).alias("parent")), F.struct(F.expr("left(path, length(path) - 1)").alias("of"), F.lit(False).alias("parent")))).alias("x"))
+    above = F.max(F.when(F.col("x.parent"), F.col("points"))).over(Window.partitionBy("x.of"))
+    placed = family.withColumn("above", above).where("not x.parent")
+    return placed.where((F.col("path") == "r") | (F.col("above") >= saturated)).select("path", "points")
 
 
 def shallowest(tiles: DataFrame) -> DataFrame:
@@ -76,14 +88,14 @@ def versioned(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 # Country names that end an address outside the area.
-FOREIGN = "mexico,méxico,canada,guatemala,belize,honduras,el salvador,nicaragua,costa rica,panama,panamá,cuba".split(",")
+FOREIGN = ("mexico", "méxico", "canada", "guatemala", "belize", "honduras", "el salvador", "nicaragua", "costa rica", "panama", "panamá", "cuba")
 REFERENCE_MILES = 25
 
 
 def out_of_area(address: Column) -> Column:
-    """Whether an address ends in a foreign country's name; no address says nothing."""
+    """Whether an address ends in a foreign country's name, its letters composed or not; no address says nothing."""
     tail = F.trim(F.element_at(F.split(F.trim(address), ","), -1))
-    return F.coalesce(F.lower(tail).isin(FOREIGN), F.lit(False))
+    return F.coalesce(keys.fold(F.lower(tail)).isin(*{keys.plain(c) for c in FOREIGN}), F.lit(False))
 
 
 def service_area_score(fallback: Column, same_phone: Column, same_city: Column, similarity: Column) -> Column:

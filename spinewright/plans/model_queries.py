@@ -182,7 +182,7 @@ def spend_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pct_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(meter.micros(F.col("o_totalprice"))).alias("used"))
     c = read(spark, sf_dir, "customer").join(used, "c_custkey", "left").withColumns({"used": F.coalesce("used", F.lit(0)), "cap": meter.micros(F.col("c_acctbal")) * 20})
-    return c.select("c_custkey", F.expr("case when cap <= 0 then if(used > 0, 100L, 0L) else used * 100 div cap end").alias("pct"))
+    return c.select("c_custkey", report.pct_used(F.col("used"), F.col("cap")).alias("pct"))
 
 
 @query("""SELECT CASE WHEN c IS NULL THEN 'null' WHEN c = 1.0 THEN '=1.0' ELSE '0.' || least(9, floor(c * 10)::INT) || '-' || CASE WHEN least(9, floor(c * 10)::INT) = 9 THEN '1.0' ELSE '0.' || (floor(c * 10)::INT + 1) END END AS band, count(*) AS rows FROM (SELECT l_discount * 10 AS c FROM lineitem) GROUP BY 1""")
@@ -299,10 +299,14 @@ def cap_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meter.carried_caps(o, caps, "period", "cap", 50_000_000)
 
 
-@query("""SELECT o_custkey, count(*) AS asked, count(*) FILTER (t <= 500000000000) AS accepted FROM (SELECT o_custkey, sum(floor(o_totalprice * 1000000 + 0.5)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS t FROM orders) GROUP BY 1""")
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, floor(o_totalprice * 1000000 + 0.5)::BIGINT AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
+w AS (SELECT o_custkey, r, CASE WHEN m <= 500000000000 THEN m ELSE 0 END AS held, m <= 500000000000 AS ok FROM o WHERE r = 1
+  UNION ALL SELECT o.o_custkey, o.r, CASE WHEN w.held + m <= 500000000000 THEN w.held + m ELSE w.held END, w.held + m <= 500000000000 FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.r = w.r + 1)
+SELECT o_custkey, count(*) AS asked, count(*) FILTER (ok) AS accepted, max(held)::BIGINT AS held FROM w GROUP BY 1""")
 def reserve_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").withColumn("micros", meter.micros(F.col("o_totalprice")))
-    return meter.reserved(o, "o_custkey", ["o_orderdate", "o_orderkey"], "micros", 500_000_000_000).groupBy("o_custkey").agg(F.count("*").alias("asked"), F.count_if("accepted").alias("accepted"))
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", meter.micros(F.col("o_totalprice")).alias("micros"))
+    granted = meter.reserved(o, "o_custkey", ["o_orderdate", "o_orderkey"], "micros", 500_000_000_000)
+    return granted.groupBy("o_custkey").agg(F.count("*").alias("asked"), F.count_if("accepted").alias("accepted"), F.max("held").alias("held"))
 
 
 # planning

@@ -25,26 +25,26 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The businesses, their blocks, candidates, score and components as common table expressions.
 _BIZ = """
-biz AS (SELECT *, count(*) OVER (PARTITION BY name_norm, postal, street_norm) >= 3 AS chain FROM (
+biz AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY name_norm, postal, street_norm) >= 3 AS chain FROM (
   SELECT p_partkey AS id, lower(p_name) AS name_norm, '+1956' || lpad((p_partkey % 400)::VARCHAR, 7, '0') AS phone, p_partkey % 7 <> 0 AS blockable,
     p_size::VARCHAR AS street_num, lower(p_type) AS street_norm, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 5 END AS unit, p_brand AS postal,
     25.8::DOUBLE + regexp_extract(p_brand, '[0-9]+')::INT * 0.03::DOUBLE + p_size * 0.0002::DOUBLE + (p_partkey % 10) * 0.0001::DOUBLE AS lat,
     -99.3::DOUBLE + regexp_extract(p_brand, '[0-9]+')::INT * 0.05::DOUBLE + (p_partkey % 7) * 0.0001::DOUBLE AS lng,
     CASE WHEN p_partkey % 11 = 0 THEN 'census_non_exact' ELSE 'overture' END AS kind, split_part(p_name, ' ', 2) AS cluster_key FROM part)),
 names AS (SELECT DISTINCT name_norm AS n FROM biz),
-grams AS (SELECT n, list_distinct(flatten(list_transform(list_filter(string_split_regex(n, '[^a-z0-9]+'), lambda w: w <> ''),
+grams AS MATERIALIZED (SELECT n, list_distinct(flatten(list_transform(list_filter(string_split_regex(n, '[^a-z0-9]+'), lambda w: w <> ''),
     lambda w: list_transform(generate_series(1, len(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM names),
-sims AS (SELECT a.n AS a, b.n AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS sim FROM grams a, grams b)"""
+sims AS MATERIALIZED (SELECT a.n AS a, b.n AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS sim FROM grams a, grams b)"""
 _BLOCKS = """,
 phones AS (SELECT phone, count(*) AS size FROM biz WHERE blockable GROUP BY 1 HAVING count(*) >= 2),
 phone_pairs AS (SELECT a.id AS left_id, b.id AS right_id, 'phone:' || a.phone AS block_key, size FROM biz a JOIN biz b ON a.phone = b.phone AND a.id < b.id AND a.blockable AND b.blockable JOIN phones p ON p.phone = a.phone WHERE size * (size - 1) // 2 <= 500),
 addresses AS (SELECT postal, street_num, count(*) AS size FROM biz GROUP BY 1, 2 HAVING count(*) >= 2),
 address_pairs AS (SELECT a.id AS left_id, b.id AS right_id, 'address:' || a.postal || '|' || a.street_num AS block_key, size, sim AS similarity FROM biz a JOIN biz b ON a.postal = b.postal AND a.street_num = b.street_num AND a.id < b.id
   JOIN addresses d ON d.postal = a.postal AND d.street_num = a.street_num JOIN sims s ON s.a = a.name_norm AND s.b = b.name_norm WHERE size * (size - 1) // 2 <= 500 AND sim >= 0.3),
-near AS (SELECT * FROM (SELECT a.id, b.id AS other_id, sim AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, b.id) AS rank FROM biz a JOIN biz b ON a.postal = b.postal AND a.id <> b.id JOIN sims s ON s.a = a.name_norm AND s.b = b.name_norm WHERE sim >= 0.45) WHERE rank <= 5),
-cand AS (SELECT left_id, right_id, min(r) AS r FROM (SELECT left_id, right_id, 1 AS r FROM phone_pairs UNION ALL SELECT left_id, right_id, 2 FROM address_pairs UNION ALL SELECT least(id, other_id), greatest(id, other_id), 3 FROM near) GROUP BY 1, 2)"""
+near AS MATERIALIZED (SELECT * FROM (SELECT a.id, b.id AS other_id, sim AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, b.id) AS rank FROM biz a JOIN biz b ON a.postal = b.postal AND a.id <> b.id JOIN sims s ON s.a = a.name_norm AND s.b = b.name_norm WHERE sim >= 0.45) WHERE rank <= 5),
+cand AS MATERIALIZED (SELECT left_id, right_id, min(r) AS r FROM (SELECT left_id, right_id, 1 AS r FROM phone_pairs UNION ALL SELECT left_id, right_id, 2 FROM address_pairs UNION ALL SELECT least(id, other_id), greatest(id, other_id), 3 FROM near) GROUP BY 1, 2)"""
 _SCORES = """,
-j AS (SELECT c.*, a.name_norm AS an, b.name_norm AS bn, sim, a.phone = b.phone AND a.blockable AND b.blockable AS sp, a.postal = b.postal AS po, a.postal = b.postal AND a.street_num = b.street_num AS num,
+j AS MATERIALIZED (SELECT c.*, a.name_norm AS an, b.name_norm AS bn, sim, a.phone = b.phone AND a.blockable AND b.blockable AS sp, a.postal = b.postal AS po, a.postal = b.postal AND a.street_num = b.street_num AS num,
     a.postal = b.postal AND a.street_num = b.street_num AND a.street_norm = b.street_norm AND coalesce(a.unit = b.unit, true) AS full_address, a.kind <> 'census_non_exact' AND b.kind <> 'census_non_exact' AS promotable, a.cluster_key = b.cluster_key AS sc, a.chain OR b.chain AS chained,
     2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) AS m
   FROM cand c JOIN biz a ON a.id = left_id JOIN biz b ON b.id = right_id JOIN sims s ON s.a = a.name_norm AND s.b = b.name_norm),
@@ -54,7 +54,7 @@ s2 AS (SELECT *, greatest(0, least(100, floor(45 * least(1.0::DOUBLE, greatest(0
     (sim >= 0.85)::INT + sp::INT + full_address::INT + coalesce(near_m <= 100, false)::INT AS own, sp AND po AND sim >= 0.6 AS lift, sp AND po AND sim >= 0.3 AND sim < 0.6 AS hold FROM s1),
 s3 AS (SELECT *, CASE WHEN lift THEN greatest(base, 95) WHEN hold THEN least(94, greatest(80, base)) ELSE base END AS lifted, CASE WHEN lift THEN greatest(own, 2) ELSE own END AS signals FROM s2),
 s4 AS (SELECT *, CASE WHEN m > 25000 THEN 0 WHEN chained OR signals < 2 OR NOT coalesce(near_m <= 500, false) THEN least(lifted, 94) ELSE lifted END AS score FROM s3),
-scored AS (SELECT left_id, right_id, CASE r WHEN 1 THEN 'phone' WHEN 2 THEN 'address' ELSE 'trigram' END AS block, sim AS name_similarity, signals::BIGINT AS signals, score::BIGINT AS score,
+scored AS MATERIALIZED (SELECT left_id, right_id, CASE r WHEN 1 THEN 'phone' WHEN 2 THEN 'address' ELSE 'trigram' END AS block, sim AS name_similarity, signals::BIGINT AS signals, score::BIGINT AS score,
     CASE WHEN m > 25000 THEN 'distinct' WHEN score >= 95 THEN 'merge' WHEN score >= 80 THEN 'review' ELSE 'ignore' END AS band FROM s4)"""
 _ROOTS = """,
 e AS (SELECT left_id AS a, right_id AS b FROM scored WHERE score >= 80 UNION SELECT right_id, left_id FROM scored WHERE score >= 80),

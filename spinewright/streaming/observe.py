@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,27 +49,32 @@ def latest_with_expiry(events: DataFrame, key: str, hold: str = "30 days") -> Da
     return grouped.applyInPandasWithState(step, f"{key} long, ts_ms long, event_type string, status string", "ts_ms long, event_type string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def ledger_sink(path: str, request: str):  # noqa: ANN201
+def ledger_sink(path: str, request: str, buckets: int = 64):  # noqa: ANN201
     """A ``foreachBatch`` function that writes each request once: a batch's folder is replaced when it is replayed,
-    and requests of other batches are left out."""
+    and requests of other batches are left out. The ledger lies in ``buckets`` by a hash of the request, so a batch
+    reads the request column of the buckets it touches only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates([request])
+        spark = batch.sparkSession
+        new = batch.dropDuplicates([request]).withColumn("bucket", F.pmod(F.xxhash64(request), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
         try:
-            old = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != batch_id).select(request)
-            new = new.join(old, request, "left_anti")
-        except Exception as e:  # the first batch finds no folder
+            old = spark.read.option("basePath", path).parquet(path).where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id)).select("bucket", request)
+            new = new.join(old, ["bucket", request], "left_anti")
+        except AnalysisException as e:  # the first batch finds no folder
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
 def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there into ``path`` and read the result; a complete result replaces the last one."""
+    """Run a stream over all that is there into ``path`` and read the result; a complete result replaces the last one.
+    Other results go into a folder a batch, which a replay replaces, so no batch is there twice."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch_id}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
