@@ -98,21 +98,18 @@ def _length_factor(n: int) -> float:
     return float(np.sqrt(sum(t[3] ** 2 for t in _triples(n)))) or 1.0
 
 
-def _dot(words: list[str], weights: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-    """For each word the product of its features and ``weights`` (one row, or a column for each landmark).
-
-    With ``place``, a feature's weight stands in that row.
-    """
-    out = np.zeros((len(words), *weights.shape[1:]), np.float64)
+def _dot(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """For each word the product of its features and ``weights``, one for each letter triple."""
+    out = np.zeros(len(words))
     by: dict[int, list[int]] = {}
     for at, w in enumerate(words):
         by.setdefault(len(w), []).append(at)
     for n, where in by.items():
-        c, total = _codes([words[i] for i in where]), 0.0
-        for i, j, k, v in _triples(n + 1):
-            feature = (c[:, i] * LETTERS + c[:, j]) * LETTERS + c[:, k]
-            total = total + v * weights[feature if place is None else place[feature]]
-        out[where] = total / _length_factor(n + 1) if not isinstance(total, float) else 0.0
+        i, j, k, v = _triple_arrays(n + 1)
+        v = v / _length_factor(n + 1)
+        for part in (where[x : x + 1024] for x in range(0, len(where), 1024)):
+            c = _codes([words[x] for x in part])
+            out[part] = weights[(c[:, i] * LETTERS + c[:, j]) * LETTERS + c[:, k]] @ v
     return out
 
 
@@ -184,8 +181,8 @@ class Values:
     def __init__(self, weights: np.ndarray):
         self.weights, self._cache = weights, {}
 
-    def of(self, cut: list[list[list[str]]]) -> list[list[np.ndarray]]:
-        """For each text's sentences the values of their pieces."""
+    def of(self, cut: list[list[list[str]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the values of its pieces, and the sum of each run."""
         unknown = {p for text in cut for s in text for p in s} - self._cache.keys()
         if len(self._cache) + len(unknown) > _CACHE_PIECES:
             self._cache.clear()
@@ -194,9 +191,13 @@ class Values:
         flat = sorted({w for ws in parts.values() for w in ws})
         value = dict(zip(flat, _dot(flat, self.weights).tolist(), strict=True)) if flat else {}
         for p, ws in parts.items():
-            self._cache[p] = max((value[w] for w in ws), default=0.0)
-        get = self._cache
-        return [[np.array([get[p] for p in s]) for s in text] for text in cut]
+            self._cache[p] = max([value[w] for w in ws], default=0.0)
+        get, out = self._cache, []
+        for text in cut:
+            every = np.array([get[p] for run in text for p in run])
+            starts = np.cumsum([0, *map(len, text)])[:-1]
+            out.append((every, np.add.reduceat(every, starts) if len(every) else every))
+        return out
 
 
 @dataclass
@@ -225,22 +226,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def described(values: list[list[np.ndarray]], bias: float) -> np.ndarray:
-    """The link's features of texts, from their pieces' values."""
-    rows = []
-    for text in values:
-        if not text:
-            rows.append((0.0,) * FEATURES)
-            continue
-        sums = np.sort(np.array([v.sum() for v in text]) + bias)[::-1]
-        every = np.concatenate(text)
-        n, most = len(every), np.sort(every)[::-1][:3]
-        high = int((sums > 0).sum())
-        rows.append((
-            np.clip(sums[0] - bias, -1, 4), np.clip(sums[1] - bias, -1, 4) if len(sums) > 1 else 0.0, np.log1p(high), np.sqrt(high / (len(sums) + 2)),
-            np.clip(most[0], -1, 4), np.clip(most[1], -1, 4) if n > 1 else 0.0, np.clip(most[2], -1, 4) if n > 2 else 0.0, np.log1p((every > 0.5).sum()),
-        ))
-    return np.array(rows, np.float64).reshape(-1, FEATURES)
+def _largest(x: np.ndarray, n: int) -> np.ndarray:
+    return -np.sort(np.partition(-x, n - 1)[:n] if len(x) > n else -x)
+
+
+def described(values: list[tuple[np.ndarray, np.ndarray]], bias: float) -> np.ndarray:
+    """The link's features of texts, from the values of their pieces and runs."""
+    rows = np.zeros((len(values), FEATURES))
+    for row, (every, runs) in zip(rows, values, strict=True):
+        if len(every):
+            sums, most = _largest(runs, 2), _largest(every, 3)
+            high = int((runs + bias > 0).sum())
+            row[: len(sums)] = np.clip(sums, -1, 4)
+            row[2:4] = np.log1p(high), np.sqrt(high / (len(runs) + 2))
+            row[4 : 4 + len(most)] = np.clip(most, -1, 4)
+            row[7] = np.log1p((every > 0.5).sum())
+    return rows
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
@@ -309,6 +310,12 @@ def landmarks(labelled: DataFrame, toxic: int, clean: int, number: int = LANDMAR
     return (tied + [w for w in other if w not in tied])[:number]
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows``, as texts cut into pieces take several times their size."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def _flat(runs: list[list[str]]) -> list[str]:
     return [w for run in runs for p in run for w in letters(p)]
 
@@ -319,21 +326,23 @@ def _instances(labelled: DataFrame, marks: Landmarks, machines: list[tuple[np.nd
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [Values(w) for w, _ in machines or ()]
-        for b in batches:
-            halves, out = b.column(3).to_pylist(), ([], [])
-            for text, toxic, half in zip(b.column(0), b.column(1).to_pylist(), halves, strict=True):
-                cut = sentences(text.as_py())
-                if machines is None:
-                    pieces = {p for run in cut for p in run}
-                    x = (marks.embed(_flat(cut)) / max(1.0, float(np.sqrt(len(pieces))))).astype(np.float32).tobytes()
+        for b in _small(batches):
+            cut, labels, halves, out = [sentences(t.as_py()) for t in b.column(0)], b.column(1).to_pylist(), b.column(3).to_pylist(), ([], [])
+            if machines is None:
+                for text in cut:
+                    pieces = {p for run in text for p in run}
+                    x = (marks.embed(_flat(text)) / max(1.0, float(np.sqrt(len(pieces))))).astype(np.float32).tobytes()
                     out[0].append(x)
                     out[1].append(x)
-                    continue
-                for at, own in ((half, out[0]), (2, out[1])):
-                    sums = np.array([v.sum() for v in values[at].of([cut])[0]]) + machines[at][1]
-                    least = machines[at][1] / 2 if toxic else 0.0
-                    pick = np.flatnonzero(sums > least) if (sums > least).any() else [int(sums.argmax())] if cut else []
-                    own.append((marks.embed(_flat([cut[i] for i in pick])) / max(1.0, float(np.sqrt(len(pick))))).astype(np.float32).tobytes())
+            else:
+                # a machine's values of all texts of the batch at once
+                own = [dict(zip((i for i, h in enumerate(halves) if at in (h, 2)), values[at].of([t for t, h in zip(cut, halves, strict=True) if at in (h, 2)]), strict=True)) for at in range(3)]
+                for i, (text, toxic, half) in enumerate(zip(cut, labels, halves, strict=True)):
+                    for at, to in ((half, out[0]), (2, out[1])):
+                        sums = own[at][i][1] + machines[at][1]
+                        least = machines[at][1] / 2 if toxic else 0.0
+                        pick = np.flatnonzero(sums > least) if (sums > least).any() else [int(sums.argmax())] if len(sums) else []
+                        to.append((marks.embed(_flat([text[k] for k in pick])) / max(1.0, float(np.sqrt(len(pick))))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["toxic", "h", "half", "own", "all"])
 
     rows = labelled.select("text", "toxic", "h", "half").mapInArrow(made, "toxic int, h long, half int, own binary, all binary").collect()
@@ -382,13 +391,19 @@ def _fitted(plus: list[np.ndarray], minus: list[np.ndarray], docs: int, marks: L
 def _link(labelled: DataFrame, machines: list[tuple[np.ndarray, float]]) -> np.ndarray:
     """The logistic link, fitted on what each half's machine says of the other half."""
 
-    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [Values(machines[half][0]) for half in (0, 1)]
-        for b in batches:
-            rows = [described(values[1 - half].of([sentences(t.as_py())]), machines[1 - half][1])[0].tolist() for t, half in zip(b.column(0), b.column(3).to_pylist(), strict=True)]
+        for b in _small(batches):
+            halves = b.column(3).to_pylist()
+            rows: list[list[float]] = [[]] * len(halves)
+            for half in (0, 1):
+                where = [i for i, h in enumerate(halves) if h == half]
+                said = described(values[1 - half].of([sentences(b.column(0)[i].as_py()) for i in where]), machines[1 - half][1])
+                for i, x in zip(where, said.tolist(), strict=True):
+                    rows[i] = x
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "x"])
 
-    rows = sorted(labelled.select("text", "toxic", "h", "half").mapInArrow(said, "toxic int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))  # ``limit`` short rows
+    rows = sorted(labelled.select("text", "toxic", "h", "half").mapInArrow(judged, "toxic int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))  # ``limit`` short rows
     return _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
 
 
