@@ -331,7 +331,7 @@ UNION ALL SELECT 'audit', merge_id, '{{"id":' || loser || ',"key":"K' || loser |
 def merge_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the roots of every 17th business are merged in turn, so what is under them moves too
     f = firms(spark, sf_dir)
-    merges = f.where("id % 17 = 0").select(F.col("id").alias("merge_id"), (F.col("id") - 2).alias("winner"), (F.col("id") - 1).alias("loser"))
+    merges = f.where("id % 17 = 0 and id > 0").select(F.col("id").alias("merge_id"), (F.col("id") - 2).alias("winner"), (F.col("id") - 1).alias("loser"))
     moved, aliases, audit = screens.merge_effects(f, merges)
     text = lambda df, kind, of, value: df.select(F.lit(kind).alias("kind"), F.col(of).alias("of"), F.col(value).cast("string").alias("value"))
     return text(moved, "parent", "id", "merged_into").unionByName(text(aliases, "alias", "business_id", "alias")).unionByName(text(audit, "audit", "merge_id", "before"))
