@@ -186,6 +186,19 @@ def public_key(identity: Column, prefix: str = "SL-", size: int = 6) -> Column:
     return F.concat(F.lit(prefix), *[F.substring(F.lit(KEY_DIGITS), F.shiftright(h, 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(size)])
 
 
+# The shapes of ids from outside and of tile paths.
+SHAPES = {
+    "place": r"^[A-Za-z0-9_-]{10,255}$", "dataset": r"^[a-z0-9]{4}-[a-z0-9]{4}$",
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "path": r"^r[0-3]*$",
+}
+
+
+def has_shape(raw: Column, shape: str) -> Column:
+    """Whether a text has one of :data:`SHAPES`; null has none. A UUID isn't taken for a place's id."""
+    ok = F.coalesce(raw.rlike(SHAPES[shape]), F.lit(False))
+    return ok & ~F.coalesce(raw.rlike(SHAPES["uuid"]), F.lit(False)) if shape == "place" else ok
+
+
 def county_padded(code: Column) -> Column:
     """A county code of one to three digits with leading zeros; null for anything else."""
     return F.when(code.rlike("^[0-9]{1,3}$"), F.lpad(code, 3, "0"))

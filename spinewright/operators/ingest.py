@@ -54,6 +54,30 @@ def stratified_sample(rows: DataFrame, group: Column, id_col: str, each: int) ->
     return rows.withColumns({"group": group, "digest": F.md5(F.col(id_col).cast("string").cast("binary"))}).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
 
 
+def ruled_sample(rows: DataFrame, rules: list[tuple[str, Column, int]], id_col: str) -> DataFrame:
+    """A sample by rules ``(group, predicate, n)``: of each group's rows the first 3 n + 10 in the order of the id's MD5, rows
+    that an earlier group has taken left out. The rows taken so far are at most the sum of those numbers."""
+    digest, out, taken = F.md5(F.col(id_col).cast("string").cast("binary")), None, None
+    for group, predicate, n in rules:
+        free = rows.where(predicate)
+        if taken is not None:
+            free = free.join(F.broadcast(taken), id_col, "left_anti")
+        own = free.withColumns({"group": F.lit(group), "digest": digest}).orderBy("digest", id_col).limit(3 * n + 10)
+        out = own if out is None else out.unionByName(own)
+        taken = own.select(id_col) if taken is None else taken.unionByName(own.select(id_col))
+    return out
+
+
+def mapped(rows: DataFrame, raw: str, table: DataFrame, variant: str, value: str, rank: str) -> DataFrame:
+    """Adds ``value``: what a lookup table says of a folded key, the variant of the smallest rank first; the folded key itself if
+    it isn't in the table."""
+    from spinewright.functions.keys import folded
+
+    first = table.groupBy(folded(F.col(variant)).alias("key")).agg(F.min_by(value, F.struct(rank, value)).alias("found"))
+    j = rows.withColumn("key", folded(F.col(raw))).join(first, "key", "left")
+    return j.withColumn(value, F.coalesce("found", "key")).drop("key", "found")
+
+
 def skip_reason(name: Column, country: Column, region: Column, well_formed: Column) -> Column:
     """Why a place isn't admitted, first reason first: malformed, not_texas, no_name; null if it is. A null region isn't Texas."""
     texas = F.coalesce((country == "US") & (region == "TX"), F.lit(False))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinewright.functions import keys
-from spinewright.operators.resolve import NAME_SIMILARITY
+from spinewright.operators.resolve import NAME_SIMILARITY, live, score, sides
+from spinewright.operators.sweep import decided, service_area_score
 
 # Half the box of the proximity arm in degrees, and the most candidates of an arm.
 BOX_LAT, BOX_LNG = 0.00135, 0.0015
@@ -42,9 +43,11 @@ def probe_candidates(probes: DataFrame, businesses: DataFrame, city: str | None
     ``probes``: ``idx, name_norm, phone, postal, street_num, lat, lng, sab``; ``businesses``: ``id, name_norm, phone, blockable, postal,
     street_num, lat, lng, city``. Arms: phone; address and place for probes with a storefront; similar names of the
     postal area, or of ``city`` for service-area probes (``sab``). An arm gives ``OTHERS`` by id, the names ``NEAREST`` by
-    similarity. Keys that many businesses share are cut to what an arm can give before the join, so none is hot.
+    similarity. Keys that many businesses share are cut to what an arm can give before the join. Merged-away businesses
+    are no candidates; a tenant's probes and businesses are passed without those of others. Cells of the proximity arm are as
+    small as its box, so a cell holds what stands within some 150 m.
     """
-    c, p, b = F.col, probes.alias("p"), businesses
+    c, p, b = F.col, probes.alias("p"), live(businesses)
     front = probes.where(~c("sab"))
     by_phone = _first(b.where(c("blockable") & c("phone").isNotNull()).select("phone", "id"), ["phone"], ["id"], OTHERS)
     by_address = _first(b.where("postal is not null and street_num is not null").select("postal", "street_num", "id"), ["postal", "street_num"], ["id"], OTHERS)
@@ -72,6 +75,22 @@ def probe_candidates(probes: DataFrame, businesses: DataFrame, city: str | None
     return sides.select("idx", "id", F.round(F.coalesce(keys.gram_similarity(c("pg"), c("bg")), F.lit(0.0)), 6).alias("name_similarity"))
 
 
+def matched(probes: DataFrame, businesses: DataFrame, city: str | None = None, attach: int = 90, tentative: int = 80, same_row: bool = False) -> DataFrame:
+    """``probe, best, score, tied, outcome`` of every probe with a candidate: found by the arms, scored, decided.
+
+    Both tables have the columns of a business; probes also ``idx`` and ``sab``. A listing with a storefront is scored like a pair of
+    businesses; a service-area one by phone, city and name, else by the same score, up to 94. ``same_row`` leaves out a
+    probe's own row where both tables are one."""
+    found = probe_candidates(probes, businesses, city).select(F.col("idx").alias("left_id"), F.col("id").alias("right_id"))
+    if same_row:
+        found = found.where("left_id <> right_id")
+    cities = businesses.select(F.col("id").alias("right_id"), F.lower("city").alias("right_city"))
+    scored = score(sides(found, probes.withColumn("id", F.col("idx")), businesses)).join(cities, "right_id").join(probes.select(F.col("idx").alias("left_id"), "sab"), "left_id")
+    same_phone, same_city = F.coalesce(F.col("l_phone") == F.col("r_phone"), F.lit(False)), F.col("right_city") == F.lit(city)
+    final = F.when(F.col("sab"), service_area_score(F.col("score"), same_phone, same_city, F.col("name_similarity"))).otherwise(F.col("score")).cast("long")
+    return decided(scored.select(F.col("left_id").alias("probe"), F.col("right_id").alias("other"), final.alias("score")), "probe", "score", "other", attach, tentative)
+
+
 def tile_changes(stored: DataFrame, seen: DataFrame, listings: DataFrame) -> DataFrame:
     """``tile, verdict, added, gone`` of every listing (``tile, results, pages, checked``) against the ``stored`` members (``tile, member``).
 

@@ -105,9 +105,9 @@ def candidates(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     return first.select("left_id", "right_id", F.element_at(F.array(F.lit("phone"), F.lit("address"), F.lit("trigram")), F.col("rank")).alias("block"))
 
 
-def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each pair with both businesses, as ``l_*`` and ``r_*``, and their names' trigrams."""
-    side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in BUSINESS], keys.trigrams(F.col("name_norm")).alias(f"{p}_grams"))
+def sides(pairs: DataFrame, rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Each pair with both businesses, as ``l_*`` and ``r_*``, and their names' trigrams; the right ones from ``others`` if given."""
+    side = lambda p: (rows if p == "l" or others is None else others).select(*[F.col(c).alias(f"{p}_{c}") for c in BUSINESS], keys.trigrams(F.col("name_norm")).alias(f"{p}_grams"))
     return pairs.join(side("l"), F.col("left_id") == F.col("l_id")).join(side("r"), F.col("right_id") == F.col("r_id"))
 
 

@@ -144,3 +144,8 @@ def root_tiles(cells: DataFrame, types: DataFrame) -> DataFrame:
     """A root tile for each cell (``cluster, unit_kind, unit``) and search type of its cluster (``cluster, type``), each key once."""
     key = F.concat(F.col("unit_kind"), F.lit(":"), F.replace("unit", F.lit("\0"), F.lit("/")), F.lit("|"), F.col("type"), F.lit("|r"))
     return cells.join(types, "cluster").withColumn("tile_key", key).dropDuplicates(["tile_key", "cluster"])
+
+
+def cells_of_week(cells: DataFrame, key: str, week: int, partitions: int = 4) -> DataFrame:
+    """The cells whose turn it is: a cell's part follows from a hash of its key, and the parts take turns by week."""
+    return cells.where(F.pmod(keys.fnv1a32(F.col(key)), F.lit(partitions)) == week % partitions)

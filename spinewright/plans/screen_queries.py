@@ -292,7 +292,7 @@ def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT o_orderkey AS run_id, o_custkey AS org, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F')
 SELECT o_orderkey AS run_id, CASE WHEN r.run_id IS NULL THEN 'complete' WHEN n = 1 THEN 'admitted' ELSE 'refused' END AS state, CASE WHEN n = 1 THEN 2 * floor(o_totalprice * 100 + 0.5)::BIGINT END AS ceiling FROM orders LEFT JOIN r ON r.run_id = o_orderkey""")
-def run_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("org"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("queued").alias("status"), F.col("o_orderdate").alias("queued_at"), F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("heartbeat"))
     estimates = o.select(F.col("o_orderkey").alias("run_id"), F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("micros"))

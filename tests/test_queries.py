@@ -2,11 +2,11 @@
 
 import pytest
 
-from spinewright.plans import listing_queries, model_queries, resolve_queries, screen_queries, spine_queries, stream_queries
+from spinewright.plans import listing_queries, model_queries, resolve_queries, screen_queries, source_queries, spine_queries, stream_queries
 from tests.compare import SF, same_rows
 
-QUERIES = resolve_queries.QUERIES | model_queries.QUERIES | spine_queries.QUERIES | listing_queries.QUERIES | stream_queries.QUERIES | screen_queries.QUERIES
-ORACLES = resolve_queries.ORACLES | model_queries.ORACLES | spine_queries.ORACLES | listing_queries.ORACLES | stream_queries.ORACLES | screen_queries.ORACLES
+QUERIES = resolve_queries.QUERIES | model_queries.QUERIES | spine_queries.QUERIES | listing_queries.QUERIES | stream_queries.QUERIES | screen_queries.QUERIES | source_queries.QUERIES
+ORACLES = resolve_queries.ORACLES | model_queries.ORACLES | spine_queries.ORACLES | listing_queries.ORACLES | stream_queries.ORACLES | screen_queries.ORACLES | source_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
