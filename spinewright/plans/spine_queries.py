@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spinewright.core import materialize, read
 from spinewright.operators import geometry, ingest, merge, meter, resolve, sweep
-from spinewright.plans.resolve_queries import _BIZ, businesses, pair_score
+from spinewright.plans.resolve_queries import _BIZ, _BLOCKS, _SCORES, businesses, pair_score
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,12 +44,24 @@ def _ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return pairs, flagged, pairs.where("(left_id + right_id) % 7 = 0").select("left_id", "right_id")
 
 
-@query()  # one candidate after the other: tests hold it against a plain loop
+#: One candidate after the other: the state is the list of the clusters' least members, by the nodes' order.
+_QUEUE = f"""WITH RECURSIVE {_BIZ}{_BLOCKS}{_SCORES},
+q AS MATERIALIZED (SELECT left_id, right_id, score, left_id % 19 = 0 OR right_id % 19 = 0 AS chain FROM scored WHERE score >= 80),
+nodes AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT left_id AS id FROM q WHERE NOT chain UNION SELECT right_id FROM q WHERE NOT chain)),
+e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, left_id, right_id) AS k, left_id, right_id, a.i AS l, b.i AS r FROM q JOIN nodes a ON a.id = left_id JOIN nodes b ON b.id = right_id WHERE NOT chain),
+apart AS MATERIALIZED (SELECT coalesce(list({{'x': a.i, 'y': b.i}}), []) AS p FROM scored s JOIN nodes a ON a.id = s.left_id JOIN nodes b ON b.id = s.right_id WHERE (s.left_id + s.right_id) % 7 = 0),
+w AS (SELECT 0::BIGINT AS k, (SELECT coalesce(list(i ORDER BY i), []) FROM nodes) AS st, '' AS outcome
+  UNION ALL SELECT k, CASE WHEN a <> b AND NOT barred THEN list_transform(st, lambda x: CASE WHEN x = greatest(a, b) THEN least(a, b) ELSE x END) ELSE st END, CASE WHEN a = b THEN 'already_one' WHEN barred THEN 'skipped_distinct' ELSE 'merged' END
+  FROM (SELECT *, len(list_filter(p, lambda z: least(st[z.x], st[z.y]) = least(a, b) AND greatest(st[z.x], st[z.y]) = greatest(a, b))) > 0 AS barred FROM (SELECT e.k, w.st, w.st[e.l] AS a, w.st[e.r] AS b, apart.p FROM w JOIN e ON e.k = w.k + 1 CROSS JOIN apart)))"""
+
+
+@query(f"""{_QUEUE} SELECT left_id, right_id, CASE WHEN chain THEN 'skipped_chain' ELSE outcome END AS outcome FROM q LEFT JOIN (SELECT left_id, right_id, outcome FROM w JOIN e USING (k)) USING (left_id, right_id)""")
 def auto_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.auto_merged(*_ruled(spark, sf_dir), resolve.REVIEW)[0]
 
 
-@query()
+@query(f"""{_QUEUE}, r AS (SELECT id, (SELECT st FROM w ORDER BY k DESC LIMIT 1)[i] AS root FROM nodes), b AS (SELECT root, arg_min(id, (p_retailprice, id)) AS winner FROM r JOIN part ON p_partkey = id GROUP BY 1)
+SELECT id, winner FROM r JOIN b USING (root)""")
 def auto_merge_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = merge.auto_merged(*_ruled(spark, sf_dir), resolve.REVIEW)[1]
     return merge.winners(roots, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("created_at")))
