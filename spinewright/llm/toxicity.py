@@ -59,17 +59,27 @@ _CACHE_PIECES = 400_000
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")
 _OTHER = re.compile(r"[\W\d_]+")
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
+_ENDS = (".", "!", "?")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The pieces of each sentence, in runs of at most ``RUN``."""
-    out = []
-    for sentence in _END.split(text.lower()) if text else ():
-        words = sentence.split()
-        if _SPACED.search(sentence):
-            words += [_OTHER.sub("", m) for m in _SPACED.findall(sentence)]
-        out += [words[i : i + RUN] for i in range(0, len(words), RUN)]
+    """The pieces of each sentence, in runs of at most ``RUN``. A sentence ends with its line, or with a piece that ends in a full stop."""
+    out: list[list[str]] = []
+    if not text:
+        return out
+    low = text.lower()
+    spaced = _SPACED.search(low) is not None
+    for line in low.split("\n"):
+        run: list[str] = []
+        for word in line.split():
+            run.append(word)
+            if len(run) == RUN or word.endswith(_ENDS):
+                out.append(run)
+                run = []
+        if run:
+            out.append(run)
+        if spaced:
+            out += [[_OTHER.sub("", m)] for m in _SPACED.findall(line)]
     return out
 
 
@@ -85,7 +95,7 @@ def letters(piece: str) -> list[str]:
 
 def _codes(words: list[str]) -> np.ndarray:
     """Equally long words as rows of letter numbers, with the start mark 0 in front."""
-    c = np.array([[ord(x) for x in w] for w in words], np.int64)
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(words), -1)
     c = np.where((c >= 97) & (c <= 122), c - 96, 27 + c % (LETTERS - 27))
     return np.concatenate([np.zeros((len(words), 1), np.int64), c], axis=1)
 
