@@ -35,7 +35,7 @@ def _accents() -> tuple[str, str]:
     """Every letter with marks up to the Greek extensions and its bare letter, from Unicode's own decompositions."""
     import unicodedata
 
-    marked = [chr(c) for c in range(0xC0, 0x2000) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.category(chr(c))[0] == "L"]
+    marked = [chr(c) for c in range(0xC0, 0x2000) if unicodedata.normalize("NFD", chr(c)) != chr(c) and unicodedata.category(chr(c))[0] == "L"]
     bare = [unicodedata.normalize("NFD", c)[0] for c in marked]
     return "".join([*marked, *STROKES]), "".join([*bare, *STROKES.values()])
 
@@ -53,7 +53,7 @@ def plain(text: str) -> str:
 
     for letter, bare in (LIGATURES | STROKES).items():
         text = text.replace(letter, bare)
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
 
 
 def _legal_run(before: str) -> str:
