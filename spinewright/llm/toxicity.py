@@ -151,7 +151,7 @@ class Landmarks:
         used, phi = _features(words)
         value, vector = np.linalg.eigh(phi.T @ phi)
         keep = value > 1e-6 * value.max()
-        return cls(used, phi @ (vector[:, keep] / np.sqrt(value[keep])))
+        return cls(used, (phi @ (vector[:, keep] / np.sqrt(value[keep]))).astype(np.float32))
 
     def __post_init__(self) -> None:
         self._place = np.full(LETTERS**3, len(self.used), np.int32)
@@ -255,14 +255,22 @@ def described(values: list[tuple[np.ndarray, np.ndarray]], bias: float) -> np.nd
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
-    """Squared-hinge linear machine by Newton steps; the last column of ``x`` is the constant."""
-    w = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(len(w))
+    """Squared-hinge linear machine by Newton steps, its constant last. Rows are summed up in blocks, so that no second
+    matrix of their size is held."""
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    ridge = penalty * np.eye(n)
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        xs, ys, cs = x[inside], y[inside], weight[inside]
-        new = np.linalg.solve(ridge + (xs.T * cs) @ xs, (xs.T * cs) @ ys)
+        left, right = ridge.copy(), np.zeros(n)
+        for at in range(0, len(x), 2048):
+            block = np.concatenate([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))], axis=1, dtype=np.float64)
+            of, c = y[at : at + 2048], weight[at : at + 2048]
+            inside = of * (block @ w) < 1
+            block, c = block[inside], c[inside]
+            left += (block.T * c) @ block
+            right += (block.T * c) @ of[inside]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -330,9 +338,9 @@ def _flat(runs: list[list[str]]) -> list[str]:
     return [w for run in runs for p in run for w in letters(p)]
 
 
-def _instances(labelled: DataFrame, marks: Landmarks, machines: list[tuple[np.ndarray, float]] | None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(toxic, half, x for its half's machine, x for the machine of all) of each document: the map of all its runs, or of
-    those that the machine calls toxic. The driver receives two short vectors a document of the sample."""
+def _instances(labelled: DataFrame, marks: Landmarks, machines: list[tuple[np.ndarray, float]] | None) -> tuple[np.ndarray, ...]:
+    """Labels, halves, and the rows of either machine (its half's, and that of all) of each document: the map of all its
+    runs, or of those that the machine calls toxic. The driver receives two short vectors a document of the sample."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [Values(w) for w, _ in machines or ()]
@@ -355,9 +363,10 @@ def _instances(labelled: DataFrame, marks: Landmarks, machines: list[tuple[np.nd
                         to.append((marks.embed(_flat([text[k] for k in pick])) / max(1.0, float(np.sqrt(len(pick))))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["toxic", "h", "half", "own", "all"])
 
-    rows = labelled.select("text", "toxic", "h", "half").mapInArrow(made, "toxic int, h long, half int, own binary, all binary").collect()
-    # sorted, so that sums are repeatable
-    return [(r["toxic"], r["half"], np.frombuffer(r["own"], np.float32), np.frombuffer(r["all"], np.float32)) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["all"])))]
+    found = labelled.select("text", "toxic", "h", "half").mapInArrow(made, "toxic int, h long, half int, own binary, all binary").toArrow()
+    matrix = lambda name: np.frombuffer(b"".join(found[name].to_pylist()), np.float32).reshape(found.num_rows, -1)
+    order = np.lexsort((found["toxic"].to_numpy(), found["h"].to_numpy()))  # so that sums are repeatable
+    return found["toxic"].to_numpy()[order], found["half"].to_numpy()[order], matrix("own")[order], matrix("all")[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
@@ -372,29 +381,26 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model
     machines: list[tuple[np.ndarray, float]] | None = None
     clean_seen: list[list[np.ndarray]] = [[], [], []]
     for _ in range(ROUNDS + 1):
-        rows = _instances(labelled, marks, machines)
+        label, half, own, every = _instances(labelled, marks, machines)
         fitted = []
         for at in range(3):
-            own = [(r[0], r[3 if at == 2 else 2]) for r in rows if at == 2 or r[1] == at]
-            plus, minus = ([x for t, x in own if t == label] for label in (1, 0))
-            if machines is None:
-                fitted.append(_fitted(plus, minus, len(own), marks))
-            else:
-                clean_seen[at] += minus
-                fitted.append(_fitted(plus, clean_seen[at], len(own), marks))
+            x, y = (every, label) if at == 2 else (own[half == at], label[half == at])
+            clean_seen[at].append(x[y == 0])
+            fitted.append(_fitted(x[y == 1], clean_seen[at], len(y), marks))
+        if machines is None:
+            clean_seen = [[], [], []]  # whole documents serve the first machine only
         machines = fitted
-    link = _link(labelled, machines)
-    return Model(*machines[2], link)
+    return Model(*machines[2], _link(labelled, machines))
 
 
-def _fitted(plus: list[np.ndarray], minus: list[np.ndarray], docs: int, marks: Landmarks) -> tuple[np.ndarray, float]:
+def _fitted(plus: np.ndarray, minus: list[np.ndarray], docs: int, marks: Landmarks) -> tuple[np.ndarray, float]:
     """A machine folded into weights of letter triples, and its constant; both labels weigh the same."""
-    if not plus or not minus:
+    clean = sum(map(len, minus))
+    if not len(plus) or not clean:
         return np.zeros(LETTERS**3, np.float32), -1.0
-    y = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
-    weight = np.concatenate([np.full(len(plus), len(y) / 2 / len(plus)), np.full(len(minus), len(y) / 2 / len(minus))])
-    ridge = PENALTY * float(np.sqrt(docs))
-    w = _machine(np.concatenate([np.array(plus + minus, np.float64), np.ones((len(y), 1))], axis=1), y, weight, ridge)
+    y = np.concatenate([np.ones(len(plus)), -np.ones(clean)])
+    weight = np.concatenate([np.full(len(plus), len(y) / 2 / len(plus)), np.full(clean, len(y) / 2 / clean)])
+    w = _machine(np.concatenate([plus, *minus]), y, weight, PENALTY * float(np.sqrt(docs)))
     return marks.fold(w[:-1]), float(w[-1])
 
 
