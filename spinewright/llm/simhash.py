@@ -34,7 +34,7 @@ MAX_BITS = 2
 #: Distinct fingerprints in a bucket up to which pairs are formed and verified directly.
 BUCKET_PAIRS = 16
 #: Fingerprints a task spreads into their 64 variants.
-FINGERPRINTS_A_TASK = 20_000
+FINGERPRINTS_A_TASK = 4_000
 _CHUNK = 1 << 16
 
 

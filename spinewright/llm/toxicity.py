@@ -46,7 +46,7 @@ from spinewright.llm.rows import packed
 SAMPLE_DOCS = 10_000
 DECAY, MAX_SPAN, LETTERS = 0.7, 6, 64
 #: Landmarks, rounds of picking sentences, and the machine's ridge for one document, which grows with the root of their number.
-LANDMARKS, ROUNDS, PENALTY = 256, 3, 0.06
+LANDMARKS, ROUNDS, PENALTY = 256, 3, 0.03
 #: Letters of a window and between two of them; pieces of a sentence that are judged together.
 WINDOW, STEP, RUN = 24, 12, 4
 #: Documents of the sample a landmark must occur in.
@@ -55,7 +55,8 @@ LEAST_DOCS = 3
 SAMPLE_TASKS = 32
 #: The number of the link's features.
 FEATURES = 8
-_CACHE_PIECES = 400_000
+#: Pieces whose values a task remembers; some megabytes.
+_CACHE_PIECES = 60_000
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")
 _OTHER = re.compile(r"[\W\d_]+")
