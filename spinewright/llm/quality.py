@@ -144,4 +144,4 @@ def quality(docs: DataFrame) -> DataFrame:
     ).mapInArrow(_judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, common_distance double")
     chance = 0.6 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     diverges = F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False)) | F.coalesce(F.col("common_distance") > COMMON_LIMIT + chance, F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~diverges).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"), (~F.col("base_failed") & ~diverges).alias("kept"))

@@ -99,4 +99,27 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN kept IS
        CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to FROM f
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIX_SQL, "op9_winnowing": _WINDOW_SQL, "op10_warc_store": _WARC_SQL}
+_COMMON = sorted({w for words in quality.COMMON.values() for w in words.split()})
+_COMMON_ROWS = ", ".join(f"('{w}', {i})" for i, w in enumerate(_COMMON, 1))
+_QUALITY_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce('l' || lang, 'none') AS key, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM (SELECT k, unnest(generate_series(1, len(w) - 2)) AS i, unnest(list_transform(generate_series(1, len(w) - 2), lambda y: w[y] || ' ' || w[y + 1] || ' ' || w[y + 2])) AS g FROM d)),
+r AS (SELECT k, count(DISTINCT x) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS x FROM g WHERE n > 1) GROUP BY 1),
+b AS MATERIALIZED (SELECT d.k, doc_id, key, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (k)),
+f AS MATERIALIZED (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM b),
+c0 AS (SELECT k, greatest(1, length(t)) AS n, [length(regexp_replace(t, '[^a-z]', '', 'g')), length(regexp_replace(t, '[^A-Z]', '', 'g')), length(regexp_replace(t, '[^0-9]', '', 'g')), length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')),
+  length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')), length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))] AS c, length(t) AS whole FROM d),
+shares AS MATERIALIZED (
+  SELECT 'class' AS kind, k, i, list_append(c, whole - list_sum(c)::BIGINT)[i]::DOUBLE / n AS p FROM c0, generate_series(1, 7) AS s(i)
+  UNION ALL SELECT 'common', f.k, i, coalesce(m.n, 0)::DOUBLE / greatest(1, n_words) FROM f CROSS JOIN generate_series(0, {len(_COMMON)}) AS s(i)
+  LEFT JOIN (SELECT k, coalesce(v.i, 0) AS i, sum(n) AS n FROM (SELECT k, lower(trim(x, '.,;:!?"''()[]')) AS x, count(*) AS n FROM (SELECT k, unnest(w) AS x FROM d) GROUP BY 1, 2) LEFT JOIN (VALUES {_COMMON_ROWS}) AS v(word, i) ON word = x GROUP BY 1, 2) m USING (k, i)),
+j AS (SELECT kind, k, i, p, key, n_words >= CASE kind WHEN 'class' THEN {quality.MIN_CLASS_WORDS} ELSE {quality.MIN_COMMON_WORDS} END AS enough, base_failed FROM shares JOIN f USING (k)),
+q AS (SELECT kind, key, i, avg(p) AS q FROM j WHERE enough AND NOT base_failed GROUP BY 1, 2, 3 HAVING count(*) >= {quality.MIN_REFERENCE_TEXTS}),
+x AS MATERIALIZED (SELECT kind, k, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM j JOIN q USING (kind, key, i) WHERE enough GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(a.x, 6) AS class_distance, round(o.x, 6) AS common_distance,
+  NOT base_failed AND NOT coalesce(a.x > {quality.CLASS_LIMIT}::DOUBLE, false) AND NOT coalesce(o.x > {quality.COMMON_LIMIT}::DOUBLE + 0.6::DOUBLE / sqrt(greatest(1, n_words)), false) AS kept
+FROM f LEFT JOIN x a ON a.k = f.k AND a.kind = 'class' LEFT JOIN x o ON o.k = f.k AND o.kind = 'common'
+"""
+
+ORACLES: dict[str, str] = {"op2_divergence": _QUALITY_SQL, "op1_mixing": _MIX_SQL, "op9_winnowing": _WINDOW_SQL, "op10_warc_store": _WARC_SQL}

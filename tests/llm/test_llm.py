@@ -410,7 +410,7 @@ def test_quality_distances_equal_a_plain_computation(spark):
             for i, t, x in rows:
                 if x == lang:
                     want = distance(shares(t)[at], mean) if got[i]["n_words"] >= least and len(own) >= quality.MIN_REFERENCE_TEXTS else None
-                    assert got[i][column] is None if want is None else abs(got[i][column] - want) < 1e-9
+                    assert got[i][column] is None if want is None else abs(got[i][column] - want) < 1e-6
 
 
 def test_quality_divergence(spark):
@@ -820,7 +820,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert {x["shard"] for x in got} <= set(range(16)) and sum(map(len, by_text.values())) <= 1.1 * len(by_text)
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op9_winnowing", "op10_warc_store"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_divergence", "op9_winnowing", "op10_warc_store"])
 def test_queries_match_sql(spark, name):
     from spinewright.llm import queries
     from tests.compare import same_rows
