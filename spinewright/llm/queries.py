@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.core import read, shared_root
-from spinewright.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, token_counts, toxicity, warc
+from spinewright.llm import alignment, decontaminate, fim, html_text, imatch, mixing, pii, quality, sharding, simhash, token_counts, toxicity, warc
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,26 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.against_edits(read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_divergence, op3_string_kernel, op4_kd_sharding, op5_edit_counts, op6_weak_supervision, op7_simhash_variants, op8_consensus_paths, op9_winnowing, op10_warc_store)
-}
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_divergence, op3_string_kernel, op4_kd_sharding, op5_edit_counts, op6_weak_supervision,
+        op7_simhash_variants, op8_consensus_paths, op9_winnowing, op10_warc_store, op11_imatch, op12_alignment,
+        op13_fill_in_middle,
+    )
+}
 _MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
@@ -122,4 +139,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN x a ON a.k = f.k AND a.kind = 'class' LEFT JOIN x o ON o.k = f.k AND o.kind = 'common'
 """
 
-ORACLES: dict[str, str] = {"op2_divergence": _QUALITY_SQL, "op1_mixing": _MIX_SQL, "op9_winnowing": _WINDOW_SQL, "op10_warc_store": _WARC_SQL}
+_FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                  sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents),
+h AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM d),
+k AS (SELECT doc_id, t, u, h, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM h),
+c AS (SELECT doc_id, t, len(u)::BIGINT AS n, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_divergence": _QUALITY_SQL, "op1_mixing": _MIX_SQL, "op9_winnowing": _WINDOW_SQL, "op10_warc_store": _WARC_SQL,
+    "op13_fill_in_middle": _FIM_SQL,
+}
