@@ -1,15 +1,10 @@
-"""Merging: the automatic queue, reversible merges, survivorship by source, closures, and upserts that keep decisions."""
+"""Merging: reversible merges, survivorship by source, closures, and upserts that keep decisions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spinewright.core import materialize
-from spinewright.operators.graph import connected_components
-
 # The durable sources.
 PERMIT, CLOSURE, PLACES, GEOCODER = "tx_comptroller", "tx_comptroller_closures", "overture", "census_geocoder"
 DURABLE = (PERMIT, CLOSURE, PLACES, GEOCODER)
@@ -28,52 +23,6 @@ def flagged_chains(rows: DataFrame, statewide: DataFrame, least: int = 3) -> Dat
     return j.select("id", F.col("new_key").alias("chain_key"), change.alias("change"))
 
 
-def auto_merged(pairs: DataFrame, chained: DataFrame, apart: DataFrame, least: int = 95) -> tuple[DataFrame, DataFrame]:
-    """The automatic queue, as if run one candidate after the other by falling score and ids.
-
-    ``pairs``: ``left_id, right_id, score``; ``chained``: ``id``; ``apart``: ``left_id, right_id`` ruled distinct. Gives
-    ``left_id, right_id, outcome`` (merged, already_one, skipped_chain, skipped_distinct) and ``id, root`` of what was merged,
-    the root being the smallest id.
-
-    A candidate that comes first for both of its clusters can be decided at once, as none before it touches either;
-    all such candidates are decided in one round. In components without a distinct pair, coming first for one
-    cluster is enough, so these need a logarithm of rounds. The state is a table in the shared folder.
-    """
-    flag = chained.select("id").distinct().withColumn("flag", F.lit(True))
-    side = lambda df, c, name: df.join(flag.select(F.col("id").alias(c), F.col("flag").alias(name)), c, "left")
-    queue = side(side(pairs.where(F.col("score") >= least).select("left_id", "right_id", "score"), "left_id", "lf"), "right_id", "rf")
-    queue = materialize(queue.select("left_id", "right_id", F.struct((-F.col("score")).alias("s"), "left_id", "right_id").alias("turn"), (F.col("lf").isNotNull() | F.col("rf").isNotNull()).alias("chain")))
-    edges = queue.where("not chain").select("left_id", "right_id", "turn")
-    whole = materialize(connected_components(edges, "left_id", "right_id"))
-    of = lambda roots, c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
-    ruled = materialize(apart.select("left_id", "right_id").distinct().join(of(whole, "left_id", "a"), "left_id").join(of(whole, "right_id", "b"), "right_id").where("a = b"))
-    held = ruled.select(F.col("a").alias("whole")).distinct().withColumn("held", F.lit(True))
-    pending = materialize(edges.join(of(whole, "left_id", "whole"), "left_id").join(held, "whole", "left").select("left_id", "right_id", "turn", F.coalesce("held", F.lit(False)).alias("held")))
-    roots = materialize(whole.select("node", F.col("node").alias("root")))
-    decided: list[DataFrame] = []
-    while True:
-        here = materialize(pending.join(of(roots, "left_id", "a"), "left_id").join(of(roots, "right_id", "b"), "right_id").where("a <> b"))
-        if here.isEmpty():
-            break
-        ends = here.select(F.col("a").alias("x"), "turn").unionByName(here.select(F.col("b").alias("x"), "turn"))
-        first = ends.groupBy("x").agg(F.min("turn").alias("first"))
-        turn = lambda c, name: first.select(F.col("x").alias(c), F.col("first").alias(name))  # noqa: E731, B023
-        picked = here.join(turn("a", "fa"), "a").join(turn("b", "fb"), "b").withColumns({"fa": F.col("turn") == F.col("fa"), "fb": F.col("turn") == F.col("fb")})
-        picked = picked.where((F.col("fa") & F.col("fb")) | (~F.col("held") & (F.col("fa") | F.col("fb"))))
-        barred = ruled.select("left_id", "right_id").join(of(roots, "left_id", "p"), "left_id").join(of(roots, "right_id", "q"), "right_id").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().withColumn("barred", F.lit(True))
-        judged = materialize(
-            picked.join(barred, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left")
-            .select("left_id", "right_id", "a", "b", F.when(F.col("barred"), "skipped_distinct").otherwise("merged").alias("outcome"))
-        )
-        decided.append(judged.select("left_id", "right_id", "outcome"))
-        joined = connected_components(judged.where("outcome = 'merged'"), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-        roots = materialize(roots.join(joined, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")))
-        pending = materialize(here.join(judged.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti").select("left_id", "right_id", "turn", "held"))
-    settled = reduce(DataFrame.unionByName, decided) if decided else edges.select("left_id", "right_id", F.lit("merged").alias("outcome")).limit(0)
-    out = queue.join(settled, ["left_id", "right_id"], "left").select("left_id", "right_id", F.when(F.col("chain"), "skipped_chain").otherwise(F.coalesce("outcome", F.lit("already_one"))).alias("outcome"))
-    return out, roots.select(F.col("node").alias("id"), "root")
-
-
 def winners(roots: DataFrame, businesses: DataFrame) -> DataFrame:
     """``id, winner``: the cluster's oldest member by ``created_at``, then by id, into which the others merge."""
     best = roots.join(businesses.select("id", "created_at"), "id").groupBy("root").agg(F.min(F.struct("created_at", "id"))["id"].alias("winner"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spinewright.core import materialize
 from spinewright.functions import keys
 
 #: Columns of a business that may leave the house.
@@ -168,22 +167,6 @@ def merge_effects(businesses: DataFrame, merges: DataFrame) -> tuple[DataFrame,
     return moved, j.select(F.col("winner").alias("business_id"), F.col("key").alias("alias")), j.select("merge_id", "winner", "loser", "before")
 
 
-def subtree_restored(businesses: DataFrame, merges: DataFrame, undone: DataFrame) -> DataFrame:
-    """``id, merged_into`` after undoing merges (``merge_id``) that :func:`~spinewright.operators.merge.undoable` allows: the loser
-    is live again and all that had been merged into it before points at it once more.
-
-    ``merges``: ``merge_id, winner, loser`` of live merges. Each business's chain of merges is followed upwards by joins,
-    as many as the deepest chain has."""
-    kept = merges.join(undone.select("merge_id"), "merge_id", "left_anti").select(F.col("loser").alias("child"), F.col("winner").alias("parent"))
-    out = businesses.select("id", F.col("id").alias("root"))
-    while True:
-        step = out.join(kept, F.col("root") == F.col("child"), "left").select("id", F.coalesce("parent", "root").alias("root"), F.col("parent").isNotNull().alias("moved"))
-        step = materialize(step)
-        out = step.select("id", "root")
-        if step.where("moved").isEmpty():
-            return out.select("id", F.when(F.col("root") != F.col("id"), F.col("root")).alias("merged_into"))
-
-
 def run_cost_lines(cells: DataFrame, used: int, price: int = 35_000, free: int = 1_000, partitions: int = 4, week: int = 0) -> DataFrame:
     """``line, cells, requests_low, requests_high, micros_low, micros_high``: a full run, one of this week's partition and a change
     check, by one estimator. ``cells``: ``cell_key, types, known`` (tiles that a change check lists again)."""

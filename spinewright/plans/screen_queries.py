@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spinewright.core import read
 from spinewright.functions import keys
-from spinewright.operators import meter, report, resolve, screens, sweep
+from spinewright.operators import meter, queue, report, resolve, screens, sweep
 from spinewright.plans.resolve_queries import _BIZ, _BLOCKS, businesses
 
 QUERIES: dict = {}
@@ -341,7 +341,7 @@ def merge_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the merges of odd fives are undone: what was under them follows them
     m = _merges(spark, sf_dir)
-    return screens.subtree_restored(firms(spark, sf_dir), m, m.where("merge_id % 17 = 5 and merge_id % 2 = 1").select("merge_id"))
+    return queue.subtree_restored(firms(spark, sf_dir), m, m.where("merge_id % 17 = 5 and merge_id % 2 = 1").select("merge_id"))
 
 
 # scopes

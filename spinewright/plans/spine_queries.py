@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, read
-from spinewright.operators import geometry, ingest, merge, meter, resolve, sweep
+from spinewright.operators import geometry, ingest, merge, meter, queue, resolve, sweep
 from spinewright.plans.resolve_queries import _BIZ, _BLOCKS, _SCORES, businesses, pair_score
 
 QUERIES: dict = {}
@@ -57,13 +57,13 @@ w AS (SELECT 0::BIGINT AS k, (SELECT coalesce(list(i ORDER BY i), []) FROM nodes
 
 @query(f"""{_QUEUE} SELECT left_id, right_id, CASE WHEN chain THEN 'skipped_chain' ELSE outcome END AS outcome FROM q LEFT JOIN (SELECT left_id, right_id, outcome FROM w JOIN e USING (k)) USING (left_id, right_id)""")
 def auto_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.auto_merged(*_ruled(spark, sf_dir), resolve.REVIEW)[0]
+    return queue.auto_merged(*_ruled(spark, sf_dir), resolve.REVIEW)[0]
 
 
 @query(f"""{_QUEUE}, r AS (SELECT id, (SELECT st FROM w ORDER BY k DESC LIMIT 1)[i] AS root FROM nodes), b AS (SELECT root, arg_min(id, (p_retailprice, id)) AS winner FROM r JOIN part ON p_partkey = id GROUP BY 1)
 SELECT id, winner FROM r JOIN b USING (root)""")
 def auto_merge_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = merge.auto_merged(*_ruled(spark, sf_dir), resolve.REVIEW)[1]
+    roots = queue.auto_merged(*_ruled(spark, sf_dir), resolve.REVIEW)[1]
     return merge.winners(roots, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("created_at")))
 
 

@@ -103,15 +103,6 @@ def test_public_columns_only(spark):
     assert out.columns == ["id", "display_name"] and out.count() == 1
 
 
-def test_restoring_follows_chains_of_merges(spark):
-    b = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
-    m = spark.createDataFrame([(1, 4, 5), (2, 3, 4), (3, 2, 3), (4, 6, 7)], "merge_id long, winner long, loser long")
-    into = lambda undone: {x["id"]: x["merged_into"] for x in screens.subtree_restored(b, m, spark.createDataFrame([(u,) for u in undone], "merge_id long")).collect()}
-    assert into([]) == {1: None, 2: None, 3: 2, 4: 2, 5: 2, 6: None, 7: 6}
-    assert into([3]) == {1: None, 2: None, 3: None, 4: 3, 5: 3, 6: None, 7: 6}
-    assert into([2, 4]) == {1: None, 2: None, 3: 2, 4: None, 5: 4, 6: None, 7: None}
-
-
 def test_percent_and_version(spark):
     row = spark.createDataFrame([(0, 0, 0), (5, 0, -1), (199, 100, 1_700_000_000), (1, 3, None)], "used long, cap long, at long")
     got = report.source_version(row, "at").select(report.pct_used(F.col("used"), F.col("cap")), "source_version").collect()

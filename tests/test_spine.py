@@ -9,51 +9,6 @@ from spinewright.operators import geometry, ingest, merge, meter, sweep
 from tests.test_operators import one
 
 
-def _one_after_the_other(pairs, chained, apart, least):
-    """The automatic queue as a loop over its candidates."""
-    root, out = {}, {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for left, right, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if score < least:
-            continue
-        a, b = find(left), find(right)
-        if left in chained or right in chained:
-            out[left, right] = "skipped_chain"
-        elif a == b:
-            out[left, right] = "already_one"
-        elif any({find(x), find(y)} == {a, b} for x, y in apart):
-            out[left, right] = "skipped_distinct"
-        else:
-            out[left, right] = "merged"
-            root[max(a, b)] = min(a, b)
-    return out, find
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_auto_merge_is_the_queue(spark, seed):
-    r = random.Random(seed)
-    pairs = [(a, b, r.randint(90, 99)) for a, b in {tuple(sorted(r.sample(range(40), 2))) for _ in range(70)}]
-    pairs += [(100, 101, 99), (101, 102, 97), (100, 102, 98), (102, 103, 94)]
-    chained, apart = set(r.sample(range(40), 3)), [tuple(sorted(r.sample(range(40), 2))) for _ in range(12)]
-    want, find = _one_after_the_other(pairs, chained, apart, 95)
-    outcomes, roots = merge.auto_merged(
-        spark.createDataFrame(pairs, "left_id long, right_id long, score int"), spark.createDataFrame([(i,) for i in chained], "id long"), spark.createDataFrame(apart, "left_id long, right_id long"),
-    )
-    assert {(x["left_id"], x["right_id"]): x["outcome"] for x in outcomes.collect()} == want
-    assert all(x["root"] == find(x["id"]) for x in roots.collect())
-
-
-def test_auto_merge_of_nothing(spark):
-    pairs, none, ids = (spark.createDataFrame([], s) for s in ("left_id long, right_id long, score int", "left_id long, right_id long", "id long"))
-    outcomes, roots = merge.auto_merged(pairs, ids, none)
-    assert outcomes.count() == roots.count() == 0
-
-
 def test_merge_bookkeeping(spark):
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (9, 9)], "id long, root long")
     made = spark.createDataFrame([(1, 5), (2, 3), (3, 3), (9, 1)], "id long, created_at long")
