@@ -2,11 +2,12 @@
 
 import pytest
 
-from spinewright.plans import listing_queries, model_queries, resolve_queries, screen_queries, source_queries, spine_queries, stream_queries
+import __spark_entry__ as entry
+from spinewright.plans import resolve_queries
 from tests.compare import SF, same_rows
 
-QUERIES = resolve_queries.QUERIES | model_queries.QUERIES | spine_queries.QUERIES | listing_queries.QUERIES | stream_queries.QUERIES | screen_queries.QUERIES | source_queries.QUERIES
-ORACLES = resolve_queries.ORACLES | model_queries.ORACLES | spine_queries.ORACLES | listing_queries.ORACLES | stream_queries.ORACLES | screen_queries.ORACLES | source_queries.ORACLES
+QUERIES = {k: v for p in entry._PLANS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in entry._PLANS for k, v in p.ORACLES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
