@@ -52,6 +52,7 @@ _CACHE = 300_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # odd factors that put the lexicon in random orders
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"order", i) | 1 for i in range(SEEDS)], np.uint64)
+_ORDERS = np.arange(SEEDS)
 _HALF = np.uint64(32)
 
 
@@ -70,7 +71,7 @@ class Terms:
             if h is None:
                 h = known[word] = xxhash.xxh64_intdigest(word, HASH_SEED)
             out.append(h)
-        return np.sort(np.array(out, np.uint64))
+        return np.sort(np.fromiter(out, np.uint64, len(out)))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -110,11 +111,17 @@ def _signatures(terms: np.ndarray, level: int) -> str:
         mixed = terms[None, :] * _FACTORS[:, None]
         mixed ^= mixed >> _HALF
         mixed *= _FACTORS[:, None]
+    # the first level's subsets hold those of the next
+    order, at = np.nonzero(mixed < np.uint64((1 << 64) >> level)) if level else np.indices(mixed.shape).reshape(2, -1)
+    rank = mixed[order, at]
     out = []
-    for at in range(level, level + LEVELS):
-        inside = mixed < np.uint64((1 << 64) >> at) if at else np.ones(mixed.shape, bool)
-        some = inside.any(axis=1).tolist()
-        out += [f"{xxhash.xxh32_intdigest(terms[x].tobytes(), HASH_SEED) >> 8 | 1:0{DIGITS}x}" if any_ else NONE for x, any_ in zip(inside, some, strict=True)]
+    for deeper in range(level, level + LEVELS):
+        if deeper > level:
+            inside = rank < np.uint64((1 << 64) >> deeper)
+            order, at, rank = order[inside], at[inside], rank[inside]
+        held, stops = terms[at].tobytes(), (8 * np.searchsorted(order, _ORDERS, side="right")).tolist()
+        for start, stop in zip([0, *stops], stops, strict=False):
+            out.append(f"{xxhash.xxh32_intdigest(held[start:stop], HASH_SEED) >> 8 | 1:0{DIGITS}x}" if stop > start else NONE)
     return "".join(out)
 
 
@@ -140,16 +147,16 @@ def likeness(one: str, other: str) -> float:
         return 1.0
     if one[0] != other[0] or one[0] == "e":
         return 0.0
-    (a, x), (b, y) = ((int(f[1:3]), f[19:]) for f in (one, other))
+    a, b = int(one[1:3]), int(other[1:3])
+    if abs(a - b) >= LEVELS:
+        return 0.0
+    x, y = ([f[i : i + DIGITS] for i in range(19, len(f), DIGITS)] for f in (one, other))
     same = either = 0
-    row = SEEDS * DIGITS
     for level in range(max(a, b), min(a, b) + LEVELS):
-        p, q = x[(level - a) * row : (level - a + 1) * row], y[(level - b) * row : (level - b + 1) * row]
-        for i in range(0, row, DIGITS):
-            g, h = p[i : i + DIGITS], q[i : i + DIGITS]
-            held = g != NONE or h != NONE
-            either += held
-            same += held and g == h
+        p, q = x[(level - a) * SEEDS : (level - a + 1) * SEEDS], y[(level - b) * SEEDS : (level - b + 1) * SEEDS]
+        none = sum(g == h == NONE for g, h in zip(p, q, strict=True))
+        either += SEEDS - none
+        same += sum(map(str.__eq__, p, q)) - none
     return same / either if either else 0.0
 
 
