@@ -81,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
+                  md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 r AS (SELECT *, 3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER u, 0) AS left2, sum(weight) OVER () - coalesce(sum(weight) OVER u, 0) AS weight_left

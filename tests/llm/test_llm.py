@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spinewright.llm import decontaminate, html_text, mixing, near_copies, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from tests.llm.helpers import docs, empty
@@ -38,6 +39,29 @@ def test_mix_is_repeatable(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "few"])
+def test_equal_rows_fill_their_target(spark, ids):
+    # a large source whose rows repeat one id or have none; the same text, or two texts
+    doc_id = {"none": lambda i: None, "one": lambda i: 7, "few": lambda i: i % 3}[ids]
+    rows = [(doc_id(i), "a b c d" if i % 5 else "e f g h", "a") for i in range(1000)]
+    rows += [(5000 + i, "w " * 10, "b") for i in range(600)] + [(9000 + i, "v " * 7, "c") for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    taken = mixing.with_taken(d, mixing.plan(d)).select("row.source", "size", "target", "taken").toPandas()
+    assert len(taken) == 2500 and (taken.taken <= 2 * taken["size"]).all()
+    by = taken.groupby("source")
+    assert np.allclose(by.taken.sum(), by.target.first(), atol=0.51)
+    words = {r["source"]: r["n"] for r in mixing.repeat(d).groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).collect()}
+    assert all(abs(words[s] - t) <= 10 for s, t in by.target.first().items())
+    again = mixing.mix(d.repartition(3)).toPandas()
+    assert sorted(map(str, again.values.tolist())) == sorted(map(str, mixing.mix(d).toPandas().values.tolist()))
+
+
+def test_targets_beyond_a_long(spark):
+    sizes = [(f"s{i}", 3 * 10**12 + i) for i in range(5)]
+    got = mixing.targets(spark.createDataFrame([*sizes, ("s9", 10**17)], "source_key string, source_size long")).collect()
+    assert abs(sum(x["target"] for x in got) / (1.5 * sum(x["source_size"] for x in got)) - 1) < 1e-9
+
+
 def test_targets_of_many_sources_equal_a_loop(spark):
     r = random.Random(12)
     sizes = [(f"s{i:03d}", r.choice([0, 1, 5, 50, 1000, 1000])) for i in range(300)]
