@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def micros(amount: Column) -> Column:
@@ -41,34 +37,6 @@ def carried_caps(periods: DataFrame, caps: DataFrame, period: str, cap: str, def
     return j.select(period, F.coalesce(last, F.lit(default).cast("long")).alias(cap))
 
 
-def reserved(requests: DataFrame, period: str, order: list[str], amount: str, cap: int) -> DataFrame:
-    """Adds ``accepted`` and ``held`` (what is granted so far) to reservations in event order: one is granted if it fits
-    beside what has been granted before it in its ``period``; a refused one takes nothing.
-
-    Each grant depends on the last, so a period is walked in order by one task, which holds one number and a batch of
-    rows. A period with many rows is long for its task, but never large.
-    """
-    names = requests.columns
-    rows = requests.select(F.col(period).cast("string").alias("walk_period"), F.col(amount).cast("long").alias("walk_amount"), F.struct(*names).alias("row"), *[F.col(o).alias(f"walk_{i}") for i, o in enumerate(order)])
-    sorted_ = rows.repartition("walk_period").sortWithinPartitions("walk_period", *[f"walk_{i}" for i in range(len(order))]).select("walk_period", "walk_amount", "row")
-
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, started = None, 0, False
-        for b in batches:
-            accepted, sums = [], []
-            for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if key != now or not started:
-                    now, held, started = key, 0, True
-                fits = n is not None and held + n <= cap
-                held += n if fits else 0
-                accepted.append(fits)
-                sums.append(held)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(accepted, pa.bool_()), pa.array(sums, pa.int64())], ["row", "accepted", "held"])
-
-    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("accepted", BooleanType()), StructField("held", LongType())])
-    return sorted_.mapInArrow(walked, schema).select("row.*", "accepted", "held")
-
-
 def open_reservations(requests: DataFrame, settled_ids: DataFrame, released: DataFrame, now: Column) -> DataFrame:
     """Adds ``state`` to reservations ``request_id, expires_at, ...``: settled if the ledger has the request (also when it was
     released before), else released, else expired once ``expires_at`` has passed, else open. Only open ones hold money, so

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spinewright.core import read
 from spinewright.functions import keys
-from spinewright.operators import ingest, meter, report, sweep
+from spinewright.operators import ingest, meter, report, reserve, sweep
 from spinewright.plans.resolve_queries import _BIZ, businesses
 
 QUERIES: dict = {}
@@ -305,7 +305,7 @@ w AS (SELECT o_custkey, r, CASE WHEN m <= 500000000000 THEN m ELSE 0 END AS held
 SELECT o_custkey, count(*) AS asked, count(*) FILTER (ok) AS accepted, max(held)::BIGINT AS held FROM w GROUP BY 1""")
 def reserve_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", meter.micros(F.col("o_totalprice")).alias("micros"))
-    granted = meter.reserved(o, "o_custkey", ["o_orderdate", "o_orderkey"], "micros", 500_000_000_000)
+    granted = reserve.reserved(o, "o_custkey", ["o_orderdate", "o_orderkey"], "micros", 500_000_000_000)
     return granted.groupBy("o_custkey").agg(F.count("*").alias("asked"), F.count_if("accepted").alias("accepted"), F.max("held").alias("held"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.core import shared_root
+from spinewright.operators import meter, reserve
 from spinewright.streaming import observe
 
 
@@ -28,8 +29,34 @@ def stream_settled_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/ledger").groupBy("user_id").agg(F.count("*").alias("requests"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_settled_once)}
+def stream_reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reservations of their customer with leases of 60 days: finished ones settle for nine tenths after ten
+    days, partly finished ones after 90, when their lease has run out, open ones never."""
+    reserve.state_store(spark)
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    o = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    at, micros = F.col("o_orderdate").cast("timestamp"), meter.micros(F.col("o_totalprice"))
+    event = lambda kind, at, micros: F.struct(F.lit(kind).alias("kind"), at.alias("at"), micros.alias("micros"))
+    asked = event("reserve", at, micros)
+    paid = lambda days: event("settle", at + F.expr(f"interval '{days}' day"), F.floor(micros * 9 / 10).cast("long"))
+    events = F.when(F.col("o_orderstatus") == "F", F.array(asked, paid(10))).when(F.col("o_orderstatus") == "P", F.array(asked, paid(90))).otherwise(F.array(asked))
+    rows = o.select(F.col("o_custkey").alias("period"), F.col("o_orderkey").alias("request_id"), F.explode(events).alias("e")).select("period", "request_id", "e.*")
+    out = observe.drained(reserve.metered(rows, CAP, "60 days"), _path(spark), "append")
+    return out.where(F.col("outcome") != reserve.EXPIRED).select("period", "request_id", F.unix_seconds("at").alias("at"), "outcome", "micros", "reserved", "spent")
+
+
+CAP = 500_000_000_000
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_settled_once, stream_reserved)}
 ORACLES = {
+    "stream_reserved": f"""WITH RECURSIVE o AS (SELECT o_custkey::VARCHAR AS period, o_orderkey::VARCHAR AS id, epoch(o_orderdate)::BIGINT AS t, floor(o_totalprice * 1000000 + 0.5)::BIGINT AS m, o_orderstatus AS s FROM orders),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY period ORDER BY t, id, kind) AS r FROM (
+  SELECT period, id, t, 'reserve' AS kind, m FROM o UNION ALL SELECT period, id, t + 86400 * CASE s WHEN 'F' THEN 10 ELSE 90 END, 'settle', floor(m * 9 / 10)::BIGINT FROM o WHERE s IN ('F', 'P'))),
+w AS (SELECT period, 0::BIGINT AS r, '' AS id, 0::BIGINT AS t, '' AS outcome, 0::BIGINT AS m, 0::BIGINT AS spent, []::STRUCT(id VARCHAR, til BIGINT, m BIGINT)[] AS leases FROM (SELECT DISTINCT period FROM e)
+  UNION ALL SELECT period, r, id, t, CASE WHEN kind = 'settle' THEN CASE WHEN mine THEN 'settled' ELSE 'late_settled' END WHEN fits THEN 'granted' ELSE 'refused' END, m, CASE kind WHEN 'settle' THEN spent + m ELSE spent END,
+    CASE WHEN kind = 'settle' THEN list_filter(open, lambda x: x.id <> id) WHEN fits THEN list_append(open, {{'id': id, 'til': t + 60 * 86400, 'm': m}}) ELSE open END
+  FROM (SELECT *, len(list_filter(open, lambda x: x.id = id)) > 0 AS mine, spent + coalesce(list_sum(list_transform(open, lambda x: x.m)), 0) + m <= {CAP} AS fits
+    FROM (SELECT e.period, e.r, e.id, e.t, e.kind, e.m, w.spent, list_filter(w.leases, lambda x: x.til >= e.t) AS open FROM w JOIN e ON e.period = w.period AND e.r = w.r + 1)))
+SELECT period, id AS request_id, t AS "at", outcome, m AS micros, coalesce(list_sum(list_transform(leases, lambda x: x.m)), 0)::BIGINT AS reserved, spent FROM w WHERE r > 0""",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     "stream_settled_once": "SELECT user_id, count(DISTINCT json_extract_string(props, '$.k')) AS requests FROM events GROUP BY 1",
 }

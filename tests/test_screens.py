@@ -12,21 +12,6 @@ from spinewright.operators import meter, report, resolve, screens, sweep
 from spinewright.streaming import observe
 
 
-def test_reservations_walk_like_a_loop(spark):
-    r = random.Random(1)
-    rows = [(f"p{r.choice([0, 0, 0, 1, 2])}", i, r.choice([None, 0, 5, 20, 50, 80, 101, 300])) for i in range(3000)]
-    want, held = {}, {}
-    for p, i, n in rows:
-        ok = n is not None and held.get(p, 0) + n <= 1000
-        held[p] = held.get(p, 0) + (n if ok else 0)
-        want[i] = (ok, held[p])
-    got = meter.reserved(spark.createDataFrame(rows, "period string, at long, micros long").repartition(5), "period", ["at"], "micros", 1000).collect()
-    assert {x["at"]: (x["accepted"], x["held"]) for x in got} == want
-    small = meter.reserved(spark.createDataFrame([("x", 1, 50), ("x", 2, 80), ("x", 3, 40), (None, 1, 99)], "period string, at long, micros long"), "period", ["at"], "micros", 100)
-    assert sorted((x["micros"], x["accepted"]) for x in small.collect()) == [(40, True), (50, True), (80, False), (99, True)]
-    assert meter.reserved(spark.createDataFrame([], "period string, at long, micros long"), "period", ["at"], "micros", 1).count() == 0
-
-
 def test_letters_fold_like_their_decompositions(spark):
     letters = [chr(c) for c in range(0xC0, 0x1F00) if unicodedata.category(chr(c))[0] == "L"]
     got = [x[0] for x in spark.createDataFrame([(c,) for c in letters], "c string").select(keys.fold(F.col("c"))).collect()]
