@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spinewright.core import materialize
+
 
 def validated(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """Adds ``reject_reason``: the first rule that fails (a null counts as failing), null for a valid row."""
@@ -54,17 +56,51 @@ def stratified_sample(rows: DataFrame, group: Column, id_col: str, each: int) ->
     return rows.withColumns({"group": group, "digest": F.md5(F.col(id_col).cast("string").cast("binary"))}).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
 
 
+def _ranked(rows: DataFrame, rules: list[tuple[str, Column, int]], most: list[int], id_col: str) -> DataFrame:
+    """``rule, row, digest``: of each rule's rows the first ``most`` in the order of the id's MD5, all rules in one scan. A row comes up
+    once for each rule it meets; a task sends ``most`` rows a rule at most."""
+    met = F.filter(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.lit(i)) for i, (_, p, _) in enumerate(rules)]), lambda i: i.isNotNull())
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("digest"), F.explode(met).alias("rule"))
+    w = Window.partitionBy("rule").orderBy("digest", F.col(f"row.{id_col}"))
+    limit = F.element_at(F.array(*map(F.lit, most)), F.col("rule") + 1)
+    placed = keyed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(most))
+    return placed.where(F.col("place") <= limit)
+
+
+def _assigned(ranked: DataFrame, id_col: str, names: list[str], take: list[int]) -> DataFrame:
+    """Whole rows with their ``group``: each rule in turn takes the first ``take`` of its rows that no earlier one has taken.
+    The driver holds rules and ids of ``ranked``, which its limits bound."""
+    ranked = materialize(ranked)
+    taken, chosen, left = set(), [], dict(enumerate(take))
+    for r in sorted(ranked.select("rule", F.col(f"row.{id_col}").alias("i"), "place").collect(), key=lambda r: (r["rule"], r["place"])):
+        if left[r["rule"]] and r["i"] not in taken:
+            taken.add(r["i"])
+            chosen.append((r["rule"], r["place"], names[r["rule"]]))
+            left[r["rule"]] -= 1
+    table = ranked.sparkSession.createDataFrame(chosen, "rule int, place int, group string")
+    return ranked.join(F.broadcast(table), ["rule", "place"]).select("row.*", "group", "digest")
+
+
 def ruled_sample(rows: DataFrame, rules: list[tuple[str, Column, int]], id_col: str) -> DataFrame:
     """A sample by rules ``(group, predicate, n)``: of each group's rows the first 3 n + 10 in the order of the id's MD5, rows
-    that an earlier group has taken left out. The rows taken so far are at most the sum of those numbers."""
-    digest, out, taken = F.md5(F.col(id_col).cast("string").cast("binary")), None, None
-    for group, predicate, n in rules:
-        free = rows.where(predicate)
-        if taken is not None:
-            free = free.join(F.broadcast(taken), id_col, "left_anti")
-        own = free.withColumns({"group": F.lit(group), "digest": digest}).orderBy("digest", id_col).limit(3 * n + 10)
-        out = own if out is None else out.unionByName(own)
-        taken = own.select(id_col) if taken is None else taken.unionByName(own.select(id_col))
+    that an earlier group has taken left out. Ids are unique."""
+    take = [3 * n + 10 for _, _, n in rules]
+    # an earlier group takes as many rows at most as it may, so one among the first of both sums is left
+    most = [sum(take[: i + 1]) for i in range(len(take))]
+    return _assigned(_ranked(rows, rules, most, id_col), id_col, [g for g, _, _ in rules], take)
+
+
+def cut_sample(rows: DataFrame, rules: list[tuple[str, Column, int, bool]], id_col: str, banned: Column | None = None) -> DataFrame:
+    """A fixture's rows by rules ``(group, predicate, n, required)``: of the first 3 n + 10 rows that meet a rule, in the order of
+    the id's MD5, the first n that aren't ``banned`` and that no earlier group has taken. A required group without a row is an
+    error. Ids are unique."""
+    plain = [(g, p, n) for g, p, n, _ in rules]
+    ranked = materialize(_ranked(rows, plain, [3 * n + 10 for _, _, n in plain], id_col))
+    free = ranked if banned is None else ranked.join(rows.where(banned).select(F.col(id_col).alias("banned_id")), F.col(f"row.{id_col}") == F.col("banned_id"), "left_anti")
+    out = materialize(_assigned(free, id_col, [g for g, _, _ in plain], [n for _, _, n in plain]))
+    found = {r["group"] for r in out.select("group").distinct().collect()}  # a row a rule
+    if missing := [g for g, _, _, required in rules if required and g not in found]:
+        raise ValueError(f"groups without a row: {missing}")
     return out
 
 
