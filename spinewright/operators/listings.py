@@ -63,18 +63,29 @@ def probe_candidates(probes: DataFrame, businesses: DataFrame, city: str | None
     best = _first(best, ["area", "probe"], [F.desc("similarity"), "id"], NEAREST)
     arms.append(asked.join(best, ["area", "probe"]).select("idx", "id"))
 
-    cell = lambda x, d: F.floor(F.col(x) / d).cast("long")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
-    at = front.where("lat is not null and lng is not null").select("idx", c("lat").alias("p_lat"), c("lng").alias("p_lng"), around).select("idx", "p_lat", "p_lng", (cell("p_lat", BOX_LAT) + c("s.i")).alias("x"), (cell("p_lng", BOX_LNG) + c("s.j")).alias("y"))
-    near = at.join(b.select("id", "lat", "lng", cell("lat", BOX_LAT).alias("x"), cell("lng", BOX_LNG).alias("y")), ["x", "y"])
-    near = near.where(c("lat").between(c("p_lat") - BOX_LAT, c("p_lat") + BOX_LAT) & c("lng").between(c("p_lng") - BOX_LNG, c("p_lng") + BOX_LNG))
-    arms.append(_first(near.select("idx", "id"), ["idx"], ["id"], OTHERS))
+    arms.append(front.select("idx", c("lat").alias("p_lat"), c("lng").alias("p_lng")).join(_nearby(front, b), ["p_lat", "p_lng"]).select("idx", "id"))
 
     found = reduce(DataFrame.unionByName, arms).distinct()
     sides = found.join(p.select("idx", keys.trigrams(c("name_norm")).alias("pg")), "idx").join(b.select("id", keys.trigrams(c("name_norm")).alias("bg")), "id")
     return sides.select("idx", "id", F.round(F.coalesce(keys.gram_similarity(c("pg"), c("bg")), F.lit(0.0)), 6).alias("name_similarity"))
 
 
+def _nearby(probes: DataFrame, businesses: DataFrame) -> DataFrame:
+    """``p_lat, p_lng, id``: the first ``OTHERS`` businesses by id in the box around each distinct place of the probes.
+
+    Businesses at one place are cut to what an arm can give before any pair is formed, and probes at one place ask once,
+    so a building that holds a third of all rows costs a few pairs. What leaves a task is cut again, ten rows a place."""
+    c = F.col
+    cell = lambda x, d: F.floor(F.col(x) / d).cast("long")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
+    at = probes.where("lat is not null and lng is not null").select(c("lat").alias("p_lat"), c("lng").alias("p_lng")).distinct().select("p_lat", "p_lng", around)
+    at = at.select("p_lat", "p_lng", (cell("p_lat", BOX_LAT) + c("s.i")).alias("x"), (cell("p_lng", BOX_LNG) + c("s.j")).alias("y"))
+    places = _first(businesses.where("lat is not null and lng is not null").select("lat", "lng", "id"), ["lat", "lng"], ["id"], OTHERS)
+    near = at.join(places.select("id", "lat", "lng", cell("lat", BOX_LAT).alias("x"), cell("lng", BOX_LNG).alias("y")), ["x", "y"])
+    near = near.where(c("lat").between(c("p_lat") - BOX_LAT, c("p_lat") + BOX_LAT) & c("lng").between(c("p_lng") - BOX_LNG, c("p_lng") + BOX_LNG))
+    return _first(near.select("p_lat", "p_lng", "id"), ["p_lat", "p_lng"], ["id"], OTHERS)
+
+
 def matched(probes: DataFrame, businesses: DataFrame, city: str | None = None, attach: int = 90, tentative: int = 80, same_row: bool = False) -> DataFrame:
     """``probe, best, score, tied, outcome`` of every probe with a candidate: found by the arms, scored, decided.
 

@@ -125,11 +125,26 @@ def place_signals(attachments: DataFrame, observations: DataFrame, businesses: D
     """``id, places, operational, last_seen``: for each live root the attached places of all businesses under it, by the latest
     observation of each place."""
     root = businesses.select(F.col("id").alias("business_id"), F.coalesce("merged_into", "id").alias("root"))
-    last = observations.groupBy("place_id").agg(F.max_by("status", F.struct("seen", "obs_id")).alias("place_status"), F.max("seen").alias("seen"))
+    last = observations.groupBy("place_id").agg(F.max(F.struct("seen", "obs_id", "status")).alias("o")).select("place_id", F.col("o.status").alias("place_status"), "o.seen")
     j = attachments.where("status = 'attached'").select("place_id", "business_id").join(root, "business_id").select("root", "place_id").distinct().join(last, "place_id", "left")
     return j.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("places"), F.count_if(F.coalesce(F.col("place_status") == "operational", F.lit(False))).alias("operational"), F.max("seen").alias("last_seen"))
 
 
+def website_signals(attachments: DataFrame, observations: DataFrame, businesses: DataFrame) -> DataFrame:
+    """``id, had_website, host_class, observed_at, listings``: for each live root, what the listings attached to it and to the
+    businesses under it say of its website, by the last observation of each listing.
+
+    ``attachments``: ``business_id, place_id, status``; ``observations``: ``obs_id, business_id, place_id, had_website, host_class,
+    observed_at``. Of several listings the class is that of one with a website (or of which that is unknown), then of the last seen, then of the
+    largest observation. A listing that was never observed doesn't count."""
+    seen = F.struct("observed_at", "obs_id", F.coalesce(F.col("had_website").cast("int"), F.lit(-1)).alias("site"), "host_class", "had_website")
+    last = observations.groupBy("business_id", "place_id").agg(F.max(seen).alias("o"))
+    attached = attachments.where("status = 'attached'").join(last, ["business_id", "place_id"])
+    root = businesses.select(F.col("id").alias("business_id"), F.coalesce("merged_into", "id").alias("id"))
+    telling = F.struct(F.coalesce("o.had_website", F.lit(True)).alias("w"), F.col("o.observed_at").alias("t"), F.col("o.obs_id").alias("i"))
+    return attached.join(root, "business_id").groupBy("id").agg(F.bool_or("o.had_website").alias("had_website"), F.max_by("o.host_class", telling).alias("host_class"), F.max("o.observed_at").alias("observed_at"), F.count("*").alias("listings"))
+
+
 def exported(rows: DataFrame) -> DataFrame:
     """The public columns of live businesses; a column that isn't on the list never leaves, whatever it is called."""
     return rows.where("merged_into is null").select(*[c for c in PUBLIC if c in rows.columns])

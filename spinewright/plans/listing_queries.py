@@ -22,16 +22,18 @@ def query(sql: str):  # noqa: ANN201
 
 
 #: The arms of a probe's candidates, up to their union ``u``.
-LISTING_ARMS = f"""WITH {_BIZ}, p AS (SELECT id AS idx, name_norm, phone, postal, street_num, lat, lng, id % 5 = 0 AS sab FROM biz),
-a1 AS (SELECT idx, id, row_number() OVER (PARTITION BY idx ORDER BY id) AS r FROM p JOIN biz b ON b.phone = p.phone AND b.blockable),
-a2 AS (SELECT idx, id, row_number() OVER (PARTITION BY idx ORDER BY id) AS r FROM p JOIN biz b ON b.postal = p.postal AND b.street_num = p.street_num WHERE NOT sab),
-a3 AS (SELECT idx, id, row_number() OVER (PARTITION BY idx ORDER BY sim DESC, id) AS r FROM p JOIN biz b ON CASE WHEN sab THEN lower(b.postal) = 'brand#11' ELSE b.postal = p.postal END JOIN sims s ON s.a = p.name_norm AND s.b = b.name_norm WHERE sim >= 0.45),
-a4 AS (SELECT idx, id, row_number() OVER (PARTITION BY idx ORDER BY id) AS r FROM p JOIN biz b ON b.lat BETWEEN p.lat - 0.00135::DOUBLE AND p.lat + 0.00135::DOUBLE AND b.lng BETWEEN p.lng - 0.0015::DOUBLE AND p.lng + 0.0015::DOUBLE WHERE NOT sab),
-u AS MATERIALIZED (SELECT idx, id FROM a1 WHERE r <= 10 UNION SELECT idx, id FROM a2 WHERE r <= 10 UNION SELECT idx, id FROM a3 WHERE r <= 5 UNION SELECT idx, id FROM a4 WHERE r <= 10)"""
+LISTING_ARMS = f"""WITH {_BIZ}, p AS MATERIALIZED (SELECT id AS idx, name_norm, phone, postal, street_num, lat, lng, id % 5 = 0 AS sab FROM biz),
+a1 AS (SELECT idx, id, p.name_norm AS pn, b.name_norm AS bn, row_number() OVER (PARTITION BY idx ORDER BY id) AS r FROM p JOIN biz b ON b.phone = p.phone AND b.blockable),
+a2 AS (SELECT idx, id, p.name_norm AS pn, b.name_norm AS bn, row_number() OVER (PARTITION BY idx ORDER BY id) AS r FROM p JOIN biz b ON b.postal = p.postal AND b.street_num = p.street_num WHERE NOT sab),
+a3 AS (SELECT idx, id, p.name_norm AS pn, b.name_norm AS bn, row_number() OVER (PARTITION BY idx ORDER BY sim DESC, id) AS r FROM p JOIN biz b ON CASE WHEN sab THEN lower(b.postal) = 'brand#11' ELSE b.postal = p.postal END JOIN sims s ON s.a = p.name_norm AND s.b = b.name_norm WHERE sim >= 0.45),
+a4 AS (SELECT idx, id, p.name_norm AS pn, b.name_norm AS bn, row_number() OVER (PARTITION BY idx ORDER BY id) AS r FROM
+  (SELECT *, floor(lat / 0.00135::DOUBLE)::BIGINT + i AS y, floor(lng / 0.0015::DOUBLE)::BIGINT + j AS x FROM p, (VALUES (-1), (0), (1)) v(i), (VALUES (-1), (0), (1)) w(j) WHERE NOT sab) p
+  JOIN (SELECT *, floor(lat / 0.00135::DOUBLE)::BIGINT AS y, floor(lng / 0.0015::DOUBLE)::BIGINT AS x FROM biz) b ON b.x = p.x AND b.y = p.y AND b.lat BETWEEN p.lat - 0.00135::DOUBLE AND p.lat + 0.00135::DOUBLE AND b.lng BETWEEN p.lng - 0.0015::DOUBLE AND p.lng + 0.0015::DOUBLE),
+u AS MATERIALIZED (SELECT idx, id, pn, bn FROM a1 WHERE r <= 10 UNION SELECT idx, id, pn, bn FROM a2 WHERE r <= 10 UNION SELECT idx, id, pn, bn FROM a3 WHERE r <= 5 UNION SELECT idx, id, pn, bn FROM a4 WHERE r <= 10)"""
 
 
 @query(f"""{LISTING_ARMS}
-SELECT u.idx, u.id, sim AS name_similarity FROM u JOIN p ON p.idx = u.idx JOIN biz b ON b.id = u.id JOIN sims s ON s.a = p.name_norm AND s.b = b.name_norm""")
+SELECT idx, id, sim AS name_similarity FROM u JOIN sims ON a = pn AND b = bn""")
 def listing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = businesses(spark, sf_dir).withColumn("city", F.col("postal"))
     probes = b.select(F.col("id").alias("idx"), "name_norm", "phone", "postal", "street_num", "lat", "lng", (F.col("id") % 5 == 0).alias("sab"))

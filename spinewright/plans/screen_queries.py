@@ -238,7 +238,7 @@ def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("last_complete", "oldest_expired")})
 
 
-@query(f"""WITH {_FIRMS}, a AS (SELECT DISTINCT o_orderkey AS place_id, o_custkey AS business_id FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT l_orderkey AS place_id, arg_max(l_returnflag, (l_shipdate, l_linenumber)) AS s, max(l_shipdate) AS seen FROM lineitem GROUP BY 1)
+@query(f"""WITH {_FIRMS}, a AS (SELECT DISTINCT o_orderkey AS place_id, o_custkey AS business_id FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT l_orderkey AS place_id, arg_max(l_returnflag, (l_shipdate, l_linenumber, l_returnflag = 'N')) AS s, max(l_shipdate) AS seen FROM lineitem GROUP BY 1)
 SELECT coalesce(merged_into, id) AS id, count(*) AS places, count(*) FILTER (coalesce(s = 'N', false)) AS operational, strftime(max(seen), '%Y-%m-%d') AS last_seen FROM a JOIN firms ON id = business_id LEFT JOIN o USING (place_id) GROUP BY 1""")
 def place_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
@@ -247,6 +247,26 @@ def place_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screens.place_signals(attached, seen, firms(spark, sf_dir)).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd"))
 
 
+_OBSERVED = """x AS (SELECT DISTINCT l_orderkey AS place_id, l_shipdate AS t, l_linenumber * 1000 + l_suppkey % 1000 AS obs, CASE WHEN l_returnflag <> 'N' THEN l_linestatus = 'F' END AS site,
+  ['own', 'social', 'directory', 'platform_subdomain', 'none'][1 + l_suppkey % 5] AS class, l_partkey AS k FROM lineitem)"""
+
+
+@query(f"""WITH {_FIRMS}, {_OBSERVED}, o AS (SELECT o_orderkey AS place_id, o_custkey AS business_id FROM orders WHERE o_orderstatus <> 'O'),
+m AS (SELECT place_id, max({{'t': t, 'obs': obs, 'known': coalesce(site::INT, -1), 'class': class, 'site': site}}) AS v FROM x GROUP BY 1),
+j AS (SELECT coalesce(merged_into, id) AS id, v.t AS t, v.obs AS obs, v.site AS site, v.class AS class FROM o JOIN m USING (place_id) JOIN firms ON id = business_id)
+SELECT id, bool_or(site) AS had_website, arg_max(class, (coalesce(site, true)::INT, t, obs)) AS host_class, strftime(max(t), '%Y-%m-%d') AS observed_at, count(*) AS listings FROM j GROUP BY 1""")
+def website_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    attached = o.select(F.col("o_orderkey").alias("place_id"), F.col("o_custkey").alias("business_id"), F.when(F.col("o_orderstatus") == "O", "tentative").otherwise("attached").alias("status"))
+    classes = F.array(*map(F.lit, ("own", "social", "directory", "platform_subdomain", "none")))
+    observed = li.select(
+        F.col("l_orderkey").alias("place_id"), F.col("l_shipdate").alias("observed_at"), (F.col("l_linenumber") * 1000 + F.col("l_suppkey") % 1000).alias("obs_id"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_linestatus") == "F").alias("had_website"), F.element_at(classes, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("host_class"),
+    )
+    observed = observed.join(attached.select("place_id", "business_id"), "place_id")
+    return screens.website_signals(attached, observed, firms(spark, sf_dir)).withColumn("observed_at", F.date_format("observed_at", "yyyy-MM-dd"))
+
+
 # money
 
 _REQUESTS = """q AS (SELECT o_orderkey AS request_id, o_custkey AS period, floor(o_totalprice * 100 + 0.5)::BIGINT AS micros, o_orderdate AS expires_at,
