@@ -29,7 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Set
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -47,6 +47,8 @@ SEEN, SEEN_SHARE = 3, 0.02
 MENU_SHARE = 2 / 3
 #: Weight of text in containers whose names suggest furniture, and of text in articles.
 NAMED, ARTICLE = 0.1, 3.0
+#: Characters of a path that are written out.
+LONG_PATH = 400
 #: Bytes of all hosts' lists up to which they are broadcast.
 BROADCAST_BYTES = 32_000_000
 
@@ -80,6 +82,12 @@ def _suggests_furniture(name: str) -> bool:
     return bool(parts & _FURNITURE) and not (parts & _CONTENT and not parts & _STRONG)
 
 
+def _below(path: str, part: str) -> str:
+    """The path of a container in that of ``path``. Long ones start with a hash of what is above, so that a deep page's paths
+    take no more room than its elements."""
+    return f"{path if len(path) <= LONG_PATH else f'{xxhash.xxh64_intdigest(path):016x}'}>{part}"
+
+
 @dataclass
 class _Open:
     tag: str
@@ -97,6 +105,8 @@ class Page:
         self.in_article = [False]
         self.blocks: list[tuple[str, int, int]] = []
         self._stack = [_Open("", False, 0)]
+        #: The places of each tag's open elements, so that none is searched for.
+        self._places: defaultdict[str, list[int]] = defaultdict(list)
         self._text: list[str] = []
         self._linked, self._in_link = 0, 0
         self._read(html)
@@ -106,10 +116,7 @@ class Page:
             raw = "".join(self._text)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                at = len(self._stack) - 1
-                while at and self._stack[at].tag not in _BLOCK:
-                    at -= 1
-                self.blocks.append((text, self._linked, self._stack[at].node))
+                self.blocks.append((text, self._linked, self._stack[-1].node))
             self._text = []
         self._linked = 0
 
@@ -118,15 +125,17 @@ class Page:
         if any(o.tag in _BLOCK for o in self._stack[to:]):
             self._flush()
         self._in_link = 0 if any(o.tag == "a" for o in self._stack[to:]) else self._in_link
+        for o in self._stack[to:]:
+            self._places[o.tag].pop()
         del self._stack[to:]
 
-    def _find(self, tags: set[str] | frozenset[str], stop: set[str]) -> int:
-        for at in range(len(self._stack) - 1, 0, -1):
-            if self._stack[at].tag in tags:
-                return at
-            if self._stack[at].tag in stop:
-                return 0
-        return 0
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((at[-1] for t in tags if (at := self._places.get(t))), default=0)
+
+    def _find(self, tags: Iterable[str], stop: Iterable[str]) -> int:
+        """The place of the innermost open element of ``tags``, 0 if there is none within the innermost of ``stop``."""
+        at = self._last(tags)
+        return at if at >= self._last(stop) else 0
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in _CLOSES_P and (at := self._find({"p"}, {"td", "th", "table", "button"})):
@@ -154,7 +163,7 @@ class Page:
                 elif name == "style":
                     out = out or "display:none" in value.replace(" ", "").lower()
         if tag == "header":  # a site's header, not the head of an article
-            out = out or not any(o.tag in ("article", "main") for o in self._stack)
+            out = out or not self._last(("article", "main"))
         node = top.node
         if block:
             node = len(self.tags)
@@ -164,9 +173,10 @@ class Page:
             self.parents.append(top.node)
             self.named.append(named and tag not in ("html", "body", "article", "main"))
             self.holders.append(node if holds else self.holders[top.node])
-            self.paths.append(f"{self.paths[top.node]}>{tag}{''.join(sorted(set(names)))}" if holds else self.paths[top.node])
+            self.paths.append(_below(self.paths[top.node], tag + "".join(sorted(set(names)))) if holds else self.paths[top.node])
             self.in_article.append(tag == "article" or self.in_article[top.node])
         self._in_link += tag == "a"
+        self._places[tag].append(len(self._stack))
         self._stack.append(_Open(tag, out or top.out, node))
 
     def _read(self, html: str) -> None:
@@ -249,27 +259,20 @@ class Page:
             own = self.holders[node] == node
             gone[node] = gone[node] or gone[parent] or own and not holds[node] and self.paths[node] not in winners and (self.named[node] or self.paths[node] in repeated)
         around[0] = True
+        # whether a node or a list around it, within its container, is mostly links
+        menu = [False] * n
+        for node in range(1, n):
+            menu[node] = self.holders[node] != node and (menu[self.parents[node]] or linked[node] > MENU_SHARE * size[node])
         kept = []
         for text, links, node in self.blocks:
             if sure[node]:
                 keep = not gone[node]
             else:
-                at = node
-                while at and self.holders[at] != at:
-                    at = self.parents[at]
-                keep = around[at] and not gone[node] and not self._menu(node, at, size, linked) and links <= MENU_SHARE * len(text)
+                keep = around[self.holders[node]] and not gone[node] and not menu[node] and links <= MENU_SHARE * len(text)
             if keep:
                 kept.append(text)
         return "\n".join(kept)
 
-    def _menu(self, node: int, to: int, size: list[int], linked: list[int]) -> bool:
-        """Whether the node or a list around it, below ``to``, is mostly links."""
-        while node != to:
-            if linked[node] > MENU_SHARE * size[node]:
-                return True
-            node = self.parents[node]
-        return False
-
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:

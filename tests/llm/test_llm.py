@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from spinewright.core import materialize
 from spinewright.llm import decontaminate, html_text, mixing, near_copies, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from tests.llm.helpers import docs, empty
 
@@ -133,18 +135,20 @@ def test_kd_tree_splits_like_a_plain_one(spark, shards):
     r = random.Random(shards)
     rows = [(i, "".join(r.choice("abc é") for _ in range(int(r.expovariate(1 / 200)) + 1))) for i in range(2500)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    narrow = sharding._narrow(d, "doc_id", "text")
-    points, splits = [x.asDict() for x in narrow.collect()], sharding.tree(narrow, shards)
+    narrow = materialize(sharding._narrow(d, "doc_id", "text"))
+    points, (_, levels, leaves) = [x.asDict() for x in narrow.collect()], sharding.tree(narrow, shards)
+    splits = {n: ((sharding.DIMENSIONS[d], "t_text", "t_id"), edge) for level in levels for n, d, *edge in level}
     width = {a: max(1, max(p[a] for p in points) - min(p[a] for p in points)) for a in sharding.DIMENSIONS}
     sizes, spread = [], lambda own, a: (max(p[a] for p in own) - min(p[a] for p in own)) / width[a]
 
     def walk(node, own, k):
         if k == 1:
-            assert node not in splits
+            assert node not in splits and dict(leaves)[node] == len(sizes)
             sizes.append(sum(p["s_size"] for p in own))
             return
-        (keys, edge), left, right = splits[node]
-        assert (left, right) == (k // 2, k - k // 2) and spread(own, keys[0]) == max(spread(own, a) for a in sharding.DIMENSIONS)
+        (keys, edge), left, right = splits[node], k // 2, k - k // 2
+        edge = tuple(edge)
+        assert spread(own, keys[0]) == max(spread(own, a) for a in sharding.DIMENSIONS)
         low = [p for p in own if tuple(p[a] for a in keys) < edge]
         total = sum(p["s_size"] for p in own)
         # the weighted median of a plain sort, up to the size of a row and the fineness of the search
@@ -158,6 +162,31 @@ def test_kd_tree_splits_like_a_plain_one(spark, shards):
     assert max(sizes) < 1.1 * sum(sizes) / shards
 
 
+def test_kd_shards_of_many_and_by_bytes(spark):
+    rows = [(i, "".join("ab c"[(i * j) % 4] for j in range(i * 7 % 300))) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    out = sharding.kd_shards(d, 600).toPandas()
+    assert time.time() - began < 240 and out.shard.nunique() == 600 and len(out) == 6000
+    size = out.groupby("shard")["size"].sum()
+    assert (size - size.mean()).abs().max() <= 2 * out["size"].max()
+    by_bytes = sharding.kd_shards(d.limit(500), None, target_bytes=5000).toPandas()
+    assert by_bytes.shard.nunique() == -(-by_bytes["size"].sum() // 5000)
+    with pytest.raises(ValueError, match="either"):
+        sharding.kd_shards(d, 4, target_bytes=5)
+
+
+def test_kd_rows_without_ids_are_split(spark):
+    rows = [(None, "the same text " * 5)] * 3000 + [(7, "another " * 6)] * 1500 + [(i, f"text {i}") for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.kd_shards(d, 8).toPandas()
+    size = out.groupby("shard")["size"].sum()
+    assert len(out) == 5500 and size.max() < 1.1 * size.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    spread = {r["shard"]: r["count"] for r in sharding.with_shard(d, 8).groupBy("shard").count().collect()}
+    assert sum(spread.values()) == 5500 and len(spread) == 8
+
+
 def test_kd_edge_cases(spark):
     out = sharding.kd_shards(docs(spark), 16).toPandas()
     assert len(out) == 12 and out.groupby("shard").slot.max().add(1).sum() == 12
@@ -660,6 +689,14 @@ def test_html_votes_equal_a_plain_count(spark):
     assert {x["host"]: (x["won"], x["lost"], x["repeated"]) for x in got} == want
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div><p>x" * 50_000, "<ul><li>x" * 50_000, "<b>" * 100_000 + "<div>x</div>y" * 1000, "<p><table><tr><td>" + "<div>x" * 50_000, "<body><div>" * 50_000 + "y"])
+def test_html_deep_pages_are_read_in_seconds(page):
+    began = time.time()
+    read = html_text.Page(page)
+    assert read.text().replace("\n", "") and read.texts() and time.time() - began < 30
+    assert max(map(len, read.paths)) < html_text.LONG_PATH + 100
+
+
 def test_html_keeps_what_stands_beside_the_winners(spark):
     r = random.Random(11)
     say = lambda n: " ".join(r.choice("river stone quiet walk green house morning".split()) for _ in range(n))
