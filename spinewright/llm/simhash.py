@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
 from spinewright.llm import near_copies
-from spinewright.llm.rows import packed
+from spinewright.llm.rows import gives_back, packed
 from spinewright.operators.graph import connected_components
 
 SEED = 42
@@ -69,7 +69,7 @@ def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` of every row, ``fp`` as the signed 64-bit long with the fingerprint's bits."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(gives_back(_fingerprints), "doc_id long, fp long")
 
 
 def links(fps: DataFrame, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
@@ -121,7 +121,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     version = F.xxhash64("text")
     prints = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), version.alias("version"))
-    rows = materialize(prints.mapInArrow(_versions, "doc_id long, version long, fp long"))
+    rows = materialize(prints.mapInArrow(gives_back(_versions), "doc_id long, version long, fp long"))
     found = materialize(near_copies.classes(docs))
     fps = materialize(rows.select("fp").distinct())
     of_class = materialize(found.select("version", "class").distinct().join(rows.select("version", "fp").distinct(), "version").groupBy("class").agg(F.min("fp").alias("fp")))

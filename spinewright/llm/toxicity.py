@@ -36,11 +36,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize
-from spinewright.llm.rows import packed
+from spinewright.llm.rows import gives_back, packed
 
 #: Labelled documents a model is fitted on, at most.
 SAMPLE_DOCS = 10_000
@@ -319,7 +319,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def landmarks(labelled: DataFrame, toxic: int, clean: int, number: int = LANDMARKS) -> list[str]:
     """Half of them the words whose share of toxic documents differs most from that of clean ones, in standard errors, half by hash."""
     t, c = (F.sum(F.when(F.col("toxic") == label, F.col("docs")).otherwise(0)) for label in (1, 0))
-    counted = labelled.select("text", "toxic").mapInArrow(_words, "word string, toxic int, docs long").groupBy("word").agg(t.alias("t"), c.alias("c"))
+    counted = labelled.select("text", "toxic").mapInArrow(gives_back(_words), "word string, toxic int, docs long").groupBy("word").agg(t.alias("t"), c.alias("c"))
     share = (F.col("t") + F.col("c")) / (toxic + clean)
     tie = F.abs(F.col("t") / toxic - F.col("c") / clean) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
     words = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).select("word", tie.alias("tie"))
@@ -364,7 +364,7 @@ def _instances(labelled: DataFrame, marks: Landmarks, machines: list[tuple[np.nd
                         to.append((marks.embed(_flat([text[k] for k in pick])) / max(1.0, float(np.sqrt(len(pick))))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["toxic", "h", "half", "own", "all"])
 
-    found = labelled.select("text", "toxic", "h", "half").mapInArrow(made, "toxic int, h long, half int, own binary, all binary").toArrow()
+    found = labelled.select("text", "toxic", "h", "half").mapInArrow(gives_back(made), "toxic int, h long, half int, own binary, all binary").toArrow()
     matrix = lambda name: np.frombuffer(b"".join(found[name].to_pylist()), np.float32).reshape(found.num_rows, -1)
     order = np.lexsort((found["toxic"].to_numpy(), found["h"].to_numpy()))  # so that sums are repeatable
     return found["toxic"].to_numpy()[order], found["half"].to_numpy()[order], matrix("own")[order], matrix("all")[order]
@@ -420,31 +420,35 @@ def _link(labelled: DataFrame, machines: list[tuple[np.ndarray, float]]) -> np.n
                     rows[i] = x
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "h", "x"])
 
-    rows = sorted(labelled.select("text", "toxic", "h", "half").mapInArrow(judged, "toxic int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))  # ``limit`` short rows
+    rows = sorted(labelled.select("text", "toxic", "h", "half").mapInArrow(gives_back(judged), "toxic int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))  # ``limit`` short rows
     return _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
 
 
-def scorer(model: Model) -> object:
+def scorer(spark: SparkSession, model: Model) -> object:
     """A column function from text to score; the model (about 1 MB) travels as a broadcast of fixed size."""
-    from pyspark.sql import SparkSession
+    shared = spark.sparkContext.broadcast(model)
 
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(shared.value.weights, shared.value.bias, shared.value.link)  # what it remembers goes with the task
         for s in batches:
-            parts = [shared.value.score(list(s.iloc[i : i + 256])) for i in range(0, len(s), 256)]
+            parts = [own.score(list(s.iloc[i : i + 256])) for i in range(0, len(s), 256)]
             yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    return score
+    given = gives_back(score)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from given(batches)
+
+    return scored
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``toxicity``, between 0 and 1; a column of that name is replaced."""
-    return docs.withColumn("toxicity", scorer(model)(F.col("text")))
+    return docs.withColumn("toxicity", scorer(docs.sparkSession, model)(F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that score 0.5 or more, whole rows."""
-    scored = docs.select(packed(docs), scorer(train(docs, labels))(F.col("text")).alias("score"))
+    scored = docs.select(packed(docs), scorer(docs.sparkSession, train(docs, labels))(F.col("text")).alias("score"))
     return scored.where("score < 0.5").select("row.*")
