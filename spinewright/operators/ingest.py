@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +156,30 @@ def outlet_counts(permits: DataFrame, ranges: list[tuple[str, int, int]]) -> Dat
 
     found = permits.withColumn("cluster", first_range(F.col("naics").cast("int"), ranges)).where("cluster is not null")
     return found.groupBy("county", "cluster").agg(F.count("*").alias("outlets"))
+
+
+def public_keys(rows: DataFrame, identity: str, taken: DataFrame | None = None, size: int = 6, rounds: int = 20) -> DataFrame:
+    """``rows`` with a ``key`` of their own that follows from ``identity`` (unique), so that a replayed task makes the same one.
+
+    Of rows that would share a key the one with the smallest identity has it; the others, and those whose key is ``taken``
+    (``key``), try the next key of their identity. A round settles nearly all, as long as ``32 ** size`` is far above the
+    number of rows; settled rows leave the rounds."""
+    from spinewright.functions.keys import public_key
+
+    names, settled = rows.columns, []
+    used = taken.select("key").distinct() if taken is not None else None
+    open_ = rows
+    for attempt in range(rounds):
+        text = F.col(identity).cast("string") if attempt == 0 else F.concat(F.col(identity).cast("string"), F.lit(f"/{attempt}"))
+        tried = open_.select(*names, public_key(text, size=size).alias("key"))
+        first = tried.groupBy("key").agg(F.min(identity).alias("first"))
+        if used is not None:
+            first = first.join(used, "key", "left_anti")
+        judged = materialize(tried.join(first.select("key", F.col("first").alias(identity), F.lit(True).alias("has")), ["key", identity], "left"))
+        settled.append(judged.where("has").select(*names, "key"))
+        open_ = judged.where("has is null").select(*names)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        mine = judged.where("has").select("key")
+        used = mine if used is None else used.unionByName(mine)
+    raise ValueError(f"keys of {size} digits are too short: rows are without one after {rounds} rounds")

@@ -48,23 +48,28 @@ _HARD_NAMES = [
 ]
 
 
-def _values(rows: list[tuple], names: str) -> str:
+def _cases(rows: list[tuple], names: str, table: str, key: str) -> str:
+    """Hard cases dealt over a table's rows by their key, with what is expected of them."""
     text = lambda v: "NULL" if v is None else f"{v}" if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
+    return f"SELECT {key} AS id, {names} FROM {table} JOIN (VALUES {', '.join('(' + ', '.join(map(text, (i, *r))) + ')' for i, r in enumerate(rows))}) AS t(i, {names}) ON {key} % {len(rows)} = i"
 
 
-@query(_values(_HARD_NAMES, "raw, norm"))
+def _dealt(rows: DataFrame, key: str, cases: list[str]) -> DataFrame:
+    return rows.select(F.col(key).alias("id"), F.element_at(F.array(*map(F.lit, cases)), (F.col(key) % len(cases) + 1).cast("int")).alias("raw"))
+
+
+@query(_cases(_HARD_NAMES, "raw, norm", "part", "p_partkey"))
 def name_norm_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(r,) for r, _ in _HARD_NAMES], "raw string").select("raw", keys.name_norm(F.col("raw")).alias("norm"))
+    return _dealt(read(spark, sf_dir, "part"), "p_partkey", [r for r, _ in _HARD_NAMES]).select("id", "raw", keys.name_norm(F.col("raw")).alias("norm"))
 
 
 _UNITS = [("", 2166136261), ("abc", 440920331), ("a", 3826002220), ("\U0001f600", 3409036472)]
 
 
-@query(_values([(r, n, n % 4) for r, n in _UNITS], "raw, hash, partition"))
+@query(_cases([(r, n, n % 4) for r, n in _UNITS], "raw, hash, partition", "customer", "c_custkey"))
 def fnv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = keys.fnv1a32(F.col("raw"))
-    return spark.createDataFrame([(r,) for r, _ in _UNITS], "raw string").select("raw", h.alias("hash"), (h % 4).alias("partition"))
+    return _dealt(read(spark, sf_dir, "customer"), "c_custkey", [r for r, _ in _UNITS]).select("id", "raw", h.alias("hash"), (h % 4).alias("partition"))
 
 
 _SIDE = "name_norm string, phone string, blockable boolean, street_num string, street_norm string, unit string, postal string, lat double, lng double, location_match_type string, cluster_key string, chain boolean"
@@ -79,12 +84,14 @@ _PAIRS = [
 ]
 
 
-@query(_values([(p[0], p[3], p[4]) for p in _PAIRS], "pair, score, band"))
+@query(_cases([(p[0], p[3], p[4]) for p in _PAIRS], "kind, score, band", "part", "p_partkey").replace("p_partkey AS id", "p_partkey AS pair"))
 def pair_score_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["id", *[x.split()[0] for x in _SIDE.split(", ")]]
-    rows = spark.createDataFrame([(2 * p[0] + i, *p[1 + i]) for p in _PAIRS for i in (0, 1)], f"id long, {_SIDE}").toDF(*names)
-    pairs = spark.createDataFrame([(2 * p[0], 2 * p[0] + 1) for p in _PAIRS], "left_id long, right_id long")
-    return resolve.score(resolve.sides(pairs, rows)).select((F.col("left_id") / 2).cast("long").alias("pair"), "score", "band")
+    names = [x.split()[0] for x in _SIDE.split(", ")]
+    sides = F.broadcast(spark.createDataFrame([(i, at, *p[1 + at]) for i, p in enumerate(_PAIRS) for at in (0, 1)], f"case long, at long, {_SIDE}"))  # twelve rows
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair"), (F.col("p_partkey") % len(_PAIRS)).alias("case"))
+    rows = parts.join(sides, "case").select((2 * F.col("pair") + F.col("at")).alias("id"), *names)
+    scored = resolve.score(resolve.sides(parts.select((2 * F.col("pair")).alias("left_id"), (2 * F.col("pair") + 1).alias("right_id")), rows))
+    return scored.select(F.floor(F.col("left_id") / 2).cast("long").alias("pair"), "score", "band").withColumn("kind", F.col("pair") % len(_PAIRS) + 1)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '+1956' || (2000000 + c_custkey)::VARCHAR END AS e164, c_custkey % 4 IN (1, 2) AS blockable FROM customer WHERE c_custkey % 4 < 3
@@ -139,10 +146,11 @@ def business_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FIRMS} SELECT 'none' AS filter, count(*) FILTER (cluster_key IS NULL) AS n FROM firms UNION ALL SELECT 'BUILDING', count(*) FILTER (cluster_key = 'BUILDING') FROM firms
-UNION ALL SELECT status, count(*) FROM firms GROUP BY 1 UNION ALL SELECT 'accent', 3 UNION ALL SELECT 'sign', 1""")
+UNION ALL SELECT status, count(*) FROM firms GROUP BY 1 UNION ALL SELECT 'accent', count(*) FILTER (c_custkey % 5 < 3) FROM customer UNION ALL SELECT 'sign', count(*) FILTER (c_custkey % 5 = 3) FROM customer""")
 def business_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = firms(spark, sf_dir)
-    hard = spark.createDataFrame([(1, "A1", "Café Olé"), (2, "A2", "CAFE OLE"), (3, "CAFÉ", "Bar"), (4, "A4", "100% cotton"), (5, "A5", "100 cotton")], "id long, key string, name string")
+    hard = _dealt(read(spark, sf_dir, "customer"), "c_custkey", ["Café Olé", "CAFE OLE", "Bar", "100% cotton", "100 cotton"]).withColumnRenamed("raw", "name")
+    hard = hard.withColumn("key", F.when(F.col("name") == "Bar", "CAFÉ").otherwise(F.concat(F.lit("A"), F.col("id").cast("string"))))
     hard = hard.withColumns({c: F.lit(None).cast("string") for c in ("cluster_key", "merged_into", "closed_at")})
     counted = [("none", screens.listed(f, cluster="none")), ("BUILDING", screens.listed(f, cluster="BUILDING")), *[(s, screens.listed(f, state=s)) for s in ("active", "closed", "merged_away")], ("accent", screens.listed(hard, "café")), ("sign", screens.listed(hard, "0%"))]
     out = None

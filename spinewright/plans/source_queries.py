@@ -103,9 +103,17 @@ def key_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHAINS = [("Taqueria El Rey Azul", "taqueria rey azul"), ("Panaderia Las Rosas Rojas", "panaderia rosas rojas"), ("Rey Azul", "rey azul"), ("Taqueria Jalisco", "taqueria jalisco")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CHAINS) + ") AS t(raw, chain)")
+@query("SELECT p_partkey, raw, chain FROM part JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_CHAINS)) + f") AS t(i, raw, chain) ON p_partkey % {len(_CHAINS)} = i")
 def chain_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in _CHAINS], "raw string").select("raw", keys.chain_key(F.col("raw"), keys.name_norm(F.col("raw"))).alias("chain"))
+    raw = F.element_at(F.array(*[F.lit(a) for a, _ in _CHAINS]), (F.col("p_partkey") % len(_CHAINS) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", "raw", keys.chain_key(F.col("raw"), keys.name_norm(F.col("raw"))).alias("chain"))
+
+
+@query(f"""WITH h AS (SELECT c_custkey, ('0x' || substr(sha256(c_name), 1, 12))::BIGINT AS h FROM customer)
+SELECT c_custkey, 'SL-' || array_to_string(list_transform(generate_series(0, 6), lambda i: substr('{keys.KEY_DIGITS}', ((h >> (5 * i)) & 31)::INT + 1, 1)), '') AS key FROM h""")
+def public_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return ingest.public_keys(rows, "c_name", size=7).select("c_custkey", "key")
 
 
 @query("""SELECT o_orderkey, printf('%.2f', o_totalprice) AS shown FROM orders""")

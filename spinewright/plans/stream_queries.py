@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spinewright.core import shared_root
 from spinewright.operators import meter, reserve
+from spinewright.plans.model_queries import ORACLES as MODEL_SQL
 from spinewright.streaming import observe
 
 
@@ -45,9 +46,27 @@ def stream_reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("outcome") != reserve.EXPIRED).select("period", "request_id", F.unix_seconds("at").alias("at"), "outcome", "micros", "reserved", "spent")
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = observe.drained(observe.sessions(observe.event_stream(spark, sf_dir), "user_id", 30), _path(spark), "complete")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("started")).cast("long")  # a row a session of one user
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", number.alias("session"), "events", text("started"), text("ended"))
+
+
+def stream_local_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = observe.drained(observe.local_weeks(observe.event_stream(spark, sf_dir)), _path(spark), "complete")
+    return out.groupBy("week", "partition").agg(F.sum("events").alias("events"), F.count("*").alias("types"))
+
+
 CAP = 500_000_000_000
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_settled_once, stream_reserved)}
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_settled_once, stream_reserved, stream_sessions, stream_local_weeks)}
+# the zone's offset by its rule: six hours behind, five from the second Sunday of March to the first of November, at two o'clock
+_LOCAL = """SELECT event_type, ts - INTERVAL 1 HOUR * (6 - (ts >= m + INTERVAL 8 HOUR AND ts < n + INTERVAL 7 HOUR)::INT) AS t FROM (SELECT *,
+  make_date(year(ts), 3, 8) + INTERVAL 1 DAY * ((7 - dayofweek(make_date(year(ts), 3, 8))) % 7) AS m, make_date(year(ts), 11, 1) + INTERVAL 1 DAY * ((7 - dayofweek(make_date(year(ts), 11, 1))) % 7) AS n FROM events)"""
 ORACLES = {
+    "stream_sessions": MODEL_SQL["sessionize"],
+    "stream_local_weeks": f"""WITH w AS (SELECT event_type, (date_diff('day', DATE '1970-01-05', t::DATE) // 7)::BIGINT AS week FROM ({_LOCAL}))
+SELECT week, (week % 4)::INT AS partition, count(*) AS events, count(DISTINCT event_type) AS types FROM w GROUP BY 1""",
     "stream_reserved": f"""WITH RECURSIVE o AS (SELECT o_custkey::VARCHAR AS period, o_orderkey::VARCHAR AS id, epoch(o_orderdate)::BIGINT AS t, floor(o_totalprice * 1000000 + 0.5)::BIGINT AS m, o_orderstatus AS s FROM orders),
 e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY period ORDER BY t, id, kind) AS r FROM (
   SELECT period, id, t, 'reserve' AS kind, m FROM o UNION ALL SELECT period, id, t + 86400 * CASE s WHEN 'F' THEN 10 ELSE 90 END, 'settle', floor(m * 9 / 10)::BIGINT FROM o WHERE s IN ('F', 'P'))),

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spinewright.operators import report
+
+#: Fixed value: weeks in which all cells are swept once.
+PARTITIONS = 4
+
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """A table's files as a stream; event times become instants, as watermarks need them."""
@@ -22,6 +27,23 @@ def windowed(events: DataFrame, length: str = "1 day", late: str = "2 hours") ->
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("events"))
 
 
+def sessions(events: DataFrame, key: str, gap_minutes: int, late: str = "2 hours") -> DataFrame:
+    """Sessions of a key as a stream; a gap of more than ``gap_minutes`` starts the next. A session is given out once the
+    watermark has passed its end and gap, or all of them with their state in complete mode."""
+    gap = f"{gap_minutes} minutes 1 microseconds"  # a session window ends before its gap does
+    timed = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key)
+    return timed.agg(F.count("*").alias("events"), F.min("ts").alias("started"), F.max("ts").alias("ended")).drop("w")
+
+
+def local_weeks(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Events by the local week, Monday to Sunday, of the business zone: ``week`` (since Monday 1970-01-05), ``partition`` that is
+    swept in it, ``event_type``, ``events``. The watermark runs on local time, which a clock change sets back by an hour at most."""
+    timed = events.withColumn("local_ts", report.local(F.col("ts"))).withWatermark("local_ts", late)
+    weeks = timed.groupBy(F.window("local_ts", "7 days", startTime="4 days").alias("w"), "event_type").agg(F.count("*").alias("events"))
+    week = F.floor(F.datediff(F.col("w.start").cast("date"), F.lit("1970-01-05").cast("date")) / 7).cast("long")
+    return weeks.select(week.alias("week"), F.pmod(week, F.lit(PARTITIONS)).cast("int").alias("partition"), "event_type", "events")
+
+
 def once(events: DataFrame, key: list[str], late: str = "2 hours") -> DataFrame:
     """Each key once within the watermark, however often it is delivered."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
@@ -72,10 +94,16 @@ def ledger_sink(path: str, request: str, buckets: int = 64):  # noqa: ANN201
 def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
     """Run a stream over all that is there into ``path`` and read the result; a complete result replaces the last one.
     Other results go into a folder a batch, which a replay replaces, so no batch is there twice."""
+    return counted(stream, path, mode)[0]
+
+
+def counted(stream: DataFrame, path: str, mode: str) -> tuple[DataFrame, int]:
+    """:func:`drained`, and how many rows came later than the watermark allows and were left out."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch_id}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    late = sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows"), late

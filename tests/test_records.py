@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spinewright.functions import keys, records, sql
-from spinewright.operators import screens
+from spinewright.operators import ingest, screens
 
 
 def test_types_of_json(spark):
@@ -70,6 +70,18 @@ def test_searches_are_planned_once(spark):
     assert plan("sweep", "enterprise") == plan("sweep", "enterprise") and plan("change_check", "ids_only")[0]["depth"] == 2
 
 
+def test_public_keys_are_never_shared(spark):
+    rows = spark.range(500).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("name"))
+    got = {r["name"]: r["key"] for r in ingest.public_keys(rows, "name", size=2).collect()}  # of 1,024 keys
+    assert len(set(got.values())) == len(got) == 500
+    assert got == {r["name"]: r["key"] for r in ingest.public_keys(rows.repartition(5), "name", size=2).collect()}
+    taken = spark.createDataFrame([(k,) for k in sorted(got.values())[:50]], "key string")
+    again = {r["key"] for r in ingest.public_keys(rows.limit(300), "name", taken, size=2).collect()}
+    assert len(again) == 300 and not again & set(sorted(got.values())[:50])
+    with pytest.raises(ValueError, match="too short"):
+        ingest.public_keys(rows.limit(40), "name", size=1)
+
+
 def test_website_signals(spark):
     firms = spark.createDataFrame([(1, None), (2, 1), (3, None)], "id long, merged_into long")
     attached = spark.createDataFrame([(1, "a", "attached"), (2, "b", "attached"), (2, "c", "tentative"), (3, "d", "attached"), (3, "e", "attached")], "business_id long, place_id string, status string")
