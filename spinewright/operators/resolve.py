@@ -95,10 +95,11 @@ def nearest_names(rows: DataFrame, top: int = TOP, threshold: float = NAME_SIMIL
     return own.select("id", F.posexplode(others).alias("p", "x")).select("id", F.col("x.other_id").alias("other_id"), F.col("x.similarity").alias("similarity"), (F.col("p") + 1).cast("long").alias("rank"))
 
 
-def candidates(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
+def candidates(rows: DataFrame, cap: int = PAIR_CAP, stored: bool = False) -> DataFrame:
     """``left_id, right_id, block``: the union of the three blocks of live rows of one scope; the first that names a pair keeps it."""
-    # the arms share one narrow table, as what makes the rows may be costly
-    rows = materialize(live(rows).select("id", "scope", "name_norm", "phone", "blockable", "street_num", "postal"))
+    rows = live(rows).select("id", "scope", "name_norm", "phone", "blockable", "street_num", "postal")
+    # the arms share one narrow table, as what makes the rows may be costly, unless the rows are a stored table
+    rows = rows if stored else materialize(rows)
     near = nearest_names(rows).select(F.least("id", "other_id").alias("left_id"), F.greatest("id", "other_id").alias("right_id"), F.lit(3).alias("rank")).distinct()
     union = phone_pairs(rows, cap).select("left_id", "right_id", F.lit(1).alias("rank")).unionByName(address_pairs(rows, cap).select("left_id", "right_id", F.lit(2).alias("rank"))).unionByName(near)
     first = union.groupBy("left_id", "right_id").agg(F.min("rank").alias("rank"))
@@ -152,7 +153,7 @@ def score(joined: DataFrame) -> DataFrame:
 
 def scored(rows: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     rows = materialize(live(rows).select(*BUSINESS, "scope"))
-    return score(sides(candidates(rows, cap), rows)).select("left_id", "right_id", "block", "name_similarity", "signals", "score", "band")
+    return score(sides(candidates(rows, cap, stored=True), rows)).select("left_id", "right_id", "block", "name_similarity", "signals", "score", "band")
 
 
 def chains(rows: DataFrame, least: int = 3) -> DataFrame:
