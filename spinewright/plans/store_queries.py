@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spinewright.core import read, shared_root
 from spinewright.operators import ingest, snapshots
+from spinewright.sources import seeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,44 @@ def _cut_sql() -> str:
 def fixture_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules: list[tuple[str, Column, int, bool]] = [(g, F.expr(w), n, required) for g, w, n, required in _cut_rules()]
     return ingest.cut_sample(read(spark, sf_dir, "part"), rules, "p_partkey", F.col("p_brand").like("%1")).select(F.col("group").alias("grp"), "p_partkey")
+
+
+def _seed_folder(spark: SparkSession, sf_dir: str, nations: int) -> str:
+    """Seed files of the first ``nations`` nations as counties, regions as clusters and their suppliers as cities."""
+    path, n = f"{shared_root(spark)}/spinewright/seeds-{uuid.uuid4().hex}", read(spark, sf_dir, "nation").where(F.col("n_nationkey") < nations)
+    fips = F.lpad(F.col("n_nationkey").cast("string"), 5, "4")
+    s = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    cluster, r = F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))), read(spark, sf_dir, "region")
+    k = F.col("r_regionkey")
+    rows = {
+        "counties": ("counties", n.select(fips.alias("fips"), fips.alias("countyFips"), F.lit("1").alias("comptrollerCode"), F.col("n_name").alias("name"), (F.col("n_regionkey") == 1).alias("isRgv"), F.col("n_regionkey").alias("outletCount"))),
+        "clusters": ("clusters", r.select(cluster.alias("key"), F.col("r_name").alias("displayName"), k.cast("int").alias("sortOrder"), F.array(F.struct((k * 10).alias("lo"), (k * 10 + 5).alias("hi"))).alias("naicsRanges"), F.slice(F.array(F.lit("bar"), F.lit("cafe"), F.lit("spa")), 1, (k % 3 + 1).cast("int")).alias("placesTypes"))),
+        "cities": ("cities", s.select(fips.alias("countyFips"), F.col("s_name").alias("name"), F.array("s_name").alias("nameVariants"), F.col("s_suppkey").alias("outletCount"))),
+        "outlet-counts": ("outletCounts", n.crossJoin(F.broadcast(r)).select(F.lit("county").alias("scope"), fips.alias("countyFips"), cluster.alias("clusterKey"), (F.col("n_nationkey") * 10 + k).alias("outlets")).unionByName(r.select(F.lit("state").alias("scope"), F.lit(None).cast("string").alias("countyFips"), cluster.alias("clusterKey"), k.alias("outlets")))),
+        "geo-presets": ("geoPresets", s.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(fips.alias("countyFips"), F.col("s_name").alias("name")))).alias("cities")).select(F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("key"), F.lit("P").alias("displayName"), F.lit("cities").alias("kind"), "cities", F.lit(None).cast("array<string>").alias("counties"))
+                        .unionByName(n.agg(F.sort_array(F.collect_list(fips)).alias("counties")).select(F.lit("all").alias("key"), F.lit("All").alias("displayName"), F.lit("counties").alias("kind"), F.lit(None).cast("array<struct<countyFips string, name string>>").alias("cities"), "counties"))),
+        "overture-categories": ("categories", read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("rows")).select(F.col("p_brand").alias("basicCategory"), F.lit("asia").alias("clusterKey"), "rows")),
+    }
+    for name, (array, df) in rows.items():  # a seed file is one small object
+        head = [F.lit("2026-09-22").alias("measuredAt"), F.lit("made").alias("source")] if name == "outlet-counts" else []
+        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(array)).select(*head, array)
+        one.select(F.to_json(F.struct(*one.columns)).alias("value")).coalesce(1).write.text(f"{path}/{name}.json")
+    return path
+
+
+@query("""WITH n AS (SELECT * FROM nation WHERE n_nationkey < 20), s AS (SELECT count(*) AS c, count(DISTINCT n_regionkey) AS p, count(*) FILTER (n_nationkey < 10) AS c1, count(DISTINCT n_regionkey) FILTER (n_nationkey < 10) AS p1 FROM supplier JOIN n ON s_nationkey = n_nationkey),
+t AS (SELECT count(*) * 5 AS county, count(*) FILTER (n_nationkey < 10) * 5 AS county1 FROM n), k AS (SELECT sum(1 + 1 + r_regionkey % 3)::BIGINT AS terms FROM region), m AS (SELECT count(DISTINCT p_brand) AS c FROM part)
+SELECT 'counties' AS "table", 10 AS inserted, 10 AS updated UNION ALL SELECT 'industry_clusters', 0, 5 UNION ALL SELECT 'industry_terms', 0, terms FROM k UNION ALL SELECT 'cities', c - c1, c1 FROM s
+UNION ALL SELECT 'outlet_counts', county - county1, county1 + 5 FROM t UNION ALL SELECT 'geo_presets', p - p1, p1 + 1 FROM s UNION ALL SELECT 'overture_category_map', 0, c FROM m""")
+def seed_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, _ = seeds.loaded(None, seeds.tables(spark, _seed_folder(spark, sf_dir, 10)))
+    return seeds.loaded(stored, seeds.tables(spark, _seed_folder(spark, sf_dir, 20)))[1]
+
+
+@query("""SELECT 'p' || n_regionkey AS key, (row_number() OVER (PARTITION BY n_regionkey ORDER BY lpad(n_nationkey::VARCHAR, 5, '4'), s_name) - 1)::INT AS place, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'all', (row_number() OVER (ORDER BY lpad(n_nationkey::VARCHAR, 5, '4')) - 1)::INT, n_name FROM nation""")
+def seed_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = seeds.loaded(None, seeds.tables(spark, _seed_folder(spark, sf_dir, 25)))
+    ids = F.from_json("payload", "cityIds array<string>, countyIds array<string>")
+    listed = t["geo_presets"].select("key", F.posexplode(F.coalesce(ids["cityIds"], ids["countyIds"])).alias("place", "id"))
+    return listed.join(t["cities"].select("id", "name").unionByName(t["counties"].select("id", "name")), "id").select("key", "place", "name")
