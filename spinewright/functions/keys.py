@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 LIGATURES = {"æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ß": "ss", "ẞ": "ss", "þ": "th", "Þ": "th"}
 STROKES = {"ø": "o", "Ø": "o", "đ": "d", "Đ": "d", "ł": "l", "Ł": "l", "ı": "i", "ð": "d", "Ð": "d", "ħ": "h", "Ħ": "h", "ŧ": "t", "Ŧ": "t", "ŋ": "n", "Ŋ": "n", "ŀ": "l", "Ŀ": "l"}
 # Word lists of the name key.
-STOP_WORDS = "el la los las de del y and the of".split()
-LEGAL_FORMS = "llc inc co ltd corp dba lp llp pllc plc incorporated company corporation".split()
+STOP_WORDS = ["el", "la", "los", "las", "de", "del", "y", "and", "the", "of"]
+LEGAL_FORMS = [
+    "llc", "inc", "co", "ltd", "corp", "dba", "lp", "llp", "pllc", "plc", "incorporated", "company", "corporation",
+]
 SPACED_LEGAL_FORMS = ["p l l c", "l l c", "l l p", "l p"]
-TRADE_WORDS = "taqueria carniceria panaderia".split()
+TRADE_WORDS = ["taqueria", "carniceria", "panaderia"]
 # Postal abbreviations of street types and directions.
 STREET_TYPES = {"STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "ROAD": "RD", "HIGHWAY": "HWY", "EXPRESSWAY": "EXPY", "FREEWAY": "FWY", "PARKWAY": "PKWY", "LANE": "LN", "COURT": "CT", "CIRCLE": "CIR", "PLACE": "PL", "TRAIL": "TRL", "TERRACE": "TER", "PLAZA": "PLZ", "CENTER": "CTR", "SQUARE": "SQ"}
 DIRECTIONS = {"NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW"}
 # Designators that say nothing about which unit is meant.
-UNIT_WORDS = "STE SUITE UNIT APT APARTMENT NO NUM NUMBER RM ROOM SPC SPACE".split()
+UNIT_WORDS = ["STE", "SUITE", "UNIT", "APT", "APARTMENT", "NO", "NUM", "NUMBER", "RM", "ROOM", "SPC", "SPACE"]
 # Host classes and their domains.
 HOST_CLASSES = {
     "business_site_dead": ["business.site", "g.page"],
@@ -27,7 +29,7 @@ HOST_CLASSES = {
     "directory": ["yelp.com", "yellowpages.com", "bbb.org", "nextdoor.com", "mapquest.com", "manta.com"],
     "platform_subdomain": ["wixsite.com", "square.site", "myshopify.com", "godaddysites.com"],
 }
-TOLL_FREE = "800 833 844 855 866 877 888".split()
+TOLL_FREE = ["800", "833", "844", "855", "866", "877", "888"]
 EARTH_M = 6_371_000.0
 
 

@@ -125,10 +125,10 @@ def tile_parts(key: Column) -> Column:
 
 
 # What may be stored of a match.
-_POINTS = "name phone address distance cluster".split()
-_FLAGS = "city sab listingPhone listingLocation".split()
-_SIGNALS = "name phone address distance".split()
-_RULES = "phone_locality_name phone_locality_review over_25km sab_phone_city".split()
+_POINTS = ["name", "phone", "address", "distance", "cluster"]
+_FLAGS = ["city", "sab", "listingPhone", "listingLocation"]
+_SIGNALS = ["name", "phone", "address", "distance"]
+_RULES = ["phone_locality_name", "phone_locality_review", "over_25km", "sab_phone_city"]
 
 
 def refused_feature(features: Column, memory_only: list[str] | None = None) -> Column:
