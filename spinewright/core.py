@@ -31,10 +31,26 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root[0]}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/spinewright/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder, once no result of it is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The table stays
+    until :func:`cleanup`."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/spinewright/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

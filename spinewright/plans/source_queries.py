@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinewright.core import materialize, read, shared_root
+from spinewright.core import materialize, read, scratch
 from spinewright.functions import keys
 from spinewright.operators import geometry, ingest, listings, merge, meter, sweep
 from spinewright.operators.screens import json_list
@@ -29,7 +28,7 @@ def query(sql: str):  # noqa: ANN201
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/spinewright/{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 @query("""SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_custkey * 0.01 BETWEEN 1.0 AND 6.0 AND o_orderkey * 0.001 BETWEEN 0.5 AND 9.0""")

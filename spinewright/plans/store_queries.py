@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinewright.core import read, shared_root
+from spinewright.core import read, scratch
 from spinewright.operators import ingest, snapshots
 from spinewright.sources import seeds
 
@@ -30,7 +28,7 @@ j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderkey IS
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
     """Two batches of orders and a replay of the first, in a store of 32 buckets."""
-    path, o = f"{shared_root(spark)}/spinewright/store-{uuid.uuid4().hex}", read(spark, sf_dir, "orders")
+    path, o = scratch(spark, "store"), read(spark, sf_dir, "orders")
     changed = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority"))
     batch = lambda rows, payload, day: rows.select("o_orderkey", payload.alias("payload"), F.md5(payload).alias("payload_hash"), F.lit(day).alias("fetched_at"), F.lit(day).alias("last_seen_at"))
     first = batch(o.where("o_orderdate < timestamp_ntz'1997-01-01'"), F.col("o_orderpriority"), "2024-01-01")
@@ -61,7 +59,7 @@ b AS (SELECT event_id, {_KINDS}[1 + event_id // 4 % 4] AS status, 'score' AS rea
 SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN keep THEN a.status ELSE b.status END AS status, CASE WHEN keep THEN a.reason ELSE b.reason END AS reason, CASE WHEN keep THEN a.score ELSE b.score END AS score, CASE WHEN whole THEN 1 ELSE 2 END AS run
 FROM (SELECT *, whole OR coalesce(a.status = 'attached' AND b.status <> 'attached', false) AS keep FROM (SELECT a, b, b.event_id IS NULL OR coalesce(a.status = 'rejected' OR a.reason = 'confirmed', false) AS whole FROM a FULL JOIN b ON a.event_id = b.event_id))""")
 def stored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, e, k = f"{shared_root(spark)}/spinewright/store-{uuid.uuid4().hex}", read(spark, sf_dir, "events"), F.col("event_id")
+    path, e, k = scratch(spark, "store"), read(spark, sf_dir, "events"), F.col("event_id")
     kinds = F.array(*map(F.lit, ("attached", "tentative", "rejected", "unmatched")))
     batch = lambda rows, kind, reason, score, run: rows.select("event_id", F.element_at(kinds, (kind + 1).cast("int")).alias("status"), reason.alias("reason"), score.alias("score"), F.lit(run).alias("run"))
     first = batch(e.where("event_id % 3 < 2"), k % 4, F.when(k % 10 == 0, "confirmed").otherwise("score"), k % 101, 1)
@@ -95,7 +93,7 @@ def fixture_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seed_folder(spark: SparkSession, sf_dir: str, nations: int) -> str:
     """Seed files of the first ``nations`` nations as counties, regions as clusters and their suppliers as cities."""
-    path, n = f"{shared_root(spark)}/spinewright/seeds-{uuid.uuid4().hex}", read(spark, sf_dir, "nation").where(F.col("n_nationkey") < nations)
+    path, n = scratch(spark, "seeds"), read(spark, sf_dir, "nation").where(F.col("n_nationkey") < nations)
     fips = F.lpad(F.col("n_nationkey").cast("string"), 5, "4")
     s = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     cluster, r = F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))), read(spark, sf_dir, "region")

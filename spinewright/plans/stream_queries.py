@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spinewright.core import shared_root
+from spinewright.core import scratch
 from spinewright.operators import meter, reserve
 from spinewright.plans.model_queries import ORACLES as MODEL_SQL
 from spinewright.streaming import observe
 
 
 def _path(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/spinewright/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

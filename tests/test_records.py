@@ -89,3 +89,20 @@ def test_website_signals(spark):
     got = {r["id"]: tuple(r)[1:] for r in screens.website_signals(attached, seen, firms).collect()}
     # 1 and 2 are one; the latest of a says it has no website; d was observed for another business too; e never
     assert got == {1: (True, "social", 9, 2), 3: (None, None, 3, 1)}
+
+
+def test_the_shared_folder_is_given_back(spark):
+    import os
+
+    from spinewright import core
+
+    df = core.materialize(spark.range(3))
+    folder = core._own_folder(spark).removeprefix("file://")
+    assert df.count() == 3 and spark.sparkContext.applicationId in folder and os.path.isdir(folder)
+    other = core._own_folder
+    try:
+        core._own_folder = lambda s: other(s) + "/part"
+        kept = core.materialize(spark.range(2))
+        assert core.cleanup(spark) and not os.path.exists(folder + "/part") and os.path.isdir(folder) and kept is not None
+    finally:
+        core._own_folder = other
