@@ -104,3 +104,19 @@ def observed_history(observations: DataFrame, businesses: DataFrame) -> DataFram
     """``id, place, obs_id, place_id, observed_at, had_website, host_class, run_id``: all that was seen of a business's listings, last first."""
     w = Window.partitionBy("id").orderBy(F.col("observed_at").desc(), F.col("obs_id").desc())
     return observations.join(family(businesses), "business_id").withColumn("place", F.row_number().over(w)).select("id", "place", "obs_id", "place_id", "observed_at", "had_website", "host_class", "run_id")
+
+
+def top_pairs(pairs: DataFrame, businesses: DataFrame, n: int = 1, floor: int = 80) -> DataFrame:
+    """``place, pair_id, score, skipped, side, business_id`` and the side's ``key, name, cluster_key`` of the ``n`` pairs that are next for review:
+    pending ones of ``floor`` or more whose sides are still two live roots; skipped ones sink, then score and id decide.
+
+    ``pairs``: ``pair_id, left_id, right_id, score, decision, skipped_at``; ``businesses``: ``id, merged_into, key, name, cluster_key``."""
+    root = lambda c, name: family(businesses).select(F.col("business_id").alias(c), F.col("id").alias(name))
+    open_ = pairs.where(F.coalesce(F.col("decision") == "pending", F.lit(False)) & (F.col("score") >= floor))
+    j = open_.join(root("left_id", "l"), "left_id").join(root("right_id", "r"), "right_id").where("l <> r")
+    top = j.orderBy(F.col("skipped_at").asc_nulls_first(), F.col("score").desc(), "pair_id").limit(n)  # a report of n pairs
+    order = Window.orderBy(F.col("skipped_at").asc_nulls_first(), F.col("score").desc(), "pair_id")  # n rows
+    placed = top.withColumn("place", F.row_number().over(order))
+    both = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("l").alias("business_id")), F.struct(F.lit("right").alias("side"), F.col("r").alias("business_id"))))
+    sides = placed.select("place", "pair_id", "score", F.col("skipped_at").isNotNull().alias("skipped"), both.alias("x")).select("place", "pair_id", "score", "skipped", "x.*")
+    return sides.join(businesses.select(F.col("id").alias("business_id"), "key", "name", "cluster_key"), "business_id", "left")

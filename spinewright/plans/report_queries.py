@@ -130,3 +130,15 @@ def listing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FIRMS}, {_SEEN} SELECT coalesce(merged_into, id) AS id, row_number() OVER (PARTITION BY coalesce(merged_into, id) ORDER BY observed_at DESC, obs_id DESC)::INT AS place, obs_id, place_id, observed_at, had_website, host_class, run_id FROM seen JOIN firms ON id = business_id""")
 def listing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.observed_history(_seen(spark, sf_dir), firms(spark, sf_dir))
+
+
+@query(f"""WITH {_FIRMS}, p AS (SELECT o_orderkey AS pair_id, o_custkey AS left_id, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS right_id, o_orderkey * 31 % 101 AS score, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate END AS skipped_at FROM orders WHERE o_orderstatus <> 'P'),
+j AS (SELECT p.*, coalesce(a.merged_into, a.id) AS l, coalesce(b.merged_into, b.id) AS r FROM p JOIN firms a ON a.id = left_id JOIN firms b ON b.id = right_id WHERE score >= 80),
+t AS (SELECT *, row_number() OVER (ORDER BY skipped_at NULLS FIRST, score DESC, pair_id)::INT AS place FROM j WHERE l <> r ORDER BY place LIMIT 40)
+SELECT place, pair_id, score, skipped_at IS NOT NULL AS skipped, side, business_id, key, name, cluster_key FROM (SELECT *, 'left' AS side, l AS business_id FROM t UNION ALL SELECT *, 'right', r FROM t) x LEFT JOIN (SELECT id, key, name, cluster_key FROM firms) f ON f.id = business_id""")
+def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").count()
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    decision = F.when(F.col("o_orderstatus") == "P", "merged").otherwise("pending")
+    pairs = o.select(k.alias("pair_id"), c.alias("left_id"), ((c * 7 + k) % n).alias("right_id"), (k * 31 % 101).alias("score"), decision.alias("decision"), F.when(k % 5 == 0, F.col("o_orderdate")).alias("skipped_at"))
+    return reports.top_pairs(pairs, firms(spark, sf_dir), 40)
