@@ -424,12 +424,22 @@ def _link(labelled: DataFrame, machines: list[tuple[np.ndarray, float]]) -> np.n
     return _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
 
 
+_last: list[Model] = []
+
+
+def _remembering(model: Model) -> Model:
+    """The model's copy that a worker's tasks share, so that they know each other's pieces; it goes when another model comes."""
+    if not _last or _last[0] is not model:
+        _last[:] = [model, Model(model.weights, model.bias, model.link)]
+    return _last[1]
+
+
 def scorer(spark: SparkSession, model: Model) -> object:
     """A column function from text to score; the model (about 1 MB) travels as a broadcast of fixed size."""
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Model(shared.value.weights, shared.value.bias, shared.value.link)  # what it remembers goes with the task
+        own = _remembering(shared.value)
         for s in batches:
             parts = [own.score(list(s.iloc[i : i + 256])) for i in range(0, len(s), 256)]
             yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
