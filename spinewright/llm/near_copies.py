@@ -4,8 +4,11 @@ A text's words (A-Z lowered, cut at ASCII white space) give its ``class``; texts
 gets 160 minima of its shingles' hashes. Twenty bands of five minima are the buckets of a first index; similar pairs
 share one with a probability of 0.9996 at a similarity of 0.8, more above it. Buckets of up to ``BUCKET_PAIRS`` classes give
 all their pairs. Members of larger ones would cost pairs by the square: they are compared with two members of the bucket and
-indexed again by twenty bands of eight minima (0.975 at 0.8), treated alike. Every candidate is verified on its whole
-shingle sets, so no pair below ``SIMILAR`` is ever a link; recall is by probability and measured in the README.
+indexed again by twenty bands of eight minima (0.975 at 0.8), treated alike. That links nearly all of a group of near
+copies; in a last step the members of a large bucket that are still in different components are compared, all of them, in
+blocks. So two classes that share a bucket of the first index end in one component if they are similar, whatever its
+size. Every candidate is verified on its whole shingle sets, so no pair below ``SIMILAR`` is ever a link; recall is by
+the first index's probability alone and measured in the README.
 
 Texts without words are in no class and no pair. Texts of fewer than five words have one shingle, all of their words.
 Very long texts count with all their shingles. Equal texts are one class, ties of minima are equal shingles; an empty
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
 from spinewright.llm.rows import gives_back
+from spinewright.operators.graph import connected_components
 
 SHINGLE = 5
 SIMILAR = 0.8
 #: Classes in a bucket up to which all pairs are formed.
 BUCKET_PAIRS = 16
+#: Classes in a block of a large bucket; blocks are compared by twos.
+BLOCK = 1_000
 #: Bytes of shingle sets up to which they are broadcast.
 BROADCAST_BYTES = 8_000_000
 #: Pairs a task compares at once; each carries two sets of some kilobytes.
@@ -122,7 +128,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(index: DataFrame, bucket_pairs: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``src, dst`` of an index of ``class, bucket``, and the classes in large buckets."""
+    """Pairs ``src, dst`` of an index of ``class, bucket``, and the members ``bucket, class, n`` of large buckets."""
     shared = materialize(index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("n > 1"))
     two = shared.where("n = 2").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
     more = shared.where("n > 2")
@@ -131,14 +137,40 @@ def _candidates(index: DataFrame, bucket_pairs: int) -> tuple[DataFrame, DataFra
     pairs = few.join(few.select("bucket", F.col("class").alias("other")), "bucket").where("class < other").select(F.col("class").alias("src"), F.col("other").alias("dst"))
     large = members.where(F.col("n") > bucket_pairs)
     hubs = large.select("class", F.explode(F.array("lo", "hi")).alias("hub")).where("class <> hub").select(F.least("class", "hub").alias("src"), F.greatest("class", "hub").alias("dst"))
-    return two.unionByName(pairs).unionByName(hubs).distinct(), large.select("class").distinct()
+    return two.unionByName(pairs).unionByName(hubs).distinct(), large.select("bucket", "class", "n")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """The similar ones of ``pairs``, materialised. ``size``: the bytes of ``sets``."""
+    pairs = pairs.repartition(pairs.count() // PAIRS_A_TASK + 1, "src", "dst")
+    a, z = (sets.select(F.col("class").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
+    both = sized_join(sized_join(pairs, a, "src", limit=BROADCAST_BYTES, rows=size), z, "dst", limit=BROADCAST_BYTES, rows=size)
+    return materialize(both.select("src", "dst", "src_set", "dst_set").mapInArrow(gives_back(_similar), "src long, dst long"))
+
+
+def _apart(large: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a large bucket's members that ``linked`` leaves in different components and whose sizes allow them to be similar.
+
+    A bucket of one component has none. The members of the others are dealt into blocks of about ``BLOCK``, and each two blocks
+    meet under a key of their own, so no task holds a bucket."""
+    roots = connected_components(linked).select(F.col("node").alias("class"), "root")
+    sizes = sets.select("class", (F.octet_length("shingles") / 8).alias("size"))
+    named = materialize(large.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).join(sizes, "class"))
+    split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    open_ = materialize(named.join(split, "bucket").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class", "bucket"), blocks)}))
+    a = open_.select("bucket", "class", "root", "size", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    z = open_.select("bucket", F.col("class").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"))
+    met = a.join(z.hint("merge"), ["bucket", "i", "j"]).where("root <> other_root and (i < j or class < other)")
+    near = met.where(F.least("size", "other_size") >= SIMILAR * F.greatest("size", "other_size"))
+    return near.select(F.least("class", "other").alias("src"), F.greatest("class", "other").alias("dst")).distinct()
 
 
 def links(docs: DataFrame, found: DataFrame, text_col: str = "text", bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """Verified pairs ``(src, dst)`` of classes. ``found``: :func:`classes` of ``docs``, materialised."""
     named = materialize(found.groupBy("class").agg(F.min_by(F.struct("version", "wide", "fine"), "version").alias("x")).select("class", "x.*"))
-    pairs, large = _candidates(named.select("class", F.explode("wide").alias("bucket")), bucket_pairs)
-    large = materialize(large)
+    pairs, members = _candidates(named.select("class", F.explode("wide").alias("bucket")), bucket_pairs)
+    large = materialize(members.select("class").distinct())
     if crowded := large.count():
         again = sized_join(named, large, "class", "left_semi", rows=crowded)
         pairs = pairs.unionByName(_candidates(again.select("class", F.explode("fine").alias("bucket")), bucket_pairs)[0]).distinct()
@@ -147,7 +179,8 @@ def links(docs: DataFrame, found: DataFrame, text_col: str = "text", bucket_pair
     texts = sized_join(docs.select(F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string").alias("text")), wanted, "version")
     sets = materialize(texts.select("class", "text").mapInArrow(gives_back(_sets), "class long, shingles binary").dropDuplicates(["class"]))
     size = sets.agg(F.sum(F.octet_length("shingles").cast("long") + 32)).first()[0] or 0
-    pairs = pairs.repartition(pairs.count() // PAIRS_A_TASK + 1, "src", "dst")
-    a, z = (sets.select(F.col("class").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
-    both = sized_join(sized_join(pairs, a, "src", limit=BROADCAST_BYTES, rows=size), z, "dst", limit=BROADCAST_BYTES, rows=size)
-    return both.select("src", "dst", "src_set", "dst_set").mapInArrow(gives_back(_similar), "src long, dst long")
+    linked = _verified(pairs, sets, size)
+    if not crowded:
+        return linked
+    rest = materialize(_apart(members, linked, sets))
+    return linked.unionByName(_verified(rest, sets, size))
