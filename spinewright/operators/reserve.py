@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -107,78 +108,100 @@ def _with_held(rows: DataFrame, w: list[str]) -> DataFrame:
 
 
 GRANTED, REFUSED, SETTLED, LATE, REPEATED, RELEASED, EXPIRED, UNKNOWN = "granted", "refused", "settled", "late_settled", "repeated", "released", "expired", "unknown"
-_OUT = "period string, request_id string, at timestamp, outcome string, micros long, reserved long, spent long, crossed_80 boolean"
+_OUT = "period string, request_id string, at_ms long, outcome string, micros long, reserved long, spent long, crossed_80 boolean"
+_ANSWER = Row(*[f.split(" ")[0] for f in _OUT.split(", ")])
 
 
 class _Meter(StatefulProcessor):
-    """A period's meter: what is reserved and spent, the open leases, and the requests that are settled."""
+    """A period's meter: what is reserved and spent with the open leases, in one value, and the requests that are settled.
+
+    Every access to state is a call to another process, so a batch reads and writes the value once, asks for a request's
+    settlement only in a period that has been seen before, and keeps one timer a period: that of the next lease to run out."""
 
     def __init__(self, cap: int, lease_ms: int):
         self.cap, self.lease_ms = cap, lease_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "reserved long, spent long, warned boolean")
-        self.leases = handle.getMapState("leases", "request_id string", "micros long, until_ms long")
+        self.meter = handle.getValueState("meter", "reserved long, spent long, warned boolean, timer_ms long, leases array<struct<request_id: string, micros: long, until_ms: long>>")
         self.settled = handle.getMapState("settled", "request_id string", "micros long")
 
-    def _row(self, period: str, request: str, at_ms: int, outcome: str, micros: int) -> dict:
+    def _row(self, period: str, request: str, at_ms: int, outcome: str, micros: int) -> Row:
         over = (self.spent + self.held) * 100 >= self.cap * 80
         crossed, self.warned = over and not self.warned and outcome == GRANTED, self.warned or (over and outcome == GRANTED)
-        return {"period": period, "request_id": request, "at": pd.Timestamp(at_ms, unit="ms"), "outcome": outcome, "micros": micros, "reserved": self.held, "spent": self.spent, "crossed_80": crossed}
+        return _ANSWER(period, request, at_ms, outcome, micros, self.held, self.spent, crossed)
 
-    def _expired(self, period: str, before_ms: int) -> list[dict]:
+    def _expired(self, period: str, before_ms: int) -> list[Row]:
         """Leases that ran out before ``before_ms``, by the time they did."""
-        ended = sorted((v[1], k[0], v[0]) for k, v in self.leases.iterator() if v[1] < before_ms) if self.held else []
         rows = []
-        for until, request, micros in ended:
-            self.leases.removeKey((request,))
-            self.held -= micros
-            rows.append(self._row(period, request, until, EXPIRED, micros))
+        while self.ends and self.ends[0][0] < before_ms:
+            until, request = heapq.heappop(self.ends)
+            if (lease := self.leases.get(request)) and lease[1] == until:
+                del self.leases[request]
+                self.held -= lease[0]
+                rows.append(self._row(period, request, until, EXPIRED, lease[0]))
         return rows
 
     def _load(self) -> None:
-        self.held, self.spent, self.warned = self.sums.get() if self.sums.exists() else (0, 0, False)
+        was = self.meter.get()
+        self.new, self.paid = was is None, {}
+        self.held, self.spent, self.warned, self.timer, leases = was or (0, 0, False, None, [])
+        self.leases = {request: (micros, until) for request, micros, until in leases}
+        self.ends = sorted((until, request) for request, (_, until) in self.leases.items())
+
+    def _save(self, fired: int | None = None) -> None:
+        """``fired``: the time up to which timers are gone."""
+        if self.timer is not None and fired is not None and self.timer <= fired:
+            self.timer = None
+        following = min((until for _, until in self.leases.values()), default=None)
+        if following is not None and (self.timer is None or following + 1 < self.timer):
+            self.timer = following + 1  # a later one that is still set finds nothing to do
+            self.handle.registerTimer(self.timer)
+        for request, micros in self.paid.items():
+            self.settled.updateValue((request,), (micros,))
+        self.meter.update((self.held, self.spent, self.warned, self.timer, [(r, m, u) for r, (m, u) in self.leases.items()]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         self._load()
-        events = pd.concat(list(rows)).sort_values(["at", "request_id", "kind"])
-        at_ms = (pd.to_datetime(events["at"]).astype("datetime64[ms]").astype("int64")).tolist()
         out = []
-        for at, kind, request, micros in zip(at_ms, events["kind"], events["request_id"], events["micros"].tolist(), strict=True):
+        for at_us, request, kind, micros in sorted((r["at_us"], r["request_id"], r["kind"], r["micros"] or 0) for r in rows):
+            at = at_us // 1000
             out += self._expired(key[0], at)
-            out.append(self._row(key[0], request, at, *self._event(at, kind, request, int(micros or 0))))
-        self.sums.update((self.held, self.spent, self.warned))
-        yield pd.DataFrame(out)
+            out.append(self._row(key[0], request, at, *self._event(at, kind, request, micros)))
+        self._save()
+        yield from out
+
+    def _is_settled(self, request: str) -> bool:
+        return request in self.paid or (not self.new and self.settled.containsKey((request,)))
 
     def _event(self, at: int, kind: str, request: str, micros: int) -> tuple[str, int]:
-        lease = self.leases.getValue((request,)) if self.leases.containsKey((request,)) else None
+        lease = self.leases.get(request)
         if kind == "reserve":
-            if lease is not None or self.settled.containsKey((request,)):
+            if lease is not None or self._is_settled(request):
                 return REPEATED, micros
             if micros <= 0 or self.spent + self.held + micros > self.cap:
                 return REFUSED, micros
             self.held += micros
-            self.leases.updateValue((request,), (micros, at + self.lease_ms))
-            self.handle.registerTimer(at + self.lease_ms + 1)
+            self.leases[request] = (micros, at + self.lease_ms)
+            heapq.heappush(self.ends, (at + self.lease_ms, request))
             return GRANTED, micros
         if kind == "settle":
-            if self.settled.containsKey((request,)):
+            if self._is_settled(request):
                 return REPEATED, micros
-            self.settled.updateValue((request,), (micros,))
+            self.paid[request] = micros
             self.spent += micros
         if lease is None:
             return (LATE if kind == "settle" else UNKNOWN), micros
-        self.leases.removeKey((request,))
+        del self.leases[request]
         self.held -= lease[0]
         return (SETTLED if kind == "settle" else RELEASED), micros
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         self._load()
-        rows = self._expired(key[0], expiredTimerInfo.getExpiryTimeInMs())
-        self.sums.update((self.held, self.spent, self.warned))
-        if rows:
-            yield pd.DataFrame(rows)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        rows = self._expired(key[0], now)
+        self._save(fired=now)
+        yield from rows
 
     def close(self) -> None:
         pass
@@ -193,9 +216,10 @@ def metered(events: DataFrame, cap: int, lease: str = "10 minutes", late: str =
     none comes. A settlement is spent even if its lease is gone (``late_settled``), and once only. Events are taken in the
     order of their times within a micro-batch and as they arrive otherwise, as an answer can't wait; events later than
     ``late`` are dropped by the watermark. The session needs the RocksDB state store."""
-    timed = events.withWatermark("at", late).select(F.col("period").cast("string").alias("period"), "at", "kind", F.col("request_id").cast("string").alias("request_id"), F.col("micros").cast("long").alias("micros"))
+    timed = events.withWatermark("at", late).select(F.col("period").cast("string").alias("period"), "at", F.unix_micros("at").alias("at_us"), "kind", F.col("request_id").cast("string").alias("request_id"), F.col("micros").cast("long").alias("micros"))
     lease_ms = int(pd.Timedelta(lease).total_seconds() * 1000)
-    return timed.groupBy("period").transformWithStateInPandas(_Meter(cap, lease_ms), _OUT, "append", "eventTime")
+    answers = timed.groupBy("period").transformWithState(_Meter(cap, lease_ms), _OUT, "append", "eventTime")
+    return answers.withColumn("at_ms", F.timestamp_millis("at_ms")).withColumnRenamed("at_ms", "at")
 
 
 def state_store(spark: SparkSession) -> None:
