@@ -5,9 +5,9 @@ gets 160 minima of its shingles' hashes. Twenty bands of five minima are the buc
 share one with a probability of 0.9996 at a similarity of 0.8, more above it. Buckets of up to ``BUCKET_PAIRS`` classes give
 all their pairs. Members of larger ones would cost pairs by the square: they are compared with two members of the bucket and
 indexed again by twenty bands of eight minima (0.975 at 0.8), treated alike. That links nearly all of a group of near
-copies; in a last step the members of a large bucket that are still in different components are compared, all of them, in
-blocks. So two classes that share a bucket of the first index end in one component if they are similar, whatever its
-size. Every candidate is verified on its whole shingle sets, so no pair below ``SIMILAR`` is ever a link; recall is by
+copies; in a last step the members of large buckets that are still in different components are joined by their rarest shingles,
+which finds every similar pair of them. So two classes that share a bucket of the first index end in one component if they are
+similar, whatever its size. Every candidate is verified on its whole shingle sets, so no pair below ``SIMILAR`` is ever a link; recall is by
 the first index's probability alone and measured in the README.
 
 Texts without words are in no class and no pair. Texts of fewer than five words have one shingle, all of their words.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
@@ -30,10 +30,12 @@ from spinewright.llm.rows import gives_back
 from spinewright.operators.graph import connected_components
 
 SHINGLE = 5
-SIMILAR = 0.8
+#: Parts that similar sets share, as whole numbers where rounding would lose a pair.
+_NUM, _DEN = 4, 5
+SIMILAR = _NUM / _DEN
 #: Classes in a bucket up to which all pairs are formed.
 BUCKET_PAIRS = 16
-#: Classes in a block of a large bucket; blocks are compared by twos.
+#: Classes in a block of those that have a shingle.
 BLOCK = 1_000
 #: Bytes of shingle sets up to which they are broadcast.
 BROADCAST_BYTES = 8_000_000
@@ -148,22 +150,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     return materialize(both.select("src", "dst", "src_set", "dst_set").mapInArrow(gives_back(_similar), "src long, dst long"))
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        of = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        named = [b.column(i).take(of) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*named, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], ["class", "root", "size", "shingle"])
+
+
 def _apart(large: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a large bucket's members that ``linked`` leaves in different components and whose sizes allow them to be similar.
+    """Pairs of large buckets' members that ``linked`` leaves in different components and whose rarest shingles allow them to be similar.
 
-    A bucket of one component has none. The members of the others are dealt into blocks of about ``BLOCK``, and each two blocks
-    meet under a key of their own, so no task holds a bucket."""
+    A bucket of one component has none. Similar sets of n and m shingles share 4/9 of n + m at least, so the first shingle
+    they share, in an order that is the same for all, has at most (5n - 4m) / 9 others of the first set before it and
+    (5m - 4n) / 9 of the second. The order is from rare to frequent: an edit's own shingles come first, and sets that differ
+    by more than that never meet in the shingles of the text they have in common. A frequent shingle's sets are dealt into
+    blocks of about ``BLOCK``, so no task holds all of them."""
     roots = connected_components(linked).select(F.col("node").alias("class"), "root")
-    sizes = sets.select("class", (F.octet_length("shingles") / 8).alias("size"))
-    named = materialize(large.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).join(sizes, "class"))
+    named = materialize(large.join(roots, "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root")))
     split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    open_ = materialize(named.join(split, "bucket").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class", "bucket"), blocks)}))
-    a = open_.select("bucket", "class", "root", "size", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    z = open_.select("bucket", F.col("class").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"))
-    met = a.join(z.hint("merge"), ["bucket", "i", "j"]).where("root <> other_root and (i < j or class < other)")
-    near = met.where(F.least("size", "other_size") >= SIMILAR * F.greatest("size", "other_size"))
-    return near.select(F.least("class", "other").alias("src"), F.greatest("class", "other").alias("dst")).distinct()
+    open_ = materialize(named.join(split, "bucket").select("class", "root").distinct())
+    texts = sized_join(sets, open_, "class").select("class", "root", "shingles")
+    shingles = materialize(texts.mapInArrow(gives_back(_each_shingle), "class long, root long, size long, shingle long"))
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    rare_first = Window.partitionBy("class").orderBy(F.coalesce("often", F.lit(1)), "shingle")
+    placed = shingles.join(often, "shingle", "left").withColumn("at", F.row_number().over(rare_first) - 1).where(f"often > 1 and {_DEN} * at <= {_DEN - _NUM} * size")
+    placed = materialize(placed.withColumn("blocks", F.ceil(F.col("often") / BLOCK).cast("long")))
+    # a pair's smaller set lies in one block, the larger one goes to all
+    small = placed.where(_within("at", "size", "size")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).drop("often", "blocks")
+    wide = placed.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("class", "root", "size", "at")], F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    met = small.join(wide.hint("merge"), ["shingle", "block"]).where("root <> other_root and (size < other_size or size = other_size and class < other_class)")
+    near = met.where(_within("at", "size", "other_size")).where(_within("other_at", "other_size", "size"))
+    return near.select(F.least("class", "other_class").alias("src"), F.greatest("class", "other_class").alias("dst")).distinct()
+
+
+def _within(at: str, size: str, other: str) -> str:
+    """A set may have ``at`` shingles that a similar one of ``other`` shingles lacks."""
+    return f"{_NUM + _DEN} * {at} <= {_DEN} * {size} - {_NUM} * {other}"
 
 
 def links(docs: DataFrame, found: DataFrame, text_col: str = "text", bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
