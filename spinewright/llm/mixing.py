@@ -21,6 +21,8 @@ their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def _order(id_col: str, text_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
 
 
+def _order_by_id(id_col: str, text_col: str, seed: str) -> Column:
+    """The order of :func:`repeat`: the MD5 of seed and id, then :func:`_order`; rows without an id lie by the latter alone."""
+    by_text = _order(id_col, text_col, seed)
+    return F.concat(F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), by_text), by_text)
+
+
 def _in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], few: bool = False) -> DataFrame:
     """``df`` with the running totals ``sums`` of all rows before each row in a total order.
 
@@ -91,9 +99,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_halves:
     return t.select("source_key", "source_size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("words"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2, seed: str = SEED) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = 3, max_epochs: int = 2, seed: str = SEED, order: Callable[[str, str, str], Column] = _order) -> DataFrame:
     """A row for each source: its target, whole repetitions, and the row of the seeded order where the rest ends."""
-    rows = docs.select(_source_key(source_col).alias("source_key"), n_words(text_col).alias("size"), _order(id_col, text_col, seed).alias("o"))
+    rows = docs.select(_source_key(source_col).alias("source_key"), n_words(text_col).alias("size"), order(id_col, text_col, seed).alias("o"))
     # words and rows by the longest cells; a source's own cells are as many as its rows ask for
     fine = materialize(rows.groupBy("source_key", F.substring("o", 1, MOST_DIGITS).alias("cell")).agg(F.sum("size").alias("cell_size"), F.count("*").alias("n")))
     sources = materialize(fine.groupBy("source_key").agg(F.sum("cell_size").alias("source_size"), F.sum("n").alias("n")))
@@ -116,9 +124,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return materialize(table.join(edge, "source_key", "left").select("source_key", "source_size", "target", "whole", F.col("edge.o").alias("edge_o"), F.col("edge.size").alias("edge_size"), F.col("edge.n").alias("edge_n"), F.col("edge.part").alias("edge_part")))
 
 
-def with_taken(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def with_taken(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, order: Callable[[str, str, str], Column] = _order) -> DataFrame:
     """``row`` (the whole row of ``docs``), ``size``, ``source_size``, ``target``, ``whole``, and ``taken``, the words the mix takes of the row."""
-    keyed = docs.select(packed(docs), _source_key(source_col).alias("source_key"), n_words(text_col).alias("size"), _order(id_col, text_col, seed).alias("o"))
+    keyed = docs.select(packed(docs), _source_key(source_col).alias("source_key"), n_words(text_col).alias("size"), order(id_col, text_col, seed).alias("o"))
     here, edge = F.struct("o", "size"), F.struct(F.col("edge_o").alias("o"), F.col("edge_size").alias("size"))
     placed = sized_join(keyed, sources, "source_key").withColumn("at_edge", F.coalesce(here == edge, F.lit(False)))
     most_equal = sources.agg(F.max("edge_n")).first()[0] or 1
@@ -151,5 +159,5 @@ def mix(docs: DataFrame) -> DataFrame:
 def repeat(docs: DataFrame) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, whole; a part of half a text or more counts as one."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.col("whole")).cast("int")
-    out = with_taken(docs, plan(docs)).withColumn("times", times).where("times > 0")
+    out = with_taken(docs, plan(docs, order=_order_by_id), order=_order_by_id).withColumn("times", times).where("times > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
