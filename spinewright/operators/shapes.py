@@ -22,6 +22,8 @@ MOST_DEPTH = 24
 FINER = 5
 #: Cells that may be broadcast; a border cell holds the edges of its row of cells.
 BROADCAST_CELLS = 50_000
+#: Cells that a task classes; each takes some 25 microseconds.
+CELLS_A_TASK = 10_000
 _EDGES = "array<array<struct<a:struct<lng:double,lat:double>,b:struct<lng:double,lat:double>>>>"
 
 
@@ -67,6 +69,11 @@ def _classed(cells: DataFrame) -> DataFrame:
     return kept.withColumns({"inside": inside, "meets": meets}).where("meets").drop("meets")
 
 
+def _dealt(cells: DataFrame, rows: int) -> DataFrame:
+    """``rows`` cells over as many tasks as they are worth: few small files would be read by one."""
+    return cells.repartition(rows // CELLS_A_TASK + 1, "shape_id", "x", "y")
+
+
 def cover(shapes: DataFrame, finer: int = FINER) -> DataFrame:
     """``shape_id, depth, x, y, inside, edges, lat, lng, radius_m``: disjoint cells that cover each shape. A cell that the shape
     holds is ``inside`` and as large as can be; the others are on its border, ``finer`` levels below the cells that its
@@ -81,12 +88,12 @@ def cover(shapes: DataFrame, finer: int = FINER) -> DataFrame:
     rows = rows.withColumn("depth", F.greatest(F.lit(0), start).cast("int"))
     span = lambda low, high, least, side: F.sequence(*[F.greatest(F.lit(0), F.floor((F.col(f"box.{v}") - least) / side * F.pow(F.lit(2.0), "depth"))).cast("long") for v in (low, high)])
     cells = rows.withColumn("x", F.explode(span("west", "east", -180.0, 360.0))).withColumn("y", F.explode(span("south", "north", -90.0, 180.0))).drop("box")
-    done, open_ = [], materialize(_classed(cells))
+    done, open_ = [], materialize(_classed(_dealt(cells, cells.count())))
     for _ in range(finer):
         done.append(open_.where("inside"))
         halves = F.explode(F.array(*[F.struct((2 * F.col("x") + i).alias("x"), (2 * F.col("y") + j).alias("y")) for i in (0, 1) for j in (0, 1)]))
         four = open_.where("not inside").withColumn("half", halves).withColumns({"depth": F.col("depth") + 1, "x": F.col("half.x"), "y": F.col("half.y")}).drop("half", "inside")
-        open_ = materialize(_classed(four))
+        open_ = materialize(_classed(_dealt(four, 4 * open_.where("not inside").count())))
     return reduce(DataFrame.unionByName, [*done, open_]).withColumn("edges", F.when(~F.col("inside"), F.col("edges")))
 
 
