@@ -10,6 +10,8 @@ UNITS = ("ts_enterprise", "ts_essentials")
 HOST_CLASSES = ("none", "other", "social", "directory", "platform_subdomain", "business_site_dead")
 ENDED = ("complete", "failed", "stopped")
 _RANKS = ("unmatched", "tentative", "attached")
+#: Rows of one task. The rows are a few bytes each in a shuffle, so sizes alone would put millions into one task.
+TASK_ROWS = 250_000
 
 
 def _static(runs: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
@@ -17,6 +19,11 @@ def _static(runs: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
     return runs.select("run_id", F.posexplode(F.array(*map(F.lit, values))).alias("ord", name))
 
 
+def _tasks(*tables: DataFrame) -> int:
+    """How many tasks the tables' rows fill, so that one takes as much memory at any size."""
+    return 1 + sum(t.count() for t in tables) // TASK_ROWS
+
+
 def _filled(rows: DataFrame, counts: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     return rows.join(counts, on, "left").na.fill(0, columns)
 
@@ -44,18 +51,26 @@ def unfinished_tiles(runs: DataFrame, searches: DataFrame) -> DataFrame:
 def outcome_counts(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``run_id, found, attached, tentative, unmatched``, each place at its best outcome. ``outcomes``: ``run_id, place_id, outcome``."""
     rank = F.coalesce(*[F.when(F.col("outcome") == o, i) for i, o in enumerate(_RANKS, 1)], F.lit(0))
-    best = outcomes.groupBy("run_id", "place_id").agg(F.max(rank).alias("rank"))
+    told = outcomes.repartition(_tasks(outcomes), "run_id", "place_id")  # few rows share a key, as in outcomes_by_cluster
+    best = told.groupBy("run_id", "place_id").agg(F.max(rank).alias("rank"))
     counts = best.groupBy("run_id").agg(F.count_if(F.col("rank") >= 1).alias("found"), *[F.count_if(F.col("rank") == i).alias(o) for i, o in enumerate(_RANKS, 1)])
     return _filled(runs.select("run_id"), counts, ["run_id"], ["found", *_RANKS]).select("run_id", "found", "attached", "tentative", "unmatched")
 
 
 def outcomes_by_cluster(runs: DataFrame, outcomes: DataFrame, clusters: DataFrame) -> DataFrame:
     """``run_id, cluster_key, display_name, place, found, attached, tentative, unmatched``: the clusters that a run's version names
-    (``cluster_keys``), in the order of ``sort_order``, key and place; places of outside count nowhere."""
-    named = runs.select("run_id", F.posexplode("cluster_keys").alias("pos", "cluster_key")).join(clusters, "cluster_key", "left")
-    counts = outcomes.groupBy("run_id", "cluster_key").agg(F.count_if(F.col("outcome") != "outside").alias("found"), *[F.count_if(F.col("outcome") == o).alias(o) for o in _RANKS])
+    (``cluster_keys``), in the order of ``sort_order``, key and place; places of outside count nowhere.
+
+    A run has few outcomes of a cluster, so those of one key are brought together before they are counted: counting before
+    the shuffle would hold nearly every row and spare none. A key that has many is counted as its rows are read."""
+    key, tasks = ["run_id", "cluster_key"], _tasks(outcomes, runs)
+    named = runs.select("run_id", F.posexplode("cluster_keys").alias("pos", "cluster_key")).repartition(tasks, *key)
+    rank = F.coalesce(*[F.when(F.col("outcome") == o, i) for i, o in enumerate(_RANKS, 1)], F.lit(0)).alias("rank")
+    told = outcomes.where("outcome <> 'outside'").select(*key, rank).repartition(tasks, *key)  # a number is a narrower row
+    counts = told.groupBy(*key).agg(F.count("*").alias("found"), *[F.count_if(F.col("rank") == i).alias(o) for i, o in enumerate(_RANKS, 1)])
+    filled = _filled(named, counts, key, ["found", *_RANKS]).join(clusters, "cluster_key", "left").repartition(tasks, "run_id")
     w = Window.partitionBy("run_id").orderBy(F.col("sort_order").asc_nulls_last(), F.col("cluster_key").asc_nulls_last(), "pos")
-    placed = _filled(named, counts, ["run_id", "cluster_key"], ["found", *_RANKS]).withColumn("place", F.row_number().over(w))
+    placed = filled.withColumn("place", F.row_number().over(w))
     return placed.select("run_id", "cluster_key", "display_name", "place", "found", "attached", "tentative", "unmatched")
 
 
