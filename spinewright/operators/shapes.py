@@ -6,6 +6,7 @@ A shape is a row of ``shape_id`` and either ``rings`` (``array<array<struct<lng,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,17 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinewright.core import materialize, sized_join
-from spinewright.functions.keys import distance_m
+from spinewright.functions.keys import EARTH_M, distance_m
 from spinewright.operators import geometry
 from spinewright.operators.geometry import Rect
 
 MOST_DEPTH = 24
-#: How much finer the border cells of a shape are than the cells that its box fits in.
+#: How much finer the cells of a shape are than those that its box fits in.
 FINER = 5
-#: Cells that may be broadcast; a border cell holds the edges of its row of cells.
+#: Cells that may be broadcast; a cell holds up to ``SLOTS`` edges.
 BROADCAST_CELLS = 50_000
-#: Cells that a task classes; each takes some 25 microseconds.
-CELLS_A_TASK = 10_000
+#: Cells of a task's shapes; each takes some microseconds, and some 25 where its row has many edges.
+CELLS_A_TASK = 250_000
+#: Points and cells that a task of the join meets, and the points of a cell from which it is dealt over several.
+ROWS_A_TASK, CELL_POINTS = 50_000, 100_000
+#: A row of cells that so few edges cross holds them as plain columns, whose tests Spark compiles.
+SLOTS = 8
 _EDGES = "array<array<struct<a:struct<lng:double,lat:double>,b:struct<lng:double,lat:double>>>>"
 
 
@@ -54,47 +59,83 @@ def _odd(ring: Column, lng: Column, lat: Column) -> Column:
     return F.size(F.filter(ring, lambda e: ((e["a"]["lat"] > lat) != (e["b"]["lat"] > lat)) & (lng < at(e)))) % 2 == 1
 
 
-def _classed(cells: DataFrame) -> DataFrame:
-    """Cells that meet their shape, with the edges of their row and ``inside`` where the shape holds all of them."""
-    r = cell_rect(F.col("depth"), F.col("x"), F.col("y"))
-    kept = cells.withColumn("edges", _strip(F.col("edges"), r))
-    touched = F.transform("edges", lambda ring: F.exists(ring, lambda e: geometry._edge_meets_rect(e["a"], e["b"], r)))
-    holding = F.transform("edges", lambda ring: _odd(ring, r.west, r.south))
-    whole = F.exists(F.arrays_zip(touched.alias("t"), holding.alias("h")), lambda z: z["h"] & ~z["t"])
-    corners = F.greatest(*[distance_m(F.col("lat"), F.col("lng"), a, b) for a in (r.south, r.north) for b in (r.west, r.east)])
-    near = geometry.meets_circle(r, F.col("lat"), F.col("lng"), F.col("radius_m"))
-    circle = F.col("radius_m").isNotNull()
-    inside = F.when(circle, corners <= F.col("radius_m")).otherwise(whole)
-    meets = F.when(circle, near).otherwise(whole | F.exists(touched, lambda t: t))
-    return kept.withColumns({"inside": inside, "meets": meets}).where("meets").drop("meets")
+def _slots() -> list[tuple[dict[str, Column], dict[str, Column]]]:
+    """The two ends of each slot's edge."""
+    return [tuple({c: F.col(f"{end}{i}_{c}") for c in ("lng", "lat")} for end in "ab") for i in range(SLOTS)]
 
 
-def _dealt(cells: DataFrame, rows: int) -> DataFrame:
-    """``rows`` cells over as many tasks as they are worth: few small files would be read by one."""
-    return cells.repartition(rows // CELLS_A_TASK + 1, "shape_id", "x", "y")
+def _slots_odd(lng: Column, lat: Column) -> Column:
+    """As :func:`_odd` over the slots; an edge that doesn't rise is never divided by its height."""
+    at = lambda a, b: a["lng"] + (b["lng"] - a["lng"]) * (lat - a["lat"]) / (b["lat"] - a["lat"])
+    return reduce(lambda x, y: x != y, [((a["lat"] > lat) != (b["lat"] > lat)) & (lng < at(a, b)) for a, b in _slots()])
 
 
-def cover(shapes: DataFrame, finer: int = FINER) -> DataFrame:
-    """``shape_id, depth, x, y, inside, edges, lat, lng, radius_m``: disjoint cells that cover each shape. A cell that the shape
-    holds is ``inside`` and as large as can be; the others are on its border, ``finer`` levels below the cells that its
-    box fits in, and carry the edges that decide for their points. Rings of fewer than three points cover nothing."""
+def _rows(shapes: DataFrame, finer: int) -> DataFrame:
+    """The rows of cells of each shape's box, ``finer`` levels below those that it fits in: ``shape_id, lat, lng, radius_m, depth, y,
+    first_x, last_x, edges``, with the edges that decide for their points. Rings of fewer than three points have none."""
     has = F.col("radius_m").isNotNull()
     circle = geometry.circle_box(F.col("lat"), F.col("lng"), F.col("radius_m"))
     box = F.when(has, F.struct(circle.south.alias("south"), circle.west.alias("west"), circle.north.alias("north"), circle.east.alias("east"))).otherwise(geometry.bounding_box(F.col("rings")))
     closed = F.transform(F.filter("rings", lambda r: F.size(r) > 2), lambda r: geometry._edges(F.concat(r, F.slice(r, 1, 1))))
     rows = shapes.select("shape_id", "lat", "lng", "radius_m", box.alias("box"), F.coalesce(F.when(~has, closed), F.expr(f"cast(array() as {_EDGES})")).alias("edges")).where("box.south is not null")
+    # few small files would be read by one task; a shuffle also keeps the box from being worked out for each use
+    rows = rows.repartition(shapes.count() * 4**finer // CELLS_A_TASK + 1, "shape_id")
     fits = lambda whole, side: F.floor(F.log2(F.lit(whole) / F.greatest(side, F.lit(1e-6))))
     start = F.least(fits(180.0, F.col("box.north") - F.col("box.south")), fits(360.0, F.col("box.east") - F.col("box.west")), F.lit(MOST_DEPTH - finer))
-    rows = rows.withColumn("depth", F.greatest(F.lit(0), start).cast("int"))
-    span = lambda low, high, least, side: F.sequence(*[F.greatest(F.lit(0), F.floor((F.col(f"box.{v}") - least) / side * F.pow(F.lit(2.0), "depth"))).cast("long") for v in (low, high)])
-    cells = rows.withColumn("x", F.explode(span("west", "east", -180.0, 360.0))).withColumn("y", F.explode(span("south", "north", -90.0, 180.0))).drop("box")
-    done, open_ = [], materialize(_classed(_dealt(cells, cells.count())))
-    for _ in range(finer):
-        done.append(open_.where("inside"))
-        halves = F.explode(F.array(*[F.struct((2 * F.col("x") + i).alias("x"), (2 * F.col("y") + j).alias("y")) for i in (0, 1) for j in (0, 1)]))
-        four = open_.where("not inside").withColumn("half", halves).withColumns({"depth": F.col("depth") + 1, "x": F.col("half.x"), "y": F.col("half.y")}).drop("half", "inside")
-        open_ = materialize(_classed(_dealt(four, 4 * open_.where("not inside").count())))
-    return reduce(DataFrame.unionByName, [*done, open_]).withColumn("edges", F.when(~F.col("inside"), F.col("edges")))
+    rows, n = rows.withColumn("depth", (F.greatest(F.lit(0), start) + finer).cast("int")), F.pow(F.lit(2.0), "depth")
+    # a little beyond the box, so that no point on its border is lost to rounding
+    end = lambda v, least, side, by: F.greatest(F.lit(0), F.least(n - 1, F.floor((F.col(f"box.{v}") - least) / side * n + by))).cast("long")
+    rows = rows.withColumns({"first_x": end("west", -180.0, 360.0, -1e-6), "last_x": end("east", -180.0, 360.0, 1e-6)})
+    each = rows.withColumn("y", F.explode(F.sequence(end("south", -90.0, 180.0, -1e-6), end("north", -90.0, 180.0, 1e-6)))).drop("box").where("first_x <= last_x")
+    r = cell_rect(F.col("depth"), F.col("first_x"), F.col("y"))
+    return materialize(each.withColumn("edges", F.filter(_strip(F.col("edges"), r), lambda ring: F.size(ring) > 0)))
+
+
+def _few(edges: Column) -> Column:
+    return (F.size(edges) <= 1) & (F.size(F.flatten(edges)) <= SLOTS)
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Cells that meet their shape: the columns of their row, ``x``, ``inside`` where the shape holds all of them, and ``few`` where
+    the slots hold the edges of their row; a slot without one has an edge far north of all points."""
+    slots = {f"{end}{i}_{c}": F.coalesce(F.get("flat", F.lit(i))[end][c], F.lit(1e3)) for i in range(SLOTS) for end in "ab" for c in ("lng", "lat")}
+    rows = rows.withColumns({"flat": F.flatten("edges"), "few": _few(F.col("edges"))}).withColumns(slots).drop("flat")
+    cells = rows.withColumn("x", F.explode(F.sequence("first_x", "last_x"))).drop("first_x", "last_x")
+    r = cell_rect(F.col("depth"), F.col("x"), F.col("y"))
+    cells = cells.withColumns(dict(zip(("south", "west", "north", "east"), r, strict=True)))
+    r, circle = Rect(*map(F.col, ("south", "west", "north", "east"))), F.col("radius_m").isNotNull()
+    touched = F.transform("edges", lambda ring: F.exists(ring, lambda e: geometry._edge_meets_rect(e["a"], e["b"], r)))
+    holding = F.transform("edges", lambda ring: _odd(ring, r.west, r.south))
+    whole = F.exists(F.arrays_zip(touched.alias("t"), holding.alias("h")), lambda z: z["h"] & ~z["t"])
+    corners = F.greatest(*[distance_m(F.col("lat"), F.col("lng"), a, b) for a in (r.south, r.north) for b in (r.west, r.east)])
+    near = geometry.meets_circle(r, F.col("lat"), F.col("lng"), F.col("radius_m"))
+    touch = reduce(lambda x, y: x | y, [geometry._edge_meets_rect(a, b, r) for a, b in _slots()])
+    # 0: outside, 1: on the border, 2: inside
+    of_circle = F.when(corners <= F.col("radius_m"), 2).when(near, 1).otherwise(0)
+    of_few = F.when(touch, 1).when(_slots_odd(r.west, r.south), 2).otherwise(0)
+    of_many = F.when(whole, 2).when(F.exists(touched, lambda t: t), 1).otherwise(0)
+    # an array of one: a condition on the plain column would be pushed below it, and all of it worked out twice
+    met = cells.withColumn("met", F.explode(F.array(F.when(circle, of_circle).when(F.col("few"), of_few).otherwise(of_many)))).where("met > 0")
+    return met.withColumn("inside", F.col("met") == 2).drop("met", "south", "west", "north", "east")
+
+
+def cover(shapes: DataFrame, finer: int = FINER) -> DataFrame:
+    """``shape_id, depth, x, y, inside, edges, lat, lng, radius_m``: disjoint cells that cover each shape, all of them ``finer`` levels
+    below those that its box fits in. A cell that the shape holds is ``inside``; the others are on its border and carry the
+    edges that decide for their points."""
+    cells = _cells(_rows(shapes, finer)).withColumn("edges", F.when(~F.col("inside"), F.col("edges")))
+    return cells.select("shape_id", "depth", "x", "y", "inside", "edges", "lat", "lng", "radius_m")
+
+
+def _in_circle(lng: Column, lat: Column, cos_lat: Column) -> Column:
+    """Whether the distance to a circle's centre is within its radius. As ``x**2 - x**4 / 3 <= sin(x)**2 <= x**2``, the haversine lies
+    between two sums of squares, and its sines are worked out only where these leave the answer open."""
+    half = lambda a, b: (a - b) * (math.pi / 360) * ((a - b) * (math.pi / 360))
+    a, b, scale = half(lat, F.col("lat")), half(lng, F.col("lng")), cos_lat * F.col("cos_centre")
+    most = a + scale * b
+    least = most - (a * a + scale * b * b) / 3
+    exact = distance_m(F.col("lat"), F.col("lng"), lat, lng) <= F.col("radius_m")
+    return F.when((scale >= 0) & (most <= F.col("within") * (1 - 1e-9)), True).when((scale >= 0) & (least > F.col("within") * (1 + 1e-9)), False).otherwise(F.coalesce(exact, F.lit(False)))
 
 
 def points_in_shapes(points: DataFrame, shapes: DataFrame, finer: int = FINER) -> DataFrame:
@@ -102,18 +143,42 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, finer: int = FINER) -
 
     A point meets the cells it lies in, one a depth of the cover, by equality; a shape's cells are disjoint, so a match
     comes up once. Inside cells need no test, border cells one over the edges of their row: ray casting for rings, the
-    distance for circles. The cover is broadcast while it is counted small, else both sides are shuffled by cell."""
-    cells = materialize(cover(shapes, finer))
-    depths = sorted(r["depth"] for r in cells.select("depth").distinct().collect())  # MOST_DEPTH rows
+    distance for circles. Cells whose row has many edges are joined apart, as Spark doesn't compile their tests. The cover is
+    broadcast while its boxes hold few cells, else both sides are shuffled by cell, in tasks of so many rows (few bytes make
+    many pairs); a cell of very many points is dealt over several."""
+    rows = _rows(shapes, finer)
+    counted = rows.agg(F.collect_set("depth").alias("depths"), F.sum(F.col("last_x") - F.col("first_x") + 1).alias("cells"), F.bool_and(_few(F.col("edges"))).alias("few")).first()
+    depths = sorted(counted["depths"])  # MOST_DEPTH values
     lat, lng = F.col("point_lat"), F.col("point_lng")
     if not depths:
-        return points.join(cells.select("shape_id"), F.lit(False))
+        return points.join(shapes.select("shape_id"), F.lit(False))
     at = [F.struct(F.lit(d).alias("depth"), F.shiftright("cell_x", depths[-1] - d).alias("x"), F.shiftright("cell_y", depths[-1] - d).alias("y")) for d in depths]
-    located = points.where(lat.isNotNull() & lng.isNotNull()).withColumns({"cell_x": cell_of(lng, -180.0, 360.0, depths[-1]), "cell_y": cell_of(lat, -90.0, 180.0, depths[-1])})
-    probes = located.withColumn("at", F.explode(F.array(*at))).select(*points.columns, "at.depth", "at.x", "at.y")
-    met = sized_join(probes, cells, ["depth", "x", "y"], limit=BROADCAST_CELLS)
-    exact = F.when(F.col("radius_m").isNotNull(), distance_m(F.col("lat"), F.col("lng"), lat, lng) <= F.col("radius_m")).otherwise(F.exists("edges", lambda ring: _odd(ring, lng, lat)))
-    return met.where(F.col("inside") | exact).select(*points.columns, "shape_id")
+    located = points.where(lat.isNotNull() & lng.isNotNull()).withColumns({"cell_x": cell_of(lng, -180.0, 360.0, depths[-1]), "cell_y": cell_of(lat, -90.0, 180.0, depths[-1]), "cos_lat": F.cos(F.radians(lat))})
+    probes = located.withColumn("at", F.explode(F.array(*at))).select(*points.columns, "cos_lat", "at.depth", "at.x", "at.y")
+    angle = F.least(F.col("radius_m") / (2 * EARTH_M), F.lit(math.pi / 2))
+    cells = _cells(rows).withColumns({"cos_centre": F.cos(F.radians("lat")), "within": F.pow(F.sin(angle), F.lit(2.0))})
+    plain, slots = ["shape_id", "depth", "x", "y", "inside", "lat", "lng", "radius_m"], [c for a, b in _slots() for c in (*a.values(), *b.values())]
+    exact = F.when(F.col("radius_m").isNotNull(), _in_circle(lng, lat, F.col("cos_lat"))).otherwise(_slots_odd(lng, lat))
+    sides = [(cells.where("few").select(*plain, "cos_centre", "within", *slots), exact)]
+    if not counted["few"]:
+        sides.append((cells.where("not few").select(*plain, "edges"), F.exists("edges", lambda ring: _odd(ring, lng, lat))))
+    met = _meeting(probes, points.columns, [c for c, _ in sides], counted["cells"])
+    return reduce(DataFrame.unionByName, [m.where(F.col("inside") | holds).select(*points.columns, "shape_id") for m, (_, holds) in zip(met, sides, strict=True)])
+
+
+def _meeting(probes: DataFrame, columns: list[str], sides: list[DataFrame], most: int) -> list[DataFrame]:
+    """``probes`` with the rows of each of ``sides`` in their cell; ``most``: the cells there may be."""
+    on = ["depth", "x", "y"]
+    if most <= BROADCAST_CELLS:
+        return [probes.join(F.broadcast(c), on) for c in sides]
+    crowded = materialize(probes.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > CELL_POINTS).select(*on, F.ceil(F.col("n") / CELL_POINTS).cast("long").alias("blocks")))
+    tasks = min(2_000, 1 + (probes.count() + most) // ROWS_A_TASK)
+    if not crowded.isEmpty():
+        blocks, on = F.coalesce("blocks", F.lit(1)), [*on, "block"]
+        probes = sized_join(probes, crowded, on[:3], "left").withColumn("block", F.pmod(F.xxhash64(*columns), blocks)).drop("blocks")
+        sides = [sized_join(c, crowded, on[:3], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("blocks") for c in sides]
+    # cells come first: what is read of a left row is read once for all points
+    return [c.repartition(tasks, *on).join(probes.repartition(tasks, *on).hint("merge"), on) for c in sides]
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
